@@ -37,12 +37,12 @@ def out_of_fold(df: DataFrame, category: str, label: str, fold: str, name: str,
     """
     w = F.col(weight) if weight else F.lit(1)
     cell = df.groupBy(X.missing(F.col(category)).alias("_c"), F.col(fold).alias("_f")).agg(F.sum(label).cast("double").alias("s"), F.sum(w).alias("n"))
-    of_category = cell.groupBy("_c").agg(F.sum("s").alias("S"), F.sum("n").alias("N"))
+    of_category = cell.groupBy("_c").agg(F.sum("s").alias("cs"), F.sum("n").alias("cn"))
     of_fold = cell.groupBy("_f").agg(F.sum("s").alias("fs"), F.sum("n").alias("fn"))
     folds = of_fold.withColumn("one", F.lit(1))
     all_of = folds.groupBy("one").agg(F.sum("fs").alias("as"), F.sum("fn").alias("an"))
     rates = folds.join(all_of, "one").select("_f", F.coalesce(X.divide(F.col("as") - F.col("fs"), F.col("an") - F.col("fn")), F.lit(0.0)).alias("g"))
-    table = cell.join(of_category, "_c").join(rates, "_f").select("_c", "_f", smoothed(F.col("S") - F.col("s"), F.col("N") - F.col("n"), F.col("g"), m).alias(name))
+    table = cell.join(of_category, "_c").join(rates, "_f").select("_c", "_f", smoothed(F.col("cs") - F.col("s"), F.col("cn") - F.col("n"), F.col("g"), m).alias(name))
     return df.join(table, (X.missing(F.col(category)) == F.col("_c")) & (F.col(fold) == F.col("_f"))).drop("_c", "_f")
 
 
