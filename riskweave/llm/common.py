@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share: ``spark.checkpoint.dir``; a local one only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,14 +37,12 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 
@@ -71,8 +74,3 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             parent = jumped
     child = parent != np.arange(len(nodes))
     return nodes[child], nodes[parent[child]]
-
-
-def remove_tree(path: str) -> None:
-    """Remove a local folder of a test."""
-    shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)

@@ -73,7 +73,8 @@ def _document_frequencies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFra
         counts: Counter = Counter()
         for t in f["text"]:
             counts.update(known & set(TERM.findall(" ".join(set((t or "").lower().split())))))
-        yield pd.DataFrame({"term": list(counts), "n": list(counts.values())}, columns=["term", "n"])
+        if counts:
+            yield pd.DataFrame({"term": list(counts), "n": list(counts.values())})
 
 
 class Matcher:

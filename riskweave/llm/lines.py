@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from xxhash import xxh3_128_digest, xxh64_digest
 
-from riskweave.llm.common import Scratch, load, local_roots
+from riskweave.llm.common import Scratch, load, local_roots, quoted
 from riskweave.llm.components import components
 from riskweave.llm.embedding import _groups
 
@@ -285,21 +285,22 @@ def dedup_lines(docs: DataFrame, scratch: Scratch | None = None, count: bool = F
 
     No document goes: one whose lines all repeat earlier ones ends up with an empty text. A null or empty text and
     rows with a null doc_id stay as they are; rows with one doc_id are one document. count adds ``n_lines`` and
-    ``n_dropped``. An empty table gives an empty one.
+    ``n_dropped`` (in place of columns of these names). An empty table gives an empty one.
     """
     scratch = scratch or Scratch(docs.sparkSession, "lines")
-    gone = repeated_lines(docs, scratch).select(F.col("doc_id").alias("_doc"), F.col("dropped").alias("_dropped"))
-    joined = docs.join(gone, docs["doc_id"].cast("long") == F.col("_doc"), "left")
-    lines = F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")] if count else docs.columns
-    cut = F.col("_dropped").isNotNull()
-    text = F.when(cut, _without(F.coalesce("text", F.lit("")), F.coalesce("_dropped", F.array().cast("array<int>")))).otherwise(F.col("text"))
-    extra = [lines.cast("long").alias("n_lines"), F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped")] if count else []
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in names]
-    out = joined.select(*columns, *extra, cut.alias("_cut"))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.drop("_cut")
+    gone = repeated_lines(docs, scratch).select(F.col("doc_id").alias("of"), "dropped")
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    joined = rows.join(gone, F.col("id") == F.col("of"), "left")
+    cut, old = F.col("dropped").isNotNull(), F.col("row.text").cast("string")
+    new = F.when(cut, _without(F.coalesce(old, F.lit("")), F.coalesce("dropped", F.array().cast("array<int>")))).otherwise(old)
+    lines = F.coalesce(F.regexp_count(old, F.lit("\n")) + 1, F.lit(0)).cast("long")
+    joined = joined.select("row", cut.alias("cut"), new.alias("new"), lines.alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+    own = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("new")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("cut"), F.length("new")).otherwise(own["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    if count:
+        own |= {"n_lines": F.col("n_lines"), "n_dropped": F.col("n_dropped")}
+    return joined.select(*(c.alias(n) for n, c in own.items()))
 
 
 def op4_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import Scratch, load
+from riskweave.llm.common import Scratch, load, quoted
 
 #: Words of a block; words and rows of a shard; most shards of a source (shards grow beyond that).
 BLOCK, SHARD_WORDS, SHARD_ROWS, MOST_SHARDS, SEED = 16, 200_000, 2_000, 100_000, 42
@@ -105,18 +105,20 @@ def mix(docs: DataFrame, scratch: Scratch | None = None, block: int = BLOCK, sha
 def mixed_documents(docs: DataFrame, scratch: Scratch | None = None, **options) -> DataFrame:
     """The mix itself: the columns of docs, a row for each time a text is taken, a cut last text as its first words.
 
-    docs needs unique doc_ids: rows with equal ids or a null id come out as the mix of any of them would.
+    Rows that share a doc_id (null ones too) are all taken as the mix takes one of them; a document of which the mix
+    takes no word, so any without words, is not in it.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
-    plan = scratch.keep(mix(docs, scratch, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), "whole", "extra").dropDuplicates(["_id"]))
+    plan = scratch.keep(mix(docs, scratch, **options).where("taken > 0").select(F.col("doc_id").alias("of"), "whole", "extra").dropDuplicates(["of"]))
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"))
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("whole").cast("int")), F.when(F.col("extra") > 0, F.array("extra")).otherwise(F.array().cast("array<long>")))
-    joined = docs.join(plan, docs["doc_id"] == F.col("_id")).withColumn("_copy", F.explode(copies))
-    words = F.slice(F.filter(F.split("text", "[\\x20\\x09-\\x0D]"), lambda x: x != ""), 1, F.col("_copy").cast("int"))
-    text = F.when(F.col("_copy") < 0, F.col("text")).otherwise(F.array_join(words, " "))
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_copy") < 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    joined = rows.join(plan, F.col("id").eqNullSafe(F.col("of"))).select("row", F.explode(copies).alias("copy"))
+    words = F.slice(F.filter(F.split(F.col("row.text"), "[\\x20\\x09-\\x0D]"), lambda x: x != ""), 1, F.col("copy").cast("int"))
+    joined = joined.withColumn("new", F.when(F.col("copy") < 0, F.col("row.text")).otherwise(F.array_join(words, " ")))
+    own = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("new")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("copy") < 0, own["n_chars"]).otherwise(F.length("new")).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(c.alias(n) for n, c in own.items()))
 
 
 def op2_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from riskweave.llm.common import Scratch, load, local_roots
+from riskweave.llm.common import Scratch, load, local_roots, quoted
 from riskweave.llm.components import components
 
 #: Differing bits that still link, and segments of the ring.
@@ -185,12 +185,12 @@ def simhash_components(docs: DataFrame, scratch: Scratch | None = None) -> DataF
 def keep_one(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """The rows of docs, all columns, that are the first of their group: doc_id equals component_id.
 
-    Rows with a null doc_id stay. Repeated rows with one doc_id are reduced to one of them.
+    Rows with a null doc_id stay; rows that share a doc_id stay or go together.
     """
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
-    same = simhash_components(docs, scratch).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(scratch.keep(same), docs["doc_id"] == F.col("_kept"), "left").where("doc_id is null or _kept is not null")
-    return kept.drop("_kept")
+    gone = simhash_components(docs, scratch).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(scratch.keep(gone), F.col("id") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op8_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
