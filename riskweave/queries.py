@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import exprs as X
 from riskweave.operators import dashboard, eda, encoders, linkage, metrics, payments, providers, sampling, stats
-from riskweave.plans import isolation_forest, models
+from riskweave.plans import experiments, isolation_forest, models
 from riskweave.sources.io import pairs_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -673,6 +673,42 @@ def hypothetical_score(spark: SparkSession, d: str) -> DataFrame:
     return models.scores(model, row, "npi")
 
 
+def _provider_rows(spark: SparkSession, d: str) -> DataFrame:
+    p = pay(spark, d)
+    return provider_numbers(spark, d).join(providers.mode(p, "specialty", "specialty").select("npi", "specialty"), "npi")
+
+
+_BASE = PAY + """, y AS (SELECT npi, max(is_excluded) AS is_excluded FROM payments GROUP BY 1), c AS (SELECT npi, coalesce(specialty, 'Missing') AS s, count(*) AS n FROM payments GROUP BY ALL),
+ m AS (SELECT npi, s AS specialty FROM (SELECT *, row_number() OVER (PARTITION BY npi ORDER BY n DESC, s) AS rn FROM c) WHERE rn = 1), providers AS (SELECT npi, is_excluded, specialty FROM y JOIN m USING (npi))"""
+
+
+@query(f"""WITH {_BASE}, {RANKED}, sides AS (SELECT *, rn <= floor(stratum_n * 0.2::DOUBLE + 0.5) AS is_test FROM ranked), g0 AS (SELECT avg(is_excluded) AS g FROM sides WHERE NOT is_test),
+ te AS (SELECT specialty, (sum(is_excluded) + max(g) * 50) / (count(*) + 50) AS e FROM sides, g0 WHERE NOT is_test GROUP BY 1), scored AS (SELECT is_excluded, coalesce(e, g) AS score FROM (SELECT * FROM sides WHERE is_test) LEFT JOIN te USING (specialty), g0), {GROUPS}
+ SELECT {r6(AP)} AS average_precision, {r6(AUC)} AS roc_auc, {r6("max(p)::DOUBLE / max(t)")} AS positive_rate, {r6(f"{AP} / (max(p)::DOUBLE / max(t))")} AS lift FROM g""")
+def specialty_baseline(spark: SparkSession, d: str) -> DataFrame:
+    split = sampling.stratified_split(_provider_rows(spark, d), "npi", "is_excluded")
+    return rounded(experiments.specialty_baseline(split.where("is_test = 0"), split.where("is_test = 1")), "average_precision", "roc_auc", "positive_rate", "lift")
+
+
+@query()
+def provider_split_features(spark: SparkSession, d: str) -> DataFrame:
+    split = sampling.stratified_split(_provider_rows(spark, d), "npi", "is_excluded")
+    a, b = experiments.split_features(split.where("is_test = 0"), split.where("is_test = 1"), providers.manufacturer_pairs(pay(spark, d)), FEATURES)
+    return a.withColumn("is_test", F.lit(0)).unionByName(b.withColumn("is_test", F.lit(1)))
+
+
+@query()
+def capacity_variants(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _sides(spark, d)
+    return experiments.capacity(a, b, FEATURES, "is_excluded", "npi", rounds=10)
+
+
+@query()
+def repeated_splits(spark: SparkSession, d: str) -> DataFrame:
+    fit = lambda a, b: models.evaluate(models.scores(models.train(a, FEATURES, "is_excluded", models.logistic("is_excluded"), True), b, "npi", "is_excluded"), "is_excluded")
+    return experiments.repeated_splits(provider_numbers(spark, d).cache(), "is_excluded", "npi", fit, (42, 1, 2))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
