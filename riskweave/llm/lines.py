@@ -48,9 +48,8 @@ def simhashes(lines: list[list[str]]) -> np.ndarray:
     if len(_hashes) > REMEMBERED:
         _hashes.clear()
     known = _hashes
-    for line in lines:
-        for w in set(line) - known.keys():
-            known[w] = xxh64_digest(w.encode())
+    for w in {w for line in lines for w in line if w not in known}:
+        known[w] = xxh64_digest(w.encode())
     out = np.empty(len(lines), np.uint64)
     at = 0
     while at < len(lines):  # some 100,000 words at a time
@@ -60,7 +59,8 @@ def simhashes(lines: list[list[str]]) -> np.ndarray:
             end += 1
         sizes = np.array([len(x) for x in lines[at:end]])
         bits = np.unpackbits(np.frombuffer(b"".join([known[w] for x in lines[at:end] for w in x]), np.uint8)).reshape(-1, 64)
-        ones = np.add.reduceat(bits, np.r_[0, np.cumsum(sizes)[:-1]], axis=0, dtype=np.int32)
+        stops = np.cumsum(sizes).tolist()
+        ones = np.stack([bits[i:j].sum(axis=0, dtype=np.int32) for i, j in zip([0, *stops], stops, strict=False)])
         out[at:end] = np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8")[:, 0]
         at = end
     return out
