@@ -119,7 +119,7 @@ class WordEncoder:
     def many(self, texts: list[str | None]) -> list[np.ndarray]:
         known = self.known
         words = [None if t and odd(t) else (t or "").lower().split() for t in texts]
-        missing = set().union(*(w for w in words if w)) - known.keys()
+        missing = set().union(*(w for w in words if w)).difference(known)
         if missing:
             if len(known) > REMEMBERED:
                 known.clear()
