@@ -1,14 +1,16 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, one occurrence per connected group.
 
 Lines are compared in a normal form: lower case, white space runs as one blank. Lines of fewer than MIN_WORDS words
-are left alone. Equal normal forms are one line whose occurrences are counted; two different ones link if their
-SimHashes over words differ in at most T = 3 of 64 bits and their edit similarity (1 - Levenshtein distance over the
-longer length) is at least SIMILARITY. Of each connected group the first occurrence stays, by (doc_id, line number).
-
-Two SimHashes within 3 bits agree on at least two of five blocks, so each pair of blocks is a join key. Buckets first
-give groups by Hamming distance alone, as star forests; only the lines of such groups are fetched for the edit check,
-group by group, in pairs of chunks where a group is large. An accepted pair joins two parts, so a group costs about
-as many edit distances as it has lines.
+are left alone. Equal normal forms are one line whose occurrences are counted; different ones link if their SimHashes
+over neighbouring words differ in at most REACH of 64 bits and their edit similarity (1 - Levenshtein distance over the longer
+length) is at least SIMILARITY. Of each connected group the first occurrence stays, by (doc_id, line number).
+
+Candidates come from pigeonhole blocks. SimHashes within T = 3 bits agree on two of five blocks, so each pair of blocks
+is a join key; many pairs up to REACH bits apart share one too. And a few edits leave some part of a line
+untouched, so the two first and the two last quarters of its words (of short lines the halves) are keys as well. Pairs that share a key and are within
+REACH make groups, as star forests, never all pairs. Only the lines of such groups are fetched for the edit check,
+which looks at all pairs of a group within REACH, in pairs of chunks where a group is large. An accepted pair joins
+two parts, so a group costs about as many edit distances as it has lines.
 """
 
 from __future__ import annotations
@@ -28,9 +30,10 @@ from riskweave.llm.components import components
 from riskweave.llm.embedding import _groups
 
 MIN_WORDS, SIMILARITY = 5, 0.8
-T, BLOCKS = 3, 5
+T, BLOCKS, REACH = 3, 5, 16
 CUTS = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
 KEYS = [sum(((1 << CUTS[i + 1]) - 1) ^ ((1 << CUTS[i]) - 1) for i in pair) for pair in combinations(range(BLOCKS), BLOCKS - T)]
+PARTS = ["p0", "p1", "p2", "p3"]
 #: Rows of a bucket, and lines of a group, that one task compares; larger ones are dealt as pairs of chunks half as large.
 BUCKET, GROUP = 8192, 2048
 #: Words whose hashes a Python worker remembers.
@@ -43,39 +46,67 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit values with their bits stirred (the splitmix finish)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def simhashes(lines: list[list[str]]) -> np.ndarray:
-    """64-bit SimHash over the words of each line, as unsigned integers; ties of a bit give 0."""
+    """64-bit SimHash over the neighbouring words of each line, as unsigned integers; ties of a bit give 0.
+
+    Single words would not do: long lines of one language share most of their common words.
+    """
     if len(_hashes) > REMEMBERED:
         _hashes.clear()
     known = _hashes
     for w in {w for line in lines for w in line if w not in known}:
         known[w] = xxh64_digest(w.encode())
-    out = np.empty(len(lines), np.uint64)
+    out = np.zeros(len(lines), np.uint64)
     at = 0
     while at < len(lines):  # some 100,000 words at a time
         end, n = at, 0
         while end < len(lines) and (end == at or n + len(lines[end]) <= 100_000):
             n += len(lines[end])
             end += 1
-        sizes = np.array([len(x) for x in lines[at:end]])
-        bits = np.unpackbits(np.frombuffer(b"".join([known[w] for x in lines[at:end] for w in x]), np.uint8)).reshape(-1, 64)
-        stops = np.cumsum(sizes).tolist()
-        ones = np.stack([bits[i:j].sum(axis=0, dtype=np.int32) for i, j in zip([0, *stops], stops, strict=False)])
-        out[at:end] = np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8")[:, 0]
+        h = np.frombuffer(b"".join([known[w] for x in lines[at:end] for w in x]), np.uint64)
+        bits = np.unpackbits(mixed(h[:-1] * np.uint64(3) + h[1:]).view(np.uint8)).reshape(-1, 64)
+        stops = np.cumsum([len(x) for x in lines[at:end]]).tolist()
+        for k, (i, j) in enumerate(zip([0, *stops], stops, strict=False), at):  # without the pair across lines
+            if j - i > 1:
+                out[k] = np.packbits(2 * bits[i : j - 1].sum(axis=0, dtype=np.int32) > j - 1 - i).view(np.uint64)[0]
         at = end
     return out
 
 
+def part_keys(words: list[str]) -> list[bytes]:
+    """Hashes of four parts: the first, second, last but one and last quarter of the words, in steps of four words.
+
+    Shorter lines have the first and the last half, twice.
+    """
+    n = len(words)
+    q = n // 16 * 4
+    if n < 32:
+        h = n // 8 * 4 or n // 2
+        parts = [words[:h], words[-h:]] * 2
+    else:
+        parts = [words[:q], words[-q:], words[q : 2 * q], words[-2 * q : -q]]
+    return [xxh64_digest(" ".join(x).encode(), i) for x, i in zip(parts, (0, 1, 2, 3) if n >= 32 else (0, 1, 0, 1), strict=True)]
+
+
 def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         rows: list[tuple[int, int]] = []
         words: list[list[str]] = []
         digests: list[bytes] = []
+        parts: list[bytes] = []
 
         def out() -> pd.DataFrame:
             h = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-            frame = pd.DataFrame({"doc_id": [r[0] for r in rows], "line": [r[1] for r in rows], "h1": h[:, 0], "h2": h[:, 1], "sim": simhashes(words).view(np.int64)})
-            for x in (rows, words, digests):
+            p = np.frombuffer(b"".join(parts), ">i8").astype(np.int64).reshape(-1, 4)
+            frame = pd.DataFrame({"doc_id": [r[0] for r in rows], "line": [r[1] for r in rows], "h1": h[:, 0], "h2": h[:, 1], "sim": simhashes(words).view(np.int64), **{c: p[:, i] for i, c in enumerate(PARTS)}})
+            for x in (rows, words, digests, parts):
                 x.clear()
             return frame
 
@@ -86,6 +117,7 @@ def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     rows.append((doc, n))
                     words.append(w)
                     digests.append(xxh3_128_digest(" ".join(w).encode()))
+                    parts.extend(part_keys(w))
             if len(rows) > 20_000:
                 yield out()
         if rows:
@@ -93,7 +125,7 @@ def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def within(sim: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(sim[left] ^ sim[right]) <= T
+    return np.bitwise_count(sim[left] ^ sim[right]) <= REACH
 
 
 def _buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,9 +195,10 @@ def _dealt(rows: DataFrame, by: list[str], most: int, node: str) -> DataFrame:
     return out.select(*rows.columns, part, F.when(F.col("c") == F.col("o"), F.lit(-1).cast("long")).otherwise(F.col("c")).alias("side"))
 
 
-def hamming_links(prints: DataFrame, scratch: Scratch) -> DataFrame:
-    """``u, v``: edges that connect the ids of ``id long, sim long`` just as all pairs within T bits do."""
-    keys = F.array(*(F.struct(F.lit(n).alias("k"), F.col("sim").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("key")) for n, m in enumerate(KEYS)))
+def candidate_links(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """``u, v``: edges that connect the ids of ``id, sim`` and PARTS just as all pairs that share a key do."""
+    own = [F.struct(F.lit(len(KEYS)).alias("k"), F.col(c).alias("key")) for c in PARTS]
+    keys = F.array_union(F.array_distinct(F.array(*own)), F.array(*(F.struct(F.lit(n).alias("k"), F.col("sim").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("key")) for n, m in enumerate(KEYS))))
     rows = prints.select("id", "sim", F.explode(keys).alias("x")).select("x.k", "x.key", "id", "sim")
     plain = rows.select("k", "key", F.lit(-1).cast("long").alias("part"), F.lit(-1).cast("long").alias("side"), "id", "sim")
     found = scratch.keep(plain.repartition("k", "key").sortWithinPartitions("k", "key").mapInPandas(_buckets, "hot boolean, u long, v long"))
@@ -228,7 +261,7 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
         everyone = np.arange(len(f))
         for i in range(1, len(f)):
-            near = np.flatnonzero(np.bitwise_count(sim[:i] ^ sim[i]) <= T)
+            near = np.flatnonzero(np.bitwise_count(sim[:i] ^ sim[i]) <= REACH)
             if side[i] >= 0:
                 near = near[side[near] != side[i]]
             for j in near.tolist():
@@ -251,10 +284,10 @@ def _pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``doc_id long, dropped array<int>``: the numbers (from 0) of the lines that go, for documents that lose any."""
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    lines = scratch.keep(src.where("doc_id is not null and text is not null").mapInPandas(_lines, "doc_id long, line int, h1 long, h2 long, sim long"))
-    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.min("sim").alias("sim"))
-    firsts = scratch.keep(firsts.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "n", "sim"))
-    near = components(hamming_links(firsts.select("id", "sim"), scratch), scratch)
+    lines = scratch.keep(src.where("doc_id is not null and text is not null").mapInPandas(_lines, "doc_id long, line int, h1 long, h2 long, sim long, p0 long, p1 long, p2 long, p3 long"))
+    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("sim", *PARTS)))
+    firsts = scratch.keep(firsts.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "n", "sim", *PARTS))
+    near = components(candidate_links(firsts.select("id", "sim", *PARTS), scratch), scratch)
     near = near.unionByName(near.select(F.col("component").alias("node"), "component").distinct())
     members = scratch.keep(firsts.join(near, F.col("id") == F.col("node")).select("id", "sim", F.col("component").alias("root"), F.col("first.doc_id").alias("_doc"), F.col("first.line").alias("line")))
     wanted = members.groupBy("_doc").agg(F.collect_list(F.struct("id", "root", "sim", "line")).alias("wanted"))

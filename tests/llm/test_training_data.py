@@ -222,9 +222,12 @@ def brute_lines(rows: list[tuple]) -> dict:
             if len(lines.normal(x).split()) >= lines.MIN_WORDS:
                 where.setdefault(lines.normal(x), []).append((doc, i))
     names = list(where)
-    sims = lines.simhashes([n.split() for n in names])
-    a, b = zip(*((i, j) for i in range(len(names)) for j in range(i) if np.bitwise_count(sims[i] ^ sims[j]) <= lines.T and lines.similar(names[i], names[j])), strict=True)
-    root = dict(zip(*local_roots(np.array(a), np.array(b)), strict=True))
+    sims, halves = lines.simhashes([n.split() for n in names]), [set(lines.part_keys(n.split())) for n in names]
+    alike = lambda i, j: any(int(sims[i]) & m == int(sims[j]) & m for m in lines.KEYS) or bool(halves[i] & halves[j])
+    near = [(i, j) for i in range(len(names)) for j in range(i) if np.bitwise_count(sims[i] ^ sims[j]) <= lines.REACH]
+    cluster = dict(zip(*local_roots(*map(np.array, zip(*(p for p in near if alike(*p)), strict=True))), strict=True))
+    linked = [(i, j) for i, j in near if cluster.get(i, i) == cluster.get(j, j) and lines.similar(names[i], names[j])]
+    root = dict(zip(*local_roots(*map(np.array, zip(*linked, strict=True))), strict=True))
     groups: dict = {}
     for i, n in enumerate(names):
         groups.setdefault(root.get(i, i), []).extend(where[n])
@@ -266,11 +269,10 @@ def test_line_dedup_of_odd_rows(docs, empty):
 
 
 def test_hot_line_buckets_are_dealt_whole(spark):
-    many = [(i, int(i) << 52) for i in range(0, 4096)]  # one bucket of two blocks holds them all
-    df = spark.createDataFrame([(i, s - (1 << 64) if s >= 1 << 63 else s) for i, s in many], "id long, sim long")
-    assert lines.BUCKET > 4096
-    found = components(lines.hamming_links(df, Scratch(spark, "t")), Scratch(spark, "t"))
-    assert found.count() == 4095 and found.where("component <> 0").count() == 0
+    """More lines with one head than a task takes, each a bit from others."""
+    df = spark.createDataFrame([(i, i << 44, 5, i, 5, i) for i in range(lines.BUCKET + 500)], "id long, sim long, p0 long, p1 long, p2 long, p3 long")
+    found = components(lines.candidate_links(df, Scratch(spark, "t")), Scratch(spark, "t"))
+    assert found.count() == lines.BUCKET + 499 and found.where("component <> 0").count() == 0
 
 
 # ---------------------------------------------------------------- fingerprints
