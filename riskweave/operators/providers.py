@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions import exprs as X
 from riskweave.functions.ranks import first_by
 
 
-def rollup(payments: DataFrame) -> DataFrame:
-    """Counts, sums, exact median and mean shares of each npi. Reads npi, is_excluded, amount, related, third_party."""
-    log = X.log_amount(F.col("amount"))
-    return payments.groupBy("npi").agg(F.max("is_excluded").alias("is_excluded"), F.count("*").alias("total_payment_count"), X.money(F.col("amount")).alias("total_payment_amount"), F.avg(log).alias("mean_payment_amount_log"), F.median(log).alias("median_payment_amount_log"), F.avg("related").alias("share_related_product"), F.avg("third_party").alias("share_third_party_payment"))
+def rollup(payments: DataFrame, natures: list[str] | None = None) -> DataFrame:
+    """Counts, sums, exact median and mean shares of each npi, and the shares of the listed natures, in one pass.
+
+    Reads npi, is_excluded, amount, related, third_party and, for shares, nature.
+    """
+    log, shares = X.log_amount(F.col("amount")), nature_shares(natures or [])
+    return payments.groupBy("npi").agg(F.max("is_excluded").alias("is_excluded"), F.count("*").alias("total_payment_count"), X.money(F.col("amount")).alias("total_payment_amount"), F.avg(log).alias("mean_payment_amount_log"), F.median(log).alias("median_payment_amount_log"), F.avg("related").alias("share_related_product"), F.avg("third_party").alias("share_third_party_payment"), *shares)
 
 
 def check_constant_label(payments: DataFrame, label: str = "is_excluded") -> None:
@@ -39,15 +42,19 @@ def concentration(pairs: DataFrame) -> DataFrame:
     return out.select("npi", "n_distinct_manufacturers", X.divide(F.col("_top"), F.col("_all")).alias("top_manufacturer_amount_share"))
 
 
+def nature_shares(names: list[str]) -> list[Column]:
+    return [F.avg((F.col("nature") == n).cast("int")).alias(f"share_nature_{n}") for n in names]
+
+
 def nature_mix(payments: DataFrame, names: list[str]) -> DataFrame:
     """Each listed group's share of an npi's payments, as conditional means of one pass."""
-    return payments.groupBy("npi").agg(*(F.avg((F.col("nature") == n).cast("int")).alias(f"share_nature_{n}") for n in names))
+    return payments.groupBy("npi").agg(*nature_shares(names))
 
 
 def provider_features(payments: DataFrame, natures: list[str]) -> DataFrame:
     """The full provider row: rollup, specialty, concentration and mix."""
-    parts = [mode(payments, "specialty", "recipient_specialty"), concentration(manufacturer_pairs(payments)), nature_mix(payments, natures)]
-    out = rollup(payments)
+    parts = [mode(payments, "specialty", "recipient_specialty"), concentration(manufacturer_pairs(payments))]
+    out = rollup(payments, natures)
     for p in parts:
         out = out.join(p, "npi")
     return out
