@@ -225,9 +225,10 @@ def brute_lines(rows: list[tuple]) -> dict:
     sims, halves = lines.simhashes([n.split() for n in names]), [set(lines.part_keys(n.split())) for n in names]
     alike = lambda i, j: any(int(sims[i]) & m == int(sims[j]) & m for m in lines.KEYS) or bool(halves[i] & halves[j])
     near = [(i, j) for i in range(len(names)) for j in range(i) if np.bitwise_count(sims[i] ^ sims[j]) <= lines.REACH]
-    cluster = dict(zip(*local_roots(*map(np.array, zip(*(p for p in near if alike(*p)), strict=True))), strict=True))
+    rooted = lambda pairs: dict(zip(*local_roots(*np.array(pairs, int).reshape(-1, 2).T), strict=True))
+    cluster = rooted([p for p in near if alike(*p)])
     linked = [(i, j) for i, j in near if cluster.get(i, i) == cluster.get(j, j) and lines.similar(names[i], names[j])]
-    root = dict(zip(*local_roots(*map(np.array, zip(*linked, strict=True))), strict=True))
+    root = rooted(linked)
     groups: dict = {}
     for i, n in enumerate(names):
         groups.setdefault(root.get(i, i), []).extend(where[n])
