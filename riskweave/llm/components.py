@@ -3,7 +3,8 @@
 Alternating large-star and small-star contraction (Kiveris et al., "Connected Components in MapReduce and
 Beyond", 2014). Before each round every partition contracts the edges it happens to hold, so that a round
 starts from forests. Minima are aggregated map-side and joined back, so a hub's edges are never brought to one
-task: the join is a plain inner equi-join, which adaptive execution splits where a hub is hot.
+task: the join is a plain inner equi-join, which adaptive execution splits where a hub is hot. Once fewer than BLOCK
+edges are left (a fixed bound, some 8 MB), one task contracts them all.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out()
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 60, block: int = BLOCK) -> DataFrame:
     """``node long, component long`` for every node with an edge to another one; component: its smallest node.
 
     ``edges`` has two long columns u and v. Self-loops, repeated edges and both directions are allowed; rows with
@@ -52,7 +53,11 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     mark = None
     for _ in range(rounds):
         tight = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if tight == mark or not tight[0]:
+        if tight == mark:
+            break
+        if tight[0] < block:  # what one task may contract at once
+            last, now = now, scratch.keep(now.coalesce(1).mapInPandas(contract, EDGES))
+            scratch.drop(last)
             break
         mark = tight
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
