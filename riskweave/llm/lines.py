@@ -5,7 +5,7 @@ are left alone. Equal normal forms are one line whose occurrences are counted; d
 over neighbouring words differ in at most REACH of 64 bits and their edit similarity (1 - Levenshtein distance over the longer
 length) is at least SIMILARITY. Of each connected group the first occurrence stays, by (doc_id, line number).
 
-Candidates come from pigeonhole blocks. SimHashes within T = 3 bits agree on two of five blocks, so each pair of blocks
+Candidates come from pigeonhole blocks. SimHashes within T = 2 bits agree on two of four blocks, so each pair of blocks
 is a join key; many pairs up to REACH bits apart share one too. And a few edits leave some part of a line
 untouched, so the two first and the two last quarters of its words (of short lines the halves) are keys as well. Pairs that share a key and are within
 REACH make groups, as star forests, never all pairs. Only the lines of such groups are fetched for the edit check,
@@ -30,7 +30,7 @@ from riskweave.llm.components import components
 from riskweave.llm.embedding import _groups
 
 MIN_WORDS, SIMILARITY = 5, 0.8
-T, BLOCKS, REACH = 3, 5, 16
+T, BLOCKS, REACH = 2, 4, 12
 CUTS = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
 KEYS = [sum(((1 << CUTS[i + 1]) - 1) ^ ((1 << CUTS[i]) - 1) for i in pair) for pair in combinations(range(BLOCKS), BLOCKS - T)]
 PARTS = ["p0", "p1", "p2", "p3"]
@@ -39,7 +39,17 @@ BUCKET, GROUP = 8192, 2048
 #: Words whose hashes a Python worker remembers.
 REMEMBERED = 500_000
 
-_hashes: dict[str, bytes] = {}
+
+
+class _Hashes(dict):
+    """The hash of each word, learned when first asked for."""
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = own = xxh64_digest(word.encode())
+        return own
+
+
+_hashes = _Hashes()
 
 
 def normal(line: str) -> str:
@@ -53,6 +63,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: The bits of a byte as the bytes of a word, highest first.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
+
+
 def simhashes(lines: list[list[str]]) -> np.ndarray:
     """64-bit SimHash over the neighbouring words of each line, as unsigned integers; ties of a bit give 0.
 
@@ -61,8 +75,6 @@ def simhashes(lines: list[list[str]]) -> np.ndarray:
     if len(_hashes) > REMEMBERED:
         _hashes.clear()
     known = _hashes
-    for w in {w for line in lines for w in line if w not in known}:
-        known[w] = xxh64_digest(w.encode())
     out = np.zeros(len(lines), np.uint64)
     at = 0
     while at < len(lines):  # some 100,000 words at a time
@@ -71,11 +83,18 @@ def simhashes(lines: list[list[str]]) -> np.ndarray:
             n += len(lines[end])
             end += 1
         h = np.frombuffer(b"".join([known[w] for x in lines[at:end] for w in x]), np.uint64)
-        bits = np.unpackbits(mixed(h[:-1] * np.uint64(3) + h[1:]).view(np.uint8)).reshape(-1, 64)
-        stops = np.cumsum([len(x) for x in lines[at:end]]).tolist()
-        for k, (i, j) in enumerate(zip([0, *stops], stops, strict=False), at):  # without the pair across lines
-            if j - i > 1:
-                out[k] = np.packbits(2 * bits[i : j - 1].sum(axis=0, dtype=np.int32) > j - 1 - i).view(np.uint64)[0]
+        lanes = LANES[mixed(h * np.uint64(3) + np.roll(h, -1)).view(np.uint8)].reshape(-1, 8)
+        sizes = np.array([len(x) for x in lines[at:end]])
+        stops = np.cumsum(sizes)
+        lanes[stops - 1] = 0  # the pair across lines
+        # bytes hold counts of up to 255: sums over parts of lines first, then over the parts
+        parts = -(-sizes // 255)
+        first = np.cumsum(parts) - parts
+        begins = np.repeat(stops - sizes, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
+        counts = np.add.reduceat(lanes, begins, axis=0).view(np.uint8).astype(np.int64)
+        if len(counts) > len(sizes):
+            counts = np.add.reduceat(counts, first, axis=0)
+        out[at:end] = np.packbits(2 * counts > sizes[:, None] - 1, axis=1).view(np.uint64)[:, 0]
         at = end
     return out
 
@@ -226,11 +245,11 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     a, b = a[start : len(a) - end], b[start : len(b) - end]
     if max(len(a), len(b)) <= most:
         return True
-    return distance(a, b) <= most
+    return distance(a, b, most) <= most
 
 
-def distance(a: str, b: str) -> int:
-    """Levenshtein distance (Myers, 1999; Hyyro's form), a column of the table per letter of b."""
+def distance(a: str, b: str, most: float = float("inf")) -> int:
+    """Levenshtein distance (Myers, 1999; Hyyro's form), a column of the table per letter of b; over most: any number over most."""
     if not a or not b:
         return len(a) + len(b)
     masks: dict[str, int] = {}
@@ -238,7 +257,9 @@ def distance(a: str, b: str) -> int:
         masks[c] = masks.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     pv, mv, score = full, 0, len(a)
-    for c in b:
+    for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
+        if score - left - 1 > most:  # the score falls by one a letter at most
+            return score
         eq = masks.get(c, 0)
         xv, xh = eq | mv, (((eq & pv) + pv) ^ pv) | eq
         ph, mh = mv | (full & ~(xh | pv)), pv & xh
