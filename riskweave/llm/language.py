@@ -10,11 +10,11 @@ are remembered, and a whole text costs one look-up a word.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,7 +27,7 @@ SAMPLE_DOCS, SAMPLE_LETTERS = 400, 80_000
 #: Words that a Python worker remembers, and how sharply scores fall with bits a letter.
 REMEMBERED, SHARPNESS = 500_000, 12.0
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 
 
 class SuffixAutomaton:
