@@ -2,7 +2,7 @@
 
 Centres are fitted on a bounded sample of the distinct vectors; every distinct vector is then placed in its nearest
 cell and in those almost as near (within SLACK of the best cosine, at most PROBES cells), so that a close pair shares
-a cell. A cell is dealt to blocks of about BLOCK vectors, and a task multiplies two blocks. A pair that shares several
+a cell. Of centres nearer than APART one stays: a dense group is one cell, however much of the sample it makes up. A cell is dealt to blocks of about BLOCK vectors, and a task multiplies two blocks. A pair that shares several
 cells counts in the first of them only. Tasks emit link counts and star forests, never pairs; copies of one vector are
 one row with a count. Recall against brute force is measured in the tests.
 """
@@ -22,7 +22,7 @@ from riskweave.llm.components import components
 COSINE = 0.95
 #: Vectors (and numbers) of the sample that is fitted, most cells, vectors aimed at in a cell, rounds.
 SAMPLE_ROWS, SAMPLE_NUMBERS, MOST_CELLS, CELL, ROUNDS, SEED = 16_384, 4_000_000, 1024, 1500, 12, 42
-PROBES, SLACK, BLOCK = 6, 0.12, 1024
+PROBES, SLACK, BLOCK, APART = 4, 0.08, 1024, 0.75
 
 
 def unit(vectors: pd.Series | list) -> np.ndarray:
@@ -49,6 +49,15 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = SE
     return centres
 
 
+def apart(centres: np.ndarray, most: float = APART) -> np.ndarray:
+    """Centres no two of which are nearer than most: cells as fine as a link would tear a dense group apart."""
+    kept: list[int] = []
+    for i, near in enumerate(centres @ centres.T > most):
+        if not near[kept].any():
+            kept.append(i)
+    return centres[kept]
+
+
 def cells(x: np.ndarray, centres: np.ndarray, probes: int = PROBES, slack: float = SLACK) -> np.ndarray:
     """For each row the cells it is placed in, ascending; unused places hold -1 - place."""
     near = x @ centres.T
@@ -81,7 +90,7 @@ def fit_cells(distinct: DataFrame, cell: int = CELL, most: int = MOST_CELLS) ->
         k = min(most, -(-n // cell))
         if k > 1:
             own = distinct.where(F.size("v") == d).orderBy(F.xxhash64("v"), "rep").limit(rows).select("v").toPandas()["v"]
-            out[d] = spherical_kmeans(unit(own), min(k, len(own)))
+            out[d] = apart(spherical_kmeans(unit(own), min(k, len(own))))
     return out
 
 
