@@ -313,7 +313,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     members = scratch.keep(firsts.join(near, F.col("id") == F.col("node")).select("id", "sim", F.col("component").alias("root"), F.col("first.doc_id").alias("_doc"), F.col("first.line").alias("line")))
     wanted = members.groupBy("_doc").agg(F.collect_list(F.struct("id", "root", "sim", "line")).alias("wanted"))
     # rows that share a doc_id have texts of their own, of which one is the line's
-    texts = src.join(wanted, F.col("doc_id") == F.col("_doc")).select("text", "wanted").mapInPandas(_pick, "id long, root long, sim long, text string")
+    texts = src.join(wanted.hint("merge"), F.col("doc_id") == F.col("_doc")).select("text", "wanted").mapInPandas(_pick, "id long, root long, sim long, text string")
     texts = scratch.keep(texts.groupBy("id").agg(F.min("root").alias("root"), F.min("sim").alias("sim"), F.min("text").alias("text")))
     dealt = _dealt(texts, ["root"], GROUP, "id")
     edges = scratch.keep(dealt.repartition("root", "part").sortWithinPartitions("root", "part", "id").mapInPandas(_verify, "u long, v long"))
@@ -344,7 +344,7 @@ def dedup_lines(docs: DataFrame, scratch: Scratch | None = None, count: bool = F
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     gone = repeated_lines(docs, scratch).select(F.col("doc_id").alias("of"), "dropped")
     rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    joined = rows.join(gone, F.col("id") == F.col("of"), "left")
+    joined = rows.join(gone.hint("merge"), F.col("id") == F.col("of"), "left")
     cut, old = F.col("dropped").isNotNull(), F.col("row.text").cast("string")
     new = F.when(cut, _without(F.coalesce(old, F.lit("")), F.coalesce("dropped", F.array().cast("array<int>")))).otherwise(old)
     lines = F.coalesce(F.regexp_count(old, F.lit("\n")) + 1, F.lit(0)).cast("long")

@@ -112,7 +112,7 @@ def mixed_documents(docs: DataFrame, scratch: Scratch | None = None, **options)
     plan = scratch.keep(mix(docs, scratch, **options).where("taken > 0").select(F.col("doc_id").alias("of"), "whole", "extra").dropDuplicates(["of"]))
     rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"))
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("whole").cast("int")), F.when(F.col("extra") > 0, F.array("extra")).otherwise(F.array().cast("array<long>")))
-    joined = rows.join(plan, F.col("id").eqNullSafe(F.col("of"))).select("row", F.explode(copies).alias("copy"))
+    joined = rows.join(plan.hint("merge"), F.col("id").eqNullSafe(F.col("of"))).select("row", F.explode(copies).alias("copy"))
     words = F.slice(F.filter(F.split(F.col("row.text"), "[\\x20\\x09-\\x0D]"), lambda x: x != ""), 1, F.col("copy").cast("int"))
     joined = joined.withColumn("new", F.when(F.col("copy") < 0, F.col("row.text")).otherwise(F.array_join(words, " ")))
     own = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("new")}
