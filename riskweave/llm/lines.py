@@ -1,16 +1,18 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, one occurrence per connected group.
 
 Lines are compared in a normal form: lower case, white space runs as one blank. Lines of fewer than MIN_WORDS words
-are left alone. Equal normal forms are one line whose occurrences are counted; different ones link if their SimHashes
-over neighbouring words differ in at most REACH of 64 bits and their edit similarity (1 - Levenshtein distance over the longer
-length) is at least SIMILARITY. Of each connected group the first occurrence stays, by (doc_id, line number).
-
-Candidates come from pigeonhole blocks. SimHashes within T = 2 bits agree on two of four blocks, so each pair of blocks
-is a join key; many pairs up to REACH bits apart share one too. And a few edits leave some part of a line
-untouched, so the two first and the two last quarters of its words (of short lines the halves) are keys as well. Pairs that share a key and are within
-REACH make groups, as star forests, never all pairs. Only the lines of such groups are fetched for the edit check,
-which looks at all pairs of a group within REACH, in pairs of chunks where a group is large. An accepted pair joins
-two parts, so a group costs about as many edit distances as it has lines.
+are left alone. Equal normal forms are one line whose occurrences are counted; different ones link if they share a key
+and their edit similarity (1 - Levenshtein distance over the longer length) is at least SIMILARITY, however far apart
+their SimHashes are. Of each connected group the first occurrence stays, by (doc_id, line number).
+
+Keys come from pigeonhole blocks: SimHashes within T = 3 bits agree on two of five blocks, so each pair of blocks is a
+key; many pairs further apart share one too. A few edits leave some part of a line untouched, so the two first and the
+two last quarters of its words (of short lines the halves) are keys as well. And lines that share most of their words
+share the least of them by some hashes: BANDS keys of ROWS such words find them when an edit is in every part.
+
+Only lines that share a key with another one are fetched. Of a key's lines all pairs are looked at, in pairs of chunks
+where there are many; counts of letter pairs, of which an edit changes two at most, spare most edit distances and never
+a pair that is similar. An accepted pair joins two parts, so a group costs about as many distances as it has lines.
 """
 
 from __future__ import annotations
@@ -27,18 +29,21 @@ from xxhash import xxh3_128_digest, xxh64_digest
 
 from riskweave.llm.common import Scratch, load, local_roots, quoted
 from riskweave.llm.components import components
-from riskweave.llm.embedding import _groups
 
 MIN_WORDS, SIMILARITY = 5, 0.8
-T, BLOCKS, REACH = 2, 4, 12
+#: Differing bits that surely give a common key, blocks, and bits in which linked lines may differ: all of them.
+T, BLOCKS, REACH = 3, 5, 64
+#: Keys from least words, and words of each.
+BANDS, ROWS = 8, 3
 CUTS = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
 KEYS = [sum(((1 << CUTS[i + 1]) - 1) ^ ((1 << CUTS[i]) - 1) for i in pair) for pair in combinations(range(BLOCKS), BLOCKS - T)]
-PARTS = ["p0", "p1", "p2", "p3"]
-#: Rows of a bucket, and lines of a group, that one task compares; larger ones are dealt as pairs of chunks half as large.
+PARTS = [f"p{i}" for i in range(4 + BANDS)]
+#: Rows of a bucket that one task holds, and lines that it compares; larger ones are dealt as pairs of chunks half as large.
 BUCKET, GROUP = 8192, 2048
 #: Words whose hashes a Python worker remembers.
 REMEMBERED = 500_000
-
+#: Counts of letter pairs that each line is told by.
+COUNTS = 256
 
 
 class _Hashes(dict):
@@ -114,6 +119,21 @@ def part_keys(words: list[str]) -> list[bytes]:
     return [xxh64_digest(" ".join(x).encode(), i) for x, i in zip(parts, (0, 1, 2, 3) if n >= 32 else (0, 1, 0, 1), strict=True)]
 
 
+def word_keys(lines: list[list[str]]) -> np.ndarray:
+    """BANDS keys of each line: of its words those that are least by ROWS hashes, stirred together."""
+    out = np.zeros((len(lines), BANDS), np.uint64)
+    if not lines:
+        return out
+    h = np.frombuffer(b"".join([_hashes[w] for x in lines for w in x]), np.uint64)
+    sizes = np.array([len(x) for x in lines])
+    begins = np.cumsum(sizes) - sizes
+    for band in range(BANDS):
+        for row in range(ROWS):
+            seed = np.uint64((band * ROWS + row + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+            out[:, band] = mixed(out[:, band] * np.uint64(3) + np.minimum.reduceat(mixed(h ^ seed), begins))
+    return out
+
+
 def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         rows: list[tuple[int, int]] = []
@@ -123,7 +143,7 @@ def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
         def out() -> pd.DataFrame:
             h = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-            p = np.frombuffer(b"".join(parts), ">i8").astype(np.int64).reshape(-1, 4)
+            p = np.c_[np.frombuffer(b"".join(parts), ">i8").astype(np.int64).reshape(-1, 4), word_keys(words).view(np.int64)]
             frame = pd.DataFrame({"doc_id": [r[0] for r in rows], "line": [r[1] for r in rows], "h1": h[:, 0], "h2": h[:, 1], "sim": simhashes(words).view(np.int64), **{c: p[:, i] for i, c in enumerate(PARTS)}})
             for x in (rows, words, digests, parts):
                 x.clear()
@@ -143,28 +163,23 @@ def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield out()
 
 
-def within(sim: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(sim[left] ^ sim[right]) <= REACH
+def _shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each bucket with others, named by what is in it; of a bucket that is too large only its key, as hot."""
+    for f in _whole(frames, ["k", "key"], BUCKET + 1):
+        k, key, node = (f[c].to_numpy(np.int64) for c in ("k", "key", "id"))
+        run = np.cumsum(_new(k, key)) - 1
+        size = np.bincount(run)[run]
+        hot, several = size > BUCKET, (size > 1) & (size <= BUCKET)
+        if hot.any():
+            yield pd.DataFrame({"hot": True, "a": k[hot], "b": key[hot], "id": -1}).drop_duplicates()
+        total = np.zeros(run[-1] + 1, np.uint64)
+        np.add.at(total, run[several], mixed(node[several].view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+        yield pd.DataFrame({"hot": False, "a": total[run[several]].view(np.int64), "b": size[several], "id": node[several]})
 
 
-def _buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Star forests of the links in each bucket; of a bucket that is too large only its key, as hot."""
-    for f in _batches(frames):
-        k, key, part = (f[c].to_numpy(np.int64) for c in ("k", "key", "part"))
-        run = np.cumsum(np.r_[True, (k[1:] != k[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
-        sim, node, side = f["sim"].to_numpy(np.int64).view(np.uint64), f["id"].to_numpy(np.int64), f["side"].to_numpy(np.int64)
-        hot = (np.bincount(run)[run] > BUCKET) & (part < 0)
-        if hot.any():
-            yield pd.DataFrame({"hot": True, "u": k[hot], "v": key[hot]}).drop_duplicates()
-            run, sim, node, side = (x[~hot] for x in (run, sim, node, side))
-        u, v = node[:0], node[:0]
-        for left, right in pairs_of_runs(run):
-            ok = within(sim, left, right) & ((side[left] < 0) | (side[left] != side[right]))
-            u, v = np.concatenate([u, node[left[ok]]]), np.concatenate([v, node[right[ok]]])
-            if len(u) > 1 << 20:
-                u, v = local_roots(u, v)
-        u, v = local_roots(u, v)
-        yield pd.DataFrame({"hot": False, "u": u, "v": v})
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    return np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)]
 
 
 def pairs_of_runs(run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -187,20 +202,19 @@ def pairs_of_runs(run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield left[left < right], right[left < right]
 
 
-def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (k, key, part) in batches of whole buckets; a bucket over BUCKET rows is cut to BUCKET + 1."""
+def _whole(frames: Iterator[pd.DataFrame], by: list[str], most: int | None = None) -> Iterator[pd.DataFrame]:
+    """Rows sorted by some columns in batches of whole runs; one that fills a batch is cut to most rows, if given."""
     rest = None
     for f in frames:
         f = pd.concat([rest, f], ignore_index=True) if rest is not None else f
         if not len(f):
             continue
-        k, key, part = (f[c].to_numpy(np.int64) for c in ("k", "key", "part"))
-        cut = int(np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])])[-1])
-        if not cut:
-            rest = f.iloc[: BUCKET + 1] if part[0] < 0 else f
-            continue
-        yield f.iloc[:cut]
+        cut = int(np.flatnonzero(_new(*(f[c].to_numpy(np.int64) for c in by)))[-1])
+        if cut:
+            yield f.iloc[:cut]
         rest = f.iloc[cut:]
+        if most is not None:
+            rest = rest.iloc[:most]
     if rest is not None and len(rest):
         yield rest
 
@@ -214,19 +228,28 @@ def _dealt(rows: DataFrame, by: list[str], most: int, node: str) -> DataFrame:
     return out.select(*rows.columns, part, F.when(F.col("c") == F.col("o"), F.lit(-1).cast("long")).otherwise(F.col("c")).alias("side"))
 
 
-def candidate_links(prints: DataFrame, scratch: Scratch) -> DataFrame:
-    """``u, v``: edges that connect the ids of ``id, sim`` and PARTS just as all pairs that share a key do."""
-    own = [F.struct(F.lit(len(KEYS)).alias("k"), F.col(c).alias("key")) for c in PARTS]
+def buckets(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """``a, b, id``: the ids of each bucket (a, b) of ``id, sim`` and PARTS (those there are) that holds several, once."""
+    own = [F.struct(F.lit(len(KEYS) + max(0, i - 3)).alias("k"), F.col(c).alias("key")) for i, c in enumerate(PARTS) if c in prints.columns]
     keys = F.array_union(F.array_distinct(F.array(*own)), F.array(*(F.struct(F.lit(n).alias("k"), F.col("sim").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("key")) for n, m in enumerate(KEYS))))
-    rows = prints.select("id", "sim", F.explode(keys).alias("x")).select("x.k", "x.key", "id", "sim")
-    plain = rows.select("k", "key", F.lit(-1).cast("long").alias("part"), F.lit(-1).cast("long").alias("side"), "id", "sim")
-    found = scratch.keep(plain.repartition("k", "key").sortWithinPartitions("k", "key").mapInPandas(_buckets, "hot boolean, u long, v long"))
-    edges, hot = found.where("not hot").select("u", "v"), found.where("hot").select(F.col("u").cast("int").alias("k"), F.col("v").alias("key")).distinct()
+    rows = prints.select("id", F.explode(keys).alias("x")).select("x.k", "x.key", "id")
+    found = scratch.keep(rows.repartition("k", "key").sortWithinPartitions("k", "key").mapInPandas(_shared, "hot boolean, a long, b long, id long"))
+    out, hot = found.where("not hot").select("a", "b", "id").distinct(), found.where("hot").select(F.col("a").cast("int").alias("k"), F.col("b").alias("key")).distinct()
     if hot.isEmpty():
-        return edges
-    dealt = _dealt(rows.join(hot, ["k", "key"]), ["k", "key"], BUCKET, "id").select("k", "key", "part", "side", "id", "sim")
-    twice = dealt.repartition("k", "key", "part").sortWithinPartitions("k", "key", "part").mapInPandas(_buckets, "hot boolean, u long, v long")
-    return edges.unionByName(scratch.keep(twice.select("u", "v")))
+        return out
+    return out.unionByName(rows.join(hot, ["k", "key"]).select(F.col("key").alias("a"), (-1 - F.col("k")).cast("long").alias("b"), "id"))
+
+
+def candidate_links(prints: DataFrame, scratch: Scratch, shared: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """``u, v``: edges that connect the ids of ``id, sim`` and PARTS just as all pairs that share a key do.
+
+    With ``id, text`` of the ids in shared (the buckets of prints) a pair has to be similar too.
+    """
+    shared = scratch.keep(buckets(prints, scratch)) if shared is None else shared
+    dealt = _dealt(shared, ["a", "b"], GROUP, "id")
+    dealt = dealt.withColumn("text", F.lit("")) if texts is None else dealt.join(texts.hint("merge"), "id")
+    rows = dealt.select("a", "b", "part", "side", "id", "text")
+    return scratch.keep(rows.repartition("a", "b", "part").sortWithinPartitions("a", "b", "part", "id").mapInPandas(_verify, "u long, v long"))
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
@@ -269,28 +292,67 @@ def distance(a: str, b: str, most: float = float("inf")) -> int:
     return score
 
 
+def pair_counts(texts: list[str]) -> np.ndarray:
+    """How often each text has the pairs of letters that share one of COUNTS hashes, up to 255."""
+    out = np.zeros((len(texts), COUNTS), np.uint8)
+    at = 0
+    while at < len(texts):  # some million letters at a time
+        end, n = at, 0
+        while end < len(texts) and end - at < 4096 and (end == at or n + len(texts[end]) <= 1 << 20):
+            n += len(texts[end])
+            end += 1
+        letters = np.frombuffer("".join(texts[at:end]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        row = np.repeat(np.arange(end - at), [len(x) for x in texts[at:end]])
+        code = (mixed(letters[:-1] * np.uint64(0x110000) + letters[1:]) % np.uint64(COUNTS)).astype(np.int64)
+        inside = row[:-1] == row[1:]
+        found = np.bincount(row[:-1][inside] * COUNTS + code[inside], minlength=(end - at) * COUNTS)
+        out[at:end] = np.minimum(found, 255).reshape(-1, COUNTS)
+        at = end
+    return out
+
+
+def perhaps(counts: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs may be similar: an edit takes two letter pairs away and adds two at most."""
+    most = np.maximum(sizes[left], sizes[right]) * (1 - SIMILARITY) + 1e-6
+    ok = np.flatnonzero(np.abs(sizes[left] - sizes[right]) <= most)
+    out = []
+    for i in range(0, len(ok), 8192):
+        at = ok[i : i + 8192]
+        x, y = counts[left[at]], counts[right[at]]
+        low = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+        out.append(at[np.maximum(x.sum(axis=1, dtype=np.int64), y.sum(axis=1, dtype=np.int64)) - low <= 2 * most[at]])
+    return np.concatenate(out) if out else ok
+
+
 def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Star forests of the pairs that pass both tests, in each part of each group."""
-    for f in _groups(frames, ["root", "part"]):
-        sim, node, side, text = f["sim"].to_numpy(np.int64).view(np.uint64), f["id"].to_numpy(np.int64), f["side"].to_numpy(np.int64), list(f["text"])
-        parent = list(range(len(f)))
+    """Star forests of the similar pairs in each part of each bucket."""
+    for f in _whole(frames, ["a", "b", "part"]):
+        ids, at = np.unique(f["id"].to_numpy(np.int64), return_inverse=True)
+        side, run = f["side"].to_numpy(np.int64), np.cumsum(_new(*(f[c].to_numpy(np.int64) for c in ("a", "b", "part"))))
+        text = [""] * len(ids)
+        for i, x in zip(at.tolist(), f["text"], strict=True):
+            text[i] = x
+        counts, sizes = pair_counts(text), np.array([len(x) for x in text])
+        parent, roots = list(range(len(ids))), np.arange(len(ids))
 
         def root(i: int, parent: list[int] = parent) -> int:
             while parent[i] != i:
                 parent[i] = i = parent[parent[i]]
             return i
 
-        everyone = np.arange(len(f))
-        for i in range(1, len(f)):
-            near = np.flatnonzero(np.bitwise_count(sim[:i] ^ sim[i]) <= REACH)
-            if side[i] >= 0:
-                near = near[side[near] != side[i]]
-            for j in near.tolist():
+        for left, right in pairs_of_runs(run):
+            ok = (side[left] < 0) | (side[left] != side[right])
+            left, right = at[left[ok]], at[right[ok]]
+            apart = roots[left] != roots[right]  # of a line that is met again, much is known
+            left, right = left[apart], right[apart]
+            own = perhaps(counts, sizes, left, right)
+            for i, j in zip(left[own].tolist(), right[own].tolist(), strict=True):
                 if (a := root(i)) != (b := root(j)) and similar(text[i], text[j]):
                     parent[max(a, b)] = min(a, b)
-        roots = np.array([root(i) for i in everyone])
-        apart = roots != everyone
-        yield pd.DataFrame({"u": node[apart], "v": node[roots[apart]]})
+            if len(own):
+                roots = np.array([root(i) for i in range(len(ids))])
+        apart = roots != np.arange(len(ids))
+        yield pd.DataFrame({"u": ids[apart], "v": ids[roots[apart]]})
 
 
 def _pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -298,25 +360,24 @@ def _pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for text, wanted in zip(f["text"], f["wanted"], strict=True):
             lines = (text or "").split("\n")
-            rows += [(w["id"], w["root"], w["sim"], normal(lines[w["line"]])) for w in wanted if w["line"] < len(lines)]
-        yield pd.DataFrame(rows, columns=["id", "root", "sim", "text"])
+            rows += [(w["id"], normal(lines[w["line"]])) for w in wanted if w["line"] < len(lines)]
+        yield pd.DataFrame(rows, columns=["id", "text"])
 
 
 def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``doc_id long, dropped array<int>``: the numbers (from 0) of the lines that go, for documents that lose any."""
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    lines = scratch.keep(src.where("doc_id is not null and text is not null").mapInPandas(_lines, "doc_id long, line int, h1 long, h2 long, sim long, p0 long, p1 long, p2 long, p3 long"))
+    lines = scratch.keep(src.where("doc_id is not null and text is not null").mapInPandas(_lines, "doc_id long, line int, h1 long, h2 long, sim long, " + ", ".join(f"{c} long" for c in PARTS)))
     firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("sim", *PARTS)))
     firsts = scratch.keep(firsts.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "n", "sim", *PARTS))
-    near = components(candidate_links(firsts.select("id", "sim", *PARTS), scratch), scratch)
-    near = near.unionByName(near.select(F.col("component").alias("node"), "component").distinct())
-    members = scratch.keep(firsts.join(near, F.col("id") == F.col("node")).select("id", "sim", F.col("component").alias("root"), F.col("first.doc_id").alias("_doc"), F.col("first.line").alias("line")))
-    wanted = members.groupBy("_doc").agg(F.collect_list(F.struct("id", "root", "sim", "line")).alias("wanted"))
+    prints = firsts.select("id", "sim", *PARTS)
+    shared = scratch.keep(buckets(prints, scratch))
+    members = firsts.join(shared.select("id").distinct(), "id").select("id", F.col("first.doc_id").alias("_doc"), F.col("first.line").alias("line"))
+    wanted = members.groupBy("_doc").agg(F.collect_list(F.struct("id", "line")).alias("wanted"))
     # rows that share a doc_id have texts of their own, of which one is the line's
-    texts = src.join(wanted.hint("merge"), F.col("doc_id") == F.col("_doc")).select("text", "wanted").mapInPandas(_pick, "id long, root long, sim long, text string")
-    texts = scratch.keep(texts.groupBy("id").agg(F.min("root").alias("root"), F.min("sim").alias("sim"), F.min("text").alias("text")))
-    dealt = _dealt(texts, ["root"], GROUP, "id")
-    edges = scratch.keep(dealt.repartition("root", "part").sortWithinPartitions("root", "part", "id").mapInPandas(_verify, "u long, v long"))
+    texts = src.join(wanted.hint("merge"), F.col("doc_id") == F.col("_doc")).select("text", "wanted").mapInPandas(_pick, "id long, text string")
+    texts = scratch.keep(texts.groupBy("id").agg(F.min("text").alias("text")))
+    edges = candidate_links(prints, scratch, shared, texts)
     groups = components(edges, scratch)
     classed = scratch.keep(firsts.join(groups, F.col("id") == F.col("node"), "left").select("h1", "h2", "first", "n", F.coalesce("component", "id").alias("class")))
     classes = classed.groupBy("class").agg(F.sum("n").alias("total"), F.min("first").alias("stays")).where("total > 1")

@@ -277,6 +277,35 @@ def test_hot_line_buckets_are_dealt_whole(spark):
     assert found.count() == lines.BUCKET + 499 and found.where("component <> 0").count() == 0
 
 
+def test_line_dedup_finds_similar_lines(spark):
+    """Recall against plain edit similarity: lines of 5 to 40 words with up to a sixth of their words replaced anywhere."""
+    rng, rows = np.random.default_rng(23), []
+    for d in range(400):
+        own = prose(5 + d % 36, 50_000 + d).split()
+        new = list(own)
+        for i in rng.choice(len(own), max(1, len(own) // 6), replace=False):
+            new[int(i)] = prose(1, int(rng.integers(1 << 30)))
+        rows += [(d, " ".join(own)), (1000 + d, " ".join(new))]
+    texts = dict(rows)
+    wanted = {1000 + d for d in range(400) if lines.similar(texts[d], texts[1000 + d])}
+    left = {r["doc_id"] for r in rows_of(lines.dedup_lines(frame(spark, [(*r, "en", "s", 1) for r in rows]))) if r["text"]}
+    assert len(wanted) > 390 and {d for d in texts if d < 1000} <= left
+    assert len(wanted - left) >= 0.97 * len(wanted)
+
+
+def test_letter_pair_counts_spare_no_similar_pair():
+    rng, texts = np.random.default_rng(3), []
+    for k in range(300):
+        x = list(prose(int(rng.integers(1, 20)), k))
+        texts.append("".join(x))
+        for _ in range(int(0.2 * len(x))):
+            x[int(rng.integers(len(x)))] = str(rng.choice(list("abcé字 ")))
+        texts.append("".join(x))
+    left = np.arange(0, 600, 2)
+    assert all(lines.similar(texts[i], texts[i + 1]) for i in left.tolist())
+    assert list(lines.perhaps(lines.pair_counts(texts), np.array([len(x) for x in texts]), left, left + 1)) == list(range(300))
+
+
 # ---------------------------------------------------------------- fingerprints
 
 
