@@ -1,8 +1,8 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, one occurrence per connected group.
 
-Lines are compared in a normal form: lower case, white space runs as one blank. Lines of fewer than MIN_WORDS words
-are left alone. Equal normal forms are one line whose occurrences are counted; different ones link if they share a key
-and their edit similarity (1 - Levenshtein distance over the longer length) is at least SIMILARITY, however far apart
+Lines are compared in a normal form: lower case, white space runs as one blank. Empty lines are left
+alone. Equal normal forms of any other length are one line whose occurrences are counted; different ones of
+FUZZY_LETTERS letters or FUZZY_WORDS words or more link if they share a key and their edit similarity (1 - Levenshtein distance over the longer length) is at least SIMILARITY, however far apart
 their SimHashes are. Of each connected group the first occurrence stays, by (doc_id, line number).
 
 Keys come from pigeonhole blocks: SimHashes within T = 3 bits agree on two of five blocks, so each pair of blocks is a
@@ -30,11 +30,14 @@ from xxhash import xxh3_128_digest, xxh64_digest
 from riskweave.llm.common import Scratch, load, local_roots, quoted
 from riskweave.llm.components import components
 
-MIN_WORDS, SIMILARITY = 5, 0.8
+#: Words of a line that is looked at, and edit similarity that links.
+MIN_WORDS, SIMILARITY = 1, 0.8
+#: Letters, or words, from which lines that differ are compared; the letters a word from which its letters stand for words.
+FUZZY_LETTERS, FUZZY_WORDS, LONG_WORD = 10, 5, 20
 #: Differing bits that surely give a common key, blocks, and bits in which linked lines may differ: all of them.
 T, BLOCKS, REACH = 3, 5, 64
-#: Keys from least words, and words of each.
-BANDS, ROWS = 8, 3
+#: Keys from least words, and words of each; words of a long line, and pairs of each of its keys.
+BANDS, ROWS, MANY, PAIRS = 8, 3, 24, 2
 CUTS = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
 KEYS = [sum(((1 << CUTS[i + 1]) - 1) ^ ((1 << CUTS[i]) - 1) for i in pair) for pair in combinations(range(BLOCKS), BLOCKS - T)]
 PARTS = [f"p{i}" for i in range(4 + BANDS)]
@@ -119,18 +122,35 @@ def part_keys(words: list[str]) -> list[bytes]:
     return [xxh64_digest(" ".join(x).encode(), i) for x, i in zip(parts, (0, 1, 2, 3) if n >= 32 else (0, 1, 0, 1), strict=True)]
 
 
+def tokens(words: list[str]) -> list[str]:
+    """What the keys of a line are made of: its words; of few words or of text without blanks, its runs of three letters."""
+    if len(words) >= FUZZY_WORDS and sum(map(len, words)) < LONG_WORD * len(words):
+        return words
+    line = " ".join(words)
+    return [line[i : i + 3] for i in range(max(1, len(line) - 2))]
+
+
 def word_keys(lines: list[list[str]]) -> np.ndarray:
-    """BANDS keys of each line: of its words those that are least by ROWS hashes, stirred together."""
+    """BANDS keys of each line: of its words those that are least by ROWS hashes, stirred together.
+
+    From MANY words on, neighbouring pairs take the place of words, as long lines have their common words in common.
+    """
     out = np.zeros((len(lines), BANDS), np.uint64)
     if not lines:
         return out
     h = np.frombuffer(b"".join([_hashes[w] for x in lines for w in x]), np.uint64)
     sizes = np.array([len(x) for x in lines])
     begins = np.cumsum(sizes) - sizes
+    many = sizes >= MANY
+    h = np.where(np.repeat(many, sizes), mixed(h * np.uint64(3) + np.roll(h, -1)), h)
+    h[(begins + sizes - 1)[many]] = h[begins[many]]  # the pair across lines
     for band in range(BANDS):
         for row in range(ROWS):
             seed = np.uint64((band * ROWS + row + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-            out[:, band] = mixed(out[:, band] * np.uint64(3) + np.minimum.reduceat(mixed(h ^ seed), begins))
+            least = np.minimum.reduceat(mixed(h ^ seed), begins)
+            if row >= PAIRS:
+                least[many] = 0
+            out[:, band] = mixed(out[:, band] * np.uint64(3) + least)
     return out
 
 
@@ -140,12 +160,15 @@ def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: list[list[str]] = []
         digests: list[bytes] = []
         parts: list[bytes] = []
+        fuzzy: list[bool] = []
 
         def out() -> pd.DataFrame:
             h = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
             p = np.c_[np.frombuffer(b"".join(parts), ">i8").astype(np.int64).reshape(-1, 4), word_keys(words).view(np.int64)]
-            frame = pd.DataFrame({"doc_id": [r[0] for r in rows], "line": [r[1] for r in rows], "h1": h[:, 0], "h2": h[:, 1], "sim": simhashes(words).view(np.int64), **{c: p[:, i] for i, c in enumerate(PARTS)}})
-            for x in (rows, words, digests, parts):
+            own, exact = np.zeros((len(rows), 1 + len(PARTS)), np.int64), ~np.array(fuzzy)
+            own[~exact] = np.c_[simhashes(words).view(np.int64), p]
+            frame = pd.DataFrame({"doc_id": [r[0] for r in rows], "line": [r[1] for r in rows], "h1": h[:, 0], "h2": h[:, 1], **{c: pd.arrays.IntegerArray(own[:, i], exact) for i, c in enumerate(["sim", *PARTS])}})
+            for x in (rows, words, digests, parts, fuzzy):
                 x.clear()
             return frame
 
@@ -154,9 +177,11 @@ def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 w = line.lower().split()
                 if len(w) >= MIN_WORDS:
                     rows.append((doc, n))
-                    words.append(w)
                     digests.append(xxh3_128_digest(" ".join(w).encode()))
-                    parts.extend(part_keys(w))
+                    fuzzy.append(len(w) >= FUZZY_WORDS or sum(map(str.isalpha, "".join(w))) >= FUZZY_LETTERS)
+                    if fuzzy[-1]:
+                        words.append(tokens(w))
+                        parts.extend(part_keys(words[-1]))
             if len(rows) > 20_000:
                 yield out()
         if rows:
@@ -334,6 +359,7 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text[i] = x
         counts, sizes = pair_counts(text), np.array([len(x) for x in text])
         parent, roots = list(range(len(ids))), np.arange(len(ids))
+        apart_for_sure: set[tuple[int, int]] = set()
 
         def root(i: int, parent: list[int] = parent) -> int:
             while parent[i] != i:
@@ -347,8 +373,13 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             left, right = left[apart], right[apart]
             own = perhaps(counts, sizes, left, right)
             for i, j in zip(left[own].tolist(), right[own].tolist(), strict=True):
-                if (a := root(i)) != (b := root(j)) and similar(text[i], text[j]):
+                pair = (min(i, j), max(i, j))
+                if pair in apart_for_sure or (a := root(i)) == (b := root(j)):
+                    continue
+                if similar(text[i], text[j]):
                     parent[max(a, b)] = min(a, b)
+                else:
+                    apart_for_sure.add(pair)
             if len(own):
                 roots = np.array([root(i) for i in range(len(ids))])
         apart = roots != np.arange(len(ids))
@@ -370,7 +401,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     lines = scratch.keep(src.where("doc_id is not null and text is not null").mapInPandas(_lines, "doc_id long, line int, h1 long, h2 long, sim long, " + ", ".join(f"{c} long" for c in PARTS)))
     firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("sim", *PARTS)))
     firsts = scratch.keep(firsts.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "n", "sim", *PARTS))
-    prints = firsts.select("id", "sim", *PARTS)
+    prints = firsts.where("sim is not null").select("id", "sim", *PARTS)
     shared = scratch.keep(buckets(prints, scratch))
     members = firsts.join(shared.select("id").distinct(), "id").select("id", F.col("first.doc_id").alias("_doc"), F.col("first.line").alias("line"))
     wanted = members.groupBy("_doc").agg(F.collect_list(F.struct("id", "line")).alias("wanted"))

@@ -293,6 +293,13 @@ def test_line_dedup_finds_similar_lines(spark):
     assert len(wanted - left) >= 0.97 * len(wanted)
 
 
+def test_line_dedup_of_short_lines_and_text_without_blanks(spark):
+    long = "今天天气很好我们一起去公园散步然后回家吃饭看电视"
+    rows = [(1, f"Menu\nAll rights reserved.\n{long}\n\nab\nabout this site"), (2, f"menu\n{long}\nall  rights reserved.\n\nac\nabout that site"), (3, long.replace("公", "花") + "\nmenu\nabout thiz site")]
+    got = {r["doc_id"]: r["text"] for r in rows_of(lines.dedup_lines(frame(spark, [(*r, "en", "s", 1) for r in rows])))}
+    assert got == {1: rows[0][1], 2: "\nac", 3: ""}
+
+
 def test_letter_pair_counts_spare_no_similar_pair():
     rng, texts = np.random.default_rng(3), []
     for k in range(300):
