@@ -23,6 +23,7 @@ from xxhash import xxh64_digest
 
 from riskweave.llm.common import Scratch, load, local_roots, quoted
 from riskweave.llm.components import components
+from riskweave.llm.lines import _dealt, _new, _shared, _whole, pairs_of_runs
 
 #: Differing bits that still link, and segments of the ring.
 T, M = 4, 7
@@ -33,6 +34,9 @@ BUDGETS = [length * T // M for length in range(1, M + 1)]
 KEYS = [(i, MASKS[i] | MASKS[(i + a) % M] | MASKS[(i + b) % M]) for i in range(M) for a, b in combinations(range(1, 5), 2) if a <= 2]
 STARTS = np.array([i for i, _ in KEYS])
 FOUND = "hot boolean, u long, v long"
+#: Of near-duplicate texts: words of a shingle, least Jaccard similarity, keys, least hashes of each, texts compared by a task.
+WIDTH, JACCARD, BANDS, ROWS, GROUP = 5, 0.8, 14, 4, 1024
+ODDS = np.random.default_rng(64).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Rows of a bucket that one task compares; larger buckets are split into chunks of half as many.
 BUCKET = 8192
 
@@ -52,6 +56,15 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """The hashes of the different word shingles of a text, sorted; none of a text without words."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    found = set(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))) if len(words) >= width else {b" ".join(words)}
+    return np.sort(np.frombuffer(b"".join([xxh64_digest(s, 42) for s in found]), np.uint64))
+
+
 def _fingerprints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         fp = np.fromiter(map(fingerprint, f["text"]), np.uint64, len(f)).view(np.int64)
@@ -182,13 +195,85 @@ def simhash_components(docs: DataFrame, scratch: Scratch | None = None) -> DataF
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """The rows of docs, all columns, that are the first of their group: doc_id equals component_id.
+def _contents(frames: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    """The hash of each text's words, and keys that texts with most shingles in common are likely to share."""
+    for f in frames:
+        content, keys = [], []
+        for text in f["text"]:
+            found = shingles(text, width)
+            least = (found[:, None] * ODDS).min(axis=0) if len(found) else ODDS
+            content.append(xxh64_digest(b" ".join((text or "").encode().lower().split())))
+            keys.append([xxh64_digest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))])
+        signed = lambda x: np.frombuffer(b"".join(x), ">i8").astype(np.int64)
+        yield pd.DataFrame({"doc_id": f["doc_id"], "content": signed(content), "keys": [signed(x) for x in keys]})
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sets of shingles have a Jaccard similarity of at least least; sets of nothing are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= least * max(len(a), len(b)) - 1e-9 else 0
+    return both >= least * (len(a) + len(b) - both) - 1e-9
+
+
+def _alike(frames: Iterator[pd.DataFrame], width: int, least: float) -> Iterator[pd.DataFrame]:
+    """Star forests of the texts that are alike in each part of each bucket."""
+    for f in _whole(frames, ["a", "b", "part"]):
+        ids, first, at = np.unique(f["id"].to_numpy(np.int64), return_index=True, return_inverse=True)
+        side, run = f["side"].to_numpy(np.int64), np.cumsum(_new(*(f[c].to_numpy(np.int64) for c in ("a", "b", "part"))))
+        sets = [shingles(t, width) for t in f["text"].iloc[first]]
+        root = np.arange(len(ids))
+        for left, right in pairs_of_runs(run):
+            ok = (side[left] < 0) | (side[left] != side[right])
+            for i, j in zip(at[left[ok]].tolist(), at[right[ok]].tolist(), strict=True):
+                if root[i] != root[j] and alike(sets[i], sets[j], least):
+                    root[root == root[j]] = root[i]
+        apart = root != np.arange(len(ids))
+        yield pd.DataFrame({"u": ids[apart], "v": ids[root[apart]]})
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = WIDTH, least: float = JACCARD) -> DataFrame:
+    """``gone long``: the doc_ids that are not the smallest of their group of near-duplicates.
+
+    Texts link if the sets of their word shingles have a Jaccard similarity of at least least. Pairs are looked for
+    under BANDS keys of ROWS least hashes each: one at 0.8 shares a key 99.9 times in 100. Texts without words are
+    equal. Rows with one doc_id are one document; a null doc_id links with nothing.
+    """
+    src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    prints = scratch.keep(src.mapInPandas(lambda x: _contents(x, width), "doc_id long, content long, keys array<long>"))
+    reps = prints.groupBy("content").agg(F.min(F.struct("doc_id", "keys")).alias("x")).select("content", "x.doc_id", "x.keys")
+    rows = reps.select(F.col("content").alias("id"), F.posexplode("keys").alias("k", "key")).select("k", "key", "id")
+    found = scratch.keep(rows.repartition("k", "key").sortWithinPartitions("k", "key").mapInPandas(_shared, "hot boolean, a long, b long, id long"))
+    shared, hot = found.where("not hot").select("a", "b", "id").distinct(), found.where("hot").select(F.col("a").cast("int").alias("k"), F.col("b").alias("key")).distinct()
+    if not hot.isEmpty():
+        shared = shared.unionByName(rows.join(hot, ["k", "key"]).select(F.col("key").alias("a"), (-1 - F.col("k")).cast("long").alias("b"), "id"))
+    shared = scratch.keep(shared)
+    wanted = reps.join(shared.select(F.col("id").alias("content")).distinct(), "content").select(F.col("doc_id").alias("_doc")).distinct()
+    # rows that share a doc_id have texts of their own
+    texts = src.join(wanted.hint("merge"), F.col("doc_id") == F.col("_doc")).select("text")
+    texts = scratch.keep(texts.mapInPandas(_named, "id long, text string").groupBy("id").agg(F.min("text").alias("text")))
+    dealt = _dealt(shared, ["a", "b"], GROUP, "id").join(texts.hint("merge"), "id").select("a", "b", "part", "side", "id", "text")
+    edges = scratch.keep(dealt.repartition("a", "b", "part").sortWithinPartitions("a", "b", "part", "id").mapInPandas(lambda x: _alike(x, width, least), "u long, v long"))
+    # rows of one document with different texts join its groups
+    several = prints.groupBy("doc_id").agg(F.min("content").alias("v"), F.max("content").alias("w")).where("v <> w")
+    groups = components(edges.unionByName(several.join(prints, "doc_id").select(F.col("content").alias("u"), "v")), scratch)
+    named = prints.select("doc_id", "content").join(groups, F.col("content") == F.col("node"), "left").select("doc_id", F.coalesce("component", "content").alias("component"))
+    stays = named.groupBy("component").agg(F.min("doc_id").alias("stays"))
+    return named.join(stays, "component").where("doc_id <> stays").select(F.col("doc_id").alias("gone")).distinct()
+
+
+def _named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        content = b"".join([xxh64_digest(b" ".join((t or "").encode().lower().split())) for t in f["text"]])
+        yield pd.DataFrame({"id": np.frombuffer(content, ">i8").astype(np.int64), "text": [t or "" for t in f["text"]]})
+
+
+def keep_one(docs: DataFrame, scratch: Scratch | None = None, gone: DataFrame | None = None) -> DataFrame:
+    """The rows of docs, all columns, that are the first of their group: of gone, or else of simhash_components.
 
     Rows with a null doc_id stay; rows that share a doc_id stay or go together.
     """
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
-    gone = simhash_components(docs, scratch).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    if gone is None:
+        gone = simhash_components(docs, scratch).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
     rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"))
     return rows.join(scratch.keep(gone), F.col("id") == F.col("gone"), "left_anti").select("row.*")
 

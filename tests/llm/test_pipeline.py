@@ -82,3 +82,20 @@ def test_run_gives_the_last_stage(spark, folder):
     assert list(out.columns) == [c.split()[0] for c in packing.PIECES.split(", ")] and len(out) > 50
     full = out.groupby("sequence_id").length.sum()
     assert all(n & (n - 1) == 0 and n <= 2048 for n in full)
+
+
+def test_near_dedup_meets_jaccard(spark, folder):
+    """Texts of 100 to 200 words with up to four replaced, against the Jaccard similarity of five-word shingles."""
+    rng, rows, near = np.random.default_rng(17), [], set()
+    five = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for d in range(150):
+        own = prose(int(rng.integers(100, 200)), 70_000 + d).split()
+        new = list(own)
+        for i in rng.choice(len(own), 1 + d % 4, replace=False):
+            new[int(i)] = "other"
+        rows += [(d, " ".join(own)), (1000 + d, " ".join(new))]
+        if len(five(own) & five(new)) >= 0.8 * len(five(own) | five(new)):
+            near.add(1000 + d)
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = set(table(corpus_pipeline.near_dedup(spark, docs, folder)).doc_id)
+    assert 100 < len(near) < 150 and {d for d, _ in rows} - left == near
