@@ -5,7 +5,7 @@ another one. Training adds to the log loss the mean squared change of the logit
 pairing: Garg et al., 2019), so that neutral mentions of a group don't move the score.
 
 Features are the words of a text and their first 4, 5 and 6 letters, each present or absent. Their counts by class are
-aggregated over all labelled rows; the fit itself takes a sample of at most FIT_ROWS rows of each class, weighted back
+aggregated over all labelled rows that are not held out; the fit itself takes a sample of at most FIT_ROWS rows of each class, weighted back
 to the class's true size.
 """
 
@@ -96,10 +96,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most_featu
     spark = docs.sparkSession
     ids = spark.createDataFrame(pd.DataFrame([(r["doc_id"], r["toxic"]) for s in sampled for r in s], columns=["_id", "toxic"]), "_id long, toxic int")
     # at most 2 * fit_rows ids: small enough to broadcast whatever the input
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
-    counted = texts.mapInPandas(_count, "feature string, n long, p long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
-    took = {y: max(1, len(s)) for y, s in enumerate(sampled)}
-    odds = F.log((F.col("p") + 0.5) / (took[1] + 1)) - F.log((F.col("n") + 0.5) / (took[0] + 1))
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = own.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    labelled = own.join(known.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).select("text", "toxic")
+    counted = labelled.mapInPandas(_count, "feature string, n long, p long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    odds = F.log((F.col("p") + 0.5) / (sizes[1] + 1)) - F.log((F.col("n") + 0.5) / (sizes[0] + 1))
     weight = F.abs(odds) / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))
     named = F.col("feature").isin(list(_NEXT))
     best = counted.where((F.col("n") + F.col("p") >= LEAST) & (named | (weight >= SURE))).orderBy(named.desc(), weight.desc(), "feature").limit(most_features).select("feature").collect()

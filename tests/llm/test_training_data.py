@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from riskweave.llm import chat, embedding, fingerprint, language, licenses, lines, mixing, packing, simhash, toxicity
 from riskweave.llm.common import Scratch, local_roots
@@ -90,6 +91,17 @@ def test_counterfactual_pairs_take_weight_off_group_words(spark):
     assert weight[0.0] > 0.2 and abs(weight[50.0]) < 0.3 * weight[0.0]
 
 
+def test_toxicity_counts_features_outside_the_sample(spark):
+    """A word of one sampled toxic row, and of 29 that are not in the sample, is a feature."""
+    ids = spark.range(600).withColumnRenamed("id", "doc_id").where(~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = [r["doc_id"] for r in ids.collect()]
+    toxic = order[::2]
+    marked = {toxic[0], *toxic[-29:]}
+    docs = frame(spark, [(d, prose(10, d) + (" zzyzx" if d in marked else ""), "en", "s", 1) for d in order])
+    labels = spark.createDataFrame([(d, int(d in set(toxic))) for d in order], "doc_id long, toxic int")
+    assert toxicity.fit(docs, labels, fit_rows=20)["weights"].get("zzyzx", 0) > 0
+
+
 def test_swapping_stays_in_its_line():
     assert toxicity.swapped("Muslim prayers and women.") == "christian prayers and men."
     assert toxicity.swapped("nobody here") is None and toxicity.swapped(None) is None
