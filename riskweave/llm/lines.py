@@ -40,6 +40,7 @@ T, BLOCKS, REACH = 3, 5, 64
 BANDS, ROWS, MANY, PAIRS = 8, 3, 24, 2
 CUTS = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
 KEYS = [sum(((1 << CUTS[i + 1]) - 1) ^ ((1 << CUTS[i]) - 1) for i in pair) for pair in combinations(range(BLOCKS), BLOCKS - T)]
+#: The other keys; 32 bits of each are kept, as pairs are compared anyway.
 PARTS = [f"p{i}" for i in range(4 + BANDS)]
 #: Rows of a bucket that one task holds, and lines that it compares; larger ones are dealt as pairs of chunks half as large.
 BUCKET, GROUP = 8192, 2048
@@ -167,7 +168,7 @@ def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             p = np.c_[np.frombuffer(b"".join(parts), ">i8").astype(np.int64).reshape(-1, 4), word_keys(words).view(np.int64)]
             own, exact = np.zeros((len(rows), 1 + len(PARTS)), np.int64), ~np.array(fuzzy)
             own[~exact] = np.c_[simhashes(words).view(np.int64), p]
-            frame = pd.DataFrame({"doc_id": [r[0] for r in rows], "line": [r[1] for r in rows], "h1": h[:, 0], "h2": h[:, 1], **{c: pd.arrays.IntegerArray(own[:, i], exact) for i, c in enumerate(["sim", *PARTS])}})
+            frame = pd.DataFrame({"doc_id": [r[0] for r in rows], "line": [r[1] for r in rows], "h1": h[:, 0], "h2": h[:, 1], "sim": pd.arrays.IntegerArray(own[:, 0], exact), **{c: pd.arrays.IntegerArray(own[:, 1 + i].astype(np.int32), exact) for i, c in enumerate(PARTS)}})
             for x in (rows, words, digests, parts, fuzzy):
                 x.clear()
             return frame
@@ -255,7 +256,7 @@ def _dealt(rows: DataFrame, by: list[str], most: int, node: str) -> DataFrame:
 
 def buckets(prints: DataFrame, scratch: Scratch) -> DataFrame:
     """``a, b, id``: the ids of each bucket (a, b) of ``id, sim`` and PARTS (those there are) that holds several, once."""
-    own = [F.struct(F.lit(len(KEYS) + max(0, i - 3)).alias("k"), F.col(c).alias("key")) for i, c in enumerate(PARTS) if c in prints.columns]
+    own = [F.struct(F.lit(len(KEYS) + max(0, i - 3)).alias("k"), F.col(c).cast("long").alias("key")) for i, c in enumerate(PARTS) if c in prints.columns]
     keys = F.array_union(F.array_distinct(F.array(*own)), F.array(*(F.struct(F.lit(n).alias("k"), F.col("sim").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("key")) for n, m in enumerate(KEYS))))
     rows = prints.select("id", F.explode(keys).alias("x")).select("x.k", "x.key", "id")
     found = scratch.keep(rows.repartition("k", "key").sortWithinPartitions("k", "key").mapInPandas(_shared, "hot boolean, a long, b long, id long"))
@@ -398,7 +399,7 @@ def _pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``doc_id long, dropped array<int>``: the numbers (from 0) of the lines that go, for documents that lose any."""
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    lines = scratch.keep(src.where("doc_id is not null and text is not null").mapInPandas(_lines, "doc_id long, line int, h1 long, h2 long, sim long, " + ", ".join(f"{c} long" for c in PARTS)))
+    lines = scratch.keep(src.where("doc_id is not null and text is not null").mapInPandas(_lines, "doc_id long, line int, h1 long, h2 long, sim long, " + ", ".join(f"{c} int" for c in PARTS)))
     firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("sim", *PARTS)))
     firsts = scratch.keep(firsts.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "n", "sim", *PARTS))
     prints = firsts.where("sim is not null").select("id", "sim", *PARTS)
