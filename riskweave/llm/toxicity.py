@@ -98,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most_featu
     # at most 2 * fit_rows ids: small enough to broadcast whatever the input
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     texts = own.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
-    labelled = own.join(known.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).select("text", "toxic")
+    labelled = own.join(known.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id") == F.col("_id")).select("text", "toxic")
     counted = labelled.mapInPandas(_count, "feature string, n long, p long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     odds = F.log((F.col("p") + 0.5) / (sizes[1] + 1)) - F.log((F.col("n") + 0.5) / (sizes[0] + 1))
     weight = F.abs(odds) / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))
