@@ -36,7 +36,7 @@ def running(df: DataFrame, by: list[str], order: str, sums: list[str], descendin
     keys = ["_one", *by]
     probs = F.array(*(F.lit(i / BUCKETS) for i in range(1, BUCKETS)))
     bounds = src.groupBy(*keys).agg(F.percentile_approx(order, probs, F.lit(4 * BUCKETS)).alias("_bounds"))
-    src = src.join(bounds, keys).withColumn("_b", F.size(F.filter("_bounds", lambda x: x <= F.col(order)))).drop("_bounds")
+    src = src.join(bounds, keys).withColumn("_b", _at_most("_bounds", F.col(order))).drop("_bounds")
     way = (lambda c: F.col(c).desc()) if descending else F.col
     totals = src.groupBy(*keys, "_b").agg(*(F.sum(s).alias(f"_t_{s}") for s in sums))
     before = W.partitionBy(*keys).orderBy(way("_b")).rowsBetween(W.unboundedPreceding, -1)
@@ -48,6 +48,31 @@ def running(df: DataFrame, by: list[str], order: str, sums: list[str], descendin
     return out.select(*df.columns, *((F.col(f"_c_{s}") + F.col(f"_p_{s}")).alias(f"cum_{s}") for s in sums), *(f"all_{s}" for s in sums))
 
 
+def _at_most(bounds: str, value: Column) -> Column:
+    """How many of an ascending array's numbers (fewer than BUCKETS) are at most value, by binary search."""
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(BUCKETS.bit_length() - 1))))
+    fits = lambda at, step: (at + step <= F.size(bounds)) & (F.get(bounds, at + step - 1) <= value)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(fits(at, step), at + step).otherwise(at))
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]) -> DataFrame:
+    """``*by, p0, p1, ...``: exact quantiles of the non-null values, linearly interpolated.
+
+    Distinct values are counted and ranked by ``running``; each quantile lies at or between two ranks.
+    """
+    per = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    ranked = running(per, by, "_v", ["_n"], descending=False)
+    out = []
+    for i, p in enumerate(probs):
+        at = (F.col("all__n") - 1) * F.lit(float(p))
+        # 0-based ranks of this value: cum - n to cum - 1
+        holds = lambda rank: (rank >= F.col("cum__n") - F.col("_n")) & (rank < F.col("cum__n"))
+        low, high = (F.max(F.when(holds(f(at)), F.col("_v"))) for f in (F.floor, F.ceil))
+        share = F.max(at - F.floor(at))
+        out.append((low + F.when(share > 0, (high - low) * share).otherwise(0.0)).alias(f"p{i}"))
+    return ranked.groupBy(*by).agg(*out)
+
+
 def first_by(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group."""
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("_rn = 1").drop("_rn")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions import exprs as X
-from riskweave.functions.ranks import running
+from riskweave.functions.ranks import quantiles, running
 
 
 def missingness(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -25,7 +25,7 @@ def moments(df: DataFrame, columns: list[str], by: str) -> DataFrame:
 
 def percentiles(df: DataFrame, column: str, by: str, at: tuple = (0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
     """Exact percentiles with linear interpolation."""
-    return df.groupBy(by).agg(*(F.percentile(column, F.lit(p)).alias(f"p{round(p * 100)}") for p in at))
+    return quantiles(df, [by], column, list(at)).select(by, *(F.col(f"p{i}").alias(f"p{round(p * 100)}") for i, p in enumerate(at)))
 
 
 def category_rates(df: DataFrame, category: Column, label: str, name: str = "category") -> DataFrame:
@@ -45,10 +45,10 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def flag_lift(df: DataFrame, flags: list[str], label: str) -> DataFrame:
-    """How much more often each flag is set among positives; null where no negative has it."""
+    """How much more often each flag is set among positives; infinity where no negative has it."""
     long = df.select(label, *flags).unpivot([label], flags, "flag", "value")
     rate = lambda y: X.divide(F.sum(F.when(F.col(label) == y, F.col("value"))), F.sum((F.col(label) == y).cast("long")))
-    return long.groupBy("flag").agg(rate(1).alias("rate_positive"), rate(0).alias("rate_negative")).withColumn("lift", X.divide(F.col("rate_positive"), F.col("rate_negative")))
+    return long.groupBy("flag").agg(rate(1).alias("rate_positive"), rate(0).alias("rate_negative")).withColumn("lift", F.when(F.coalesce("rate_negative", F.lit(0.0)) == 0, F.lit(float("inf"))).otherwise(F.col("rate_positive") / F.col("rate_negative")))
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, flag: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions import exprs as X
+from riskweave.functions.ranks import quantiles
 from riskweave.operators.providers import weighted_mean
 
 SMOOTHING, RARE, OTHER = 50.0, 1000, "Other"
@@ -33,7 +34,7 @@ def out_of_fold(df: DataFrame, category: str, label: str, fold: str, name: str,
     """Adds each row's encoding from the other folds only.
 
     No loop over folds: sums by (category, fold), and a fold's complement is the total less its own. label holds sums
-    where weight (rows that a row stands for) is given.
+    where weight (rows that a row stands for) is given. Rows without a fold are a fold of their own.
     """
     w = F.col(weight) if weight else F.lit(1)
     cell = df.groupBy(X.missing(F.col(category)).alias("_c"), F.col(fold).alias("_f")).agg(F.sum(label).cast("double").alias("s"), F.sum(w).alias("n"))
@@ -41,9 +42,9 @@ def out_of_fold(df: DataFrame, category: str, label: str, fold: str, name: str,
     of_fold = cell.groupBy("_f").agg(F.sum("s").alias("fs"), F.sum("n").alias("fn"))
     folds = of_fold.withColumn("one", F.lit(1))
     all_of = folds.groupBy("one").agg(F.sum("fs").alias("as"), F.sum("fn").alias("an"))
-    rates = folds.join(all_of, "one").select("_f", F.coalesce(X.divide(F.col("as") - F.col("fs"), F.col("an") - F.col("fn")), F.lit(0.0)).alias("g"))
-    table = cell.join(of_category, "_c").join(rates, "_f").select("_c", "_f", smoothed(F.col("cs") - F.col("s"), F.col("cn") - F.col("n"), F.col("g"), m).alias(name))
-    return df.join(table, (X.missing(F.col(category)) == F.col("_c")) & (F.col(fold) == F.col("_f"))).drop("_c", "_f")
+    rates = folds.join(all_of, "one").select(F.col("_f").alias("_rf"), F.coalesce(X.divide(F.col("as") - F.col("fs"), F.col("an") - F.col("fn")), F.lit(0.0)).alias("g"))
+    table = cell.join(of_category, "_c").join(rates, F.col("_f").eqNullSafe(F.col("_rf"))).select("_c", "_f", smoothed(F.col("cs") - F.col("s"), F.col("cn") - F.col("n"), F.col("g"), m).alias(name))
+    return df.join(table, (X.missing(F.col(category)) == F.col("_c")) & F.col(fold).eqNullSafe(F.col("_f"))).drop("_c", "_f")
 
 
 def frequency_encoding(df: DataFrame, category: str) -> DataFrame:
@@ -66,7 +67,9 @@ def one_hot(df: DataFrame, category: str, kept: list[str], prefix: str) -> DataF
 
 
 def fit_median(train: DataFrame, column: str) -> float | None:
-    return train.agg(F.median(column)).first()[0]
+    """The exact median, by counts of distinct values: no task sees more than a bucket of them."""
+    found = quantiles(train, [], column, [0.5]).first()
+    return None if found is None else found["p0"]
 
 
 def impute(df: DataFrame, column: str, median: float | None) -> DataFrame:

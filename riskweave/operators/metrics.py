@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskweave.functions.exprs import divide
-from riskweave.functions.ranks import running
+from riskweave.functions.ranks import quantiles, running
 
 STEPS = 1000
 
@@ -89,11 +89,13 @@ def percentile_ranks(df: DataFrame, score: str) -> DataFrame:
 
 
 def anomaly_capture(df: DataFrame, score: str, label: str, shares: tuple = (0.01, 0.05, 0.10)) -> DataFrame:
-    """How highly positives rank: mean score and percentile rank of either class, and positives above each cutoff."""
-    cuts = df.agg(F.percentile(score, F.array(*(F.lit(1 - s) for s in shares))).alias("c")).first()["c"] or [None] * len(shares)
+    """How highly positives rank: mean score and percentile rank of either class, and positives above each cutoff, with their share of all."""
+    found = quantiles(df, [], score, [1 - s for s in shares]).first()
+    cuts = list(found) if found else [None] * len(shares)
     ranked = df.join(percentile_ranks(df, score).select(F.col("score").alias("_s"), "pct_rank"), F.col(score) == F.col("_s"))
     y = F.col(label) == 1
-    caught = [F.coalesce(F.sum((y & (F.col(score) >= F.lit(c))).cast("long")), F.lit(0)).alias(f"top_{round(s * 100)}_captured") for s, c in zip(shares, cuts, strict=True)]
+    hits = [F.coalesce(F.sum((y & (F.col(score) >= F.lit(c))).cast("long")), F.lit(0)) for c in cuts]
+    caught = [x for s, h in zip(shares, hits, strict=True) for x in (h.alias(f"top_{round(s * 100)}_captured"), divide(h, F.sum(y.cast("long"))).alias(f"top_{round(s * 100)}_capture_rate"))]
     mean = lambda c, when: F.avg(F.when(when, F.col(c)))
     return ranked.agg(F.sum(y.cast("long")).alias("n_positive"), mean(score, y).alias("mean_score_positive"), mean(score, ~y).alias("mean_score_negative"), mean("pct_rank", y).alias("mean_rank_positive"), mean("pct_rank", ~y).alias("mean_rank_negative"), *caught)
 

@@ -53,9 +53,11 @@ def group_folds(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 4
 
 
 def split_stats(df: DataFrame, group: str, label: str) -> DataFrame:
-    """Rows, groups, positive groups and rows, and the rate of each side of is_test."""
+    """Rows, providers (groups from 0 on), rows without one (groups below 0), excluded providers and rows, and the rate of each side of is_test."""
     per = df.groupBy("is_test", group).agg(F.count("*").alias("n"), F.sum(label).alias("p"), F.max(label).alias("y"))
-    return per.groupBy("is_test").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_groups"), F.sum("y").alias("n_positive_groups"), F.sum("p").alias("n_positive_rows"), F.try_divide(F.sum("p").cast("double"), F.sum("n").cast("double")).alias("positive_rate"))
+    real = F.col(group) >= 0
+    count = lambda c: F.coalesce(F.sum(F.when(real, c)), F.lit(0)).cast("long")
+    return per.groupBy("is_test").agg(F.sum("n").alias("n_rows"), count(F.lit(1)).alias("n_groups"), F.coalesce(F.sum(F.when(~real, F.col("n"))), F.lit(0)).alias("rows_without_npi"), count(F.col("y")).alias("n_positive_groups"), F.sum("p").alias("n_positive_rows"), F.try_divide(F.sum("p").cast("double"), F.sum("n").cast("double")).alias("positive_rate"))
 
 
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import exprs as X
 from riskweave.operators import dashboard, eda, encoders, linkage, metrics, payments, providers, sampling, stats
-from riskweave.plans import experiments, isolation_forest, models
+from riskweave.plans import boosting, experiments, isolation_forest, models
 from riskweave.sources.io import pairs_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,6 +159,18 @@ def label_fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
     return linkage.fuzzy_matches(names, names.where("p_partkey % 40 = 7"))
 
 
+@query(f"""WITH {NAMES}, ids AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_partkey % 50 END AS npi FROM part), named AS (SELECT * FROM grams JOIN ids USING (p_partkey)),
+ listed AS (SELECT * FROM named WHERE p_partkey % 40 = 7), unnamed AS (SELECT * FROM listed WHERE coalesce(npi, 0) = 0 AND last <> ''),
+ pairs AS (SELECT p.p_partkey, {DICE.format(a="p.lg", b="l.lg")} AS dl, {DICE.format(a="p.fg", b="l.fg")} AS df FROM named p JOIN unnamed l ON p.state = l.state AND p.last <> '' AND substr(p.last, 1, 2) = substr(l.last, 1, 2)),
+ best AS (SELECT p_partkey, max(dl * 0.6::DOUBLE + df * 0.4::DOUBLE) AS best FROM pairs WHERE dl >= 0.5 AND df >= 0.5 GROUP BY 1)
+ SELECT p_partkey AS record_id, npi, CASE WHEN npi <> 0 AND npi IN (SELECT npi FROM listed WHERE npi IS NOT NULL) THEN 1 ELSE 0 END AS is_excluded, CASE WHEN best >= 0.65 THEN 1 ELSE 0 END AS is_excluded_name_match,
+ coalesce(floor(best * 1e4 + 0.5) / 1e4, 0) AS match_confidence FROM named LEFT JOIN best USING (p_partkey)""")
+def label_table(spark: SparkSession, d: str) -> DataFrame:
+    npi = F.when(F.col("p_size") % 3 != 0, F.col("p_partkey") % 50).alias("npi")
+    src = table(spark, d, "part").select(F.col("p_partkey").alias("record_id"), npi, F.split_part("p_name", F.lit(" "), F.lit(2)).alias("last"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("first"), F.col("p_type").alias("state"))
+    return linkage.label_table(src, src.where("record_id % 40 = 7")).drop("last", "first", "state")
+
+
 @query(f"""SELECT count(*) AS n_rows, sum(e)::BIGINT AS n_exact, sum(f)::BIGINT AS n_fuzzy, sum(e * f)::BIGINT AS n_both, {r6("sum(e)::DOUBLE / count(*)")} AS exact_rate FROM (SELECT CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS e, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS f FROM customer)""")
 def label_summary(spark: SparkSession, d: str) -> DataFrame:
     return linkage.label_summary(table(spark, d, "customer").select((F.col("c_acctbal") < 0).cast("int").alias("e"), (F.col("c_mktsegment") == "BUILDING").cast("int").alias("f")), "e", "f")
@@ -211,6 +223,9 @@ def stratified_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 SPLIT = f"{RANKED}, split AS (SELECT npi, CASE WHEN rn <= floor(stratum_n * 0.2::DOUBLE + 0.5) THEN 1 ELSE 0 END AS is_test FROM ranked)"
+#: Orders as payments, of which one in nine has no provider and is a group of its own, below 0.
+GROUPED = """rows AS (SELECT record_id, CASE WHEN record_id % 9 = 0 THEN -1 - record_id ELSE o.npi END AS npi, is_excluded FROM (SELECT o_orderkey AS record_id, o_custkey AS npi FROM orders) o JOIN providers p ON o.npi = p.npi),
+ groups AS (SELECT npi, max(is_excluded) AS is_excluded FROM rows GROUP BY 1)"""
 ROWS = "rows AS (SELECT o_orderkey AS record_id, o_custkey AS npi, is_excluded FROM orders JOIN providers ON o_custkey = npi)"
 
 
@@ -242,10 +257,12 @@ def group_kfold(spark: SparkSession, d: str) -> DataFrame:
     return sampling.group_folds(_order_rows(spark, d), "npi", "is_excluded").select("record_id", "npi", "is_excluded", "fold")
 
 
-@query(f"""WITH {LABELS}, {SPLIT}, {ROWS}, per AS (SELECT is_test, npi, count(*) AS n, sum(is_excluded) AS p, max(is_excluded) AS y FROM rows JOIN split USING (npi) GROUP BY ALL)
- SELECT is_test, sum(n)::BIGINT AS n_rows, count(*) AS n_groups, sum(y)::BIGINT AS n_positive_groups, sum(p)::BIGINT AS n_positive_rows, {r6("sum(p)::DOUBLE / sum(n)")} AS positive_rate FROM per GROUP BY 1""")
+@query(f"""WITH {LABELS}, {GROUPED}, {SPLIT.replace("FROM providers", "FROM groups")}, per AS (SELECT is_test, npi, count(*) AS n, sum(is_excluded) AS p, max(is_excluded) AS y FROM rows JOIN split USING (npi) GROUP BY ALL)
+ SELECT is_test, sum(n)::BIGINT AS n_rows, sum(CASE WHEN npi >= 0 THEN 1 ELSE 0 END)::BIGINT AS n_groups, sum(CASE WHEN npi < 0 THEN n ELSE 0 END)::BIGINT AS rows_without_npi, sum(CASE WHEN npi >= 0 THEN y ELSE 0 END)::BIGINT AS n_positive_groups, sum(p)::BIGINT AS n_positive_rows, {r6("sum(p)::DOUBLE / sum(n)")} AS positive_rate FROM per GROUP BY 1""")
 def split_stats(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(sampling.split_stats(sampling.group_split(_order_rows(spark, d), "npi", "is_excluded"), "npi", "is_excluded"), "positive_rate")
+    src = _order_rows(spark, d).withColumn("npi", F.when(F.col("record_id") % 9 != 0, F.col("npi")))
+    rows = sampling.with_groups(src, "npi", "record_id").withColumn("npi", F.col("group_id"))
+    return rounded(sampling.split_stats(sampling.group_split(rows, "npi", "is_excluded"), "npi", "is_excluded"), "positive_rate")
 
 
 @query(f"WITH {LABELS}, {SPLIT} SELECT npi FROM split WHERE is_test = 1 INTERSECT SELECT npi FROM split WHERE is_test = 0")
@@ -405,9 +422,9 @@ def memorization_gap(spark: SparkSession, d: str) -> DataFrame:
  q AS (SELECT quantile_cont(score, 0.99) AS q1, quantile_cont(score, 0.95) AS q5, quantile_cont(score, 0.9) AS q10 FROM scored)
  SELECT sum(is_excluded)::BIGINT AS n_positive, {r6("avg(CASE WHEN is_excluded = 1 THEN score END)")} AS mean_score_positive, {r6("avg(CASE WHEN is_excluded = 0 THEN score END)")} AS mean_score_negative,
  {r6("avg(CASE WHEN is_excluded = 1 THEN pr END)")} AS mean_rank_positive, {r6("avg(CASE WHEN is_excluded = 0 THEN pr END)")} AS mean_rank_negative,
- sum(CASE WHEN score >= q1 THEN is_excluded ELSE 0 END)::BIGINT AS top_1_captured, sum(CASE WHEN score >= q5 THEN is_excluded ELSE 0 END)::BIGINT AS top_5_captured, sum(CASE WHEN score >= q10 THEN is_excluded ELSE 0 END)::BIGINT AS top_10_captured FROM r, q""")
+ {", ".join(f"sum(CASE WHEN score >= q{k} THEN is_excluded ELSE 0 END)::BIGINT AS top_{k}_captured, {r6(f'sum(CASE WHEN score >= q{k} THEN is_excluded ELSE 0 END)::DOUBLE / nullif(sum(is_excluded), 0)')} AS top_{k}_capture_rate" for k in (1, 5, 10))} FROM r, q""")
 def anomaly_capture(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.anomaly_capture(scored(spark, d), "score", "is_excluded"), "mean_score_positive", "mean_score_negative", "mean_rank_positive", "mean_rank_negative")
+    return rounded(metrics.anomaly_capture(scored(spark, d), "score", "is_excluded"), *(f"top_{k}_capture_rate" for k in (1, 5, 10)), "mean_score_positive", "mean_score_negative", "mean_rank_positive", "mean_rank_negative")
 
 
 @query("SELECT count(*) AS n, sum(CASE WHEN a.v IS NULL OR b.v IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_unmatched, max(abs(a.v - b.v)) AS max_difference FROM (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 10 <> 1) a FULL JOIN (SELECT c_custkey AS k, c_acctbal + 0.5 AS v FROM customer WHERE c_custkey % 10 <> 2) b USING (k)")
@@ -495,9 +512,9 @@ def paired_differences(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.paired_wins(src, "key", "variant", "score", "0", "1"), "mean_difference", "std_difference")
 
 
-@query("SELECT a.v AS max_depth, b.v AS n_rounds, c.v AS min_weight, e.v::DOUBLE AS ridge FROM (VALUES (1), (2), (3)) a(v), (VALUES (50), (100), (200)) b(v), (VALUES (100), (50), (10)) c(v), (VALUES (10), (5), (1)) e(v)")
+@query("SELECT a.v AS max_depth, b.v AS min_child_weight, c.v AS reg_lambda, e.v AS n_estimators FROM (VALUES (1), (2), (3)) a(v), (VALUES (50), (100), (200)) b(v), (VALUES (1), (10), (50)) c(v), (VALUES (100), (150), (300)) e(v)")
 def grid_cross_product(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([tuple(c.values()) for c in models.grid_configs()], "max_depth int, n_rounds int, min_weight int, ridge double")
+    return spark.createDataFrame([tuple(c.values()) for c in models.grid_configs()], "max_depth int, min_child_weight int, reg_lambda int, n_estimators int")
 
 
 # ---------------------------------------------------------------- EDA
@@ -539,12 +556,13 @@ def label_crosstab(spark: SparkSession, d: str) -> DataFrame:
 
 def _flag_sql(f: str) -> str:
     a, b = (f"sum(CASE WHEN is_excluded = {y} THEN {f} END)::DOUBLE / nullif(sum(CASE WHEN is_excluded = {y} THEN 1 ELSE 0 END), 0)" for y in (1, 0))
-    return f"SELECT '{f}' AS flag, {r6(a)} AS rate_positive, {r6(b)} AS rate_negative, {r6(f'({a}) / nullif({b}, 0)')} AS lift FROM payments"
+    return f"SELECT '{f}' AS flag, {r6(a)} AS rate_positive, {r6(b)} AS rate_negative, coalesce({r6(f'({a}) / nullif({b}, 0)')}, 'infinity'::DOUBLE) AS lift FROM payments"
 
 
 @query(f"WITH {PAY} {_flag_sql('related')} UNION ALL {_flag_sql('third_party')}")
 def flag_lift(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(eda.flag_lift(pay(spark, d), ["related", "third_party"], "is_excluded"), "rate_positive", "rate_negative", "lift")
+    out = rounded(eda.flag_lift(pay(spark, d), ["related", "third_party"], "is_excluded"), "rate_positive", "rate_negative")
+    return out.withColumn("lift", F.when(F.col("lift") < float("inf"), X.r6(F.col("lift"))).otherwise(F.col("lift")))
 
 
 _COR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -625,7 +643,7 @@ def flagged_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    split = sampling.stratified_split(provider_numbers(spark, d), "npi", "is_excluded").cache()
+    split = sampling.stratified_split(provider_numbers(spark, d), "npi", "is_excluded")
     return split.where("is_test = 0"), split.where("is_test = 1")
 
 
@@ -636,7 +654,8 @@ def _model_scores(spark: SparkSession, d: str, model, balanced: bool = False) ->
 
 @query()
 def gbt_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _model_scores(spark, d, models.boosted("is_excluded", depth=2, rounds=20))
+    a, b = _sides(spark, d)
+    return b.select("npi", "is_excluded", boosting.score(boosting.train(a, FEATURES, "is_excluded", "npi"), FEATURES).alias("score"))
 
 
 @query()
@@ -657,13 +676,13 @@ def isolation_forest_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_auc_diff(spark: SparkSession, d: str) -> DataFrame:
-    return stats.paired_bootstrap(provider_numbers(spark, d), "is_excluded", "share_related", "share_third_party", 500)
+    return stats.paired_bootstrap(provider_numbers(spark, d), "is_excluded", "share_related", "share_third_party")
 
 
 @query()
 def feature_ablation(spark: SparkSession, d: str) -> DataFrame:
     a, b = _sides(spark, d)
-    return models.ablation(a, b, FEATURES, "is_excluded", "npi", FEATURES[:2], lambda: models.logistic("is_excluded"))
+    return models.ablation(a, b, FEATURES, "is_excluded", "npi", FEATURES, lambda: models.logistic("is_excluded"))
 
 
 @query()
@@ -700,13 +719,51 @@ def provider_split_features(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def capacity_variants(spark: SparkSession, d: str) -> DataFrame:
     a, b = _sides(spark, d)
-    return experiments.capacity(a, b, FEATURES, "is_excluded", "npi", rounds=10)
+    return experiments.capacity(a, b, FEATURES, "is_excluded", "npi")
+
+
+SPLIT_FEATURES = [*FEATURES, "specialty_te", "manufacturer_weighted_risk"]
+
+
+def _folds(spark: SparkSession, d: str) -> list[tuple[DataFrame, DataFrame]]:
+    return experiments.fold_features(_provider_rows(spark, d), providers.manufacturer_pairs(pay(spark, d)), FEATURES)
+
+
+@query()
+def fold_features(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for i, sides in enumerate(_folds(spark, d)):
+        for held_out, side in enumerate(sides):
+            own = side.withColumn("fold", F.lit(i)).withColumn("is_validation", F.lit(held_out))
+            out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    return boosting.grid_search(spark, _folds(spark, d), models.grid_configs(), SPLIT_FEATURES, "is_excluded", "npi")
+
+
+@query()
+def grid_search(spark: SparkSession, d: str) -> DataFrame:
+    r = _grid(spark, d)
+    return r.groupBy(*models.GRID).agg(F.avg("average_precision").alias("mean_average_precision"), F.stddev_samp("average_precision").alias("std_average_precision"), F.avg("roc_auc").alias("mean_roc_auc"), F.stddev_samp("roc_auc").alias("std_roc_auc"))
+
+
+@query()
+def cv_separability(spark: SparkSession, d: str) -> DataFrame:
+    return experiments.separability(_grid(spark, d), list(models.GRID))
+
+
+@query()
+def split_comparison(spark: SparkSession, d: str) -> DataFrame:
+    selected = {"max_depth": 1, "min_child_weight": 50, "reg_lambda": 10, "n_estimators": 150}
+    return experiments.compare_on_splits(_provider_rows(spark, d), providers.manufacturer_pairs(pay(spark, d)), FEATURES, selected)
 
 
 @query()
 def repeated_splits(spark: SparkSession, d: str) -> DataFrame:
     fit = lambda a, b: models.evaluate(models.scores(models.train(a, FEATURES, "is_excluded", models.logistic("is_excluded"), True), b, "npi", "is_excluded"), "is_excluded")
-    return experiments.repeated_splits(provider_numbers(spark, d).cache(), "is_excluded", "npi", fit, (42, 1, 2))
+    return experiments.repeated_splits(provider_numbers(spark, d), "is_excluded", "npi", fit)
 
 
 def queries() -> dict[str, Query]:

@@ -1,14 +1,16 @@
 """Operators of the engine on small frames with known answers."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from riskweave.functions import exprs as X
+from riskweave.functions import ranks
 from riskweave.operators import dashboard, eda, encoders, linkage, metrics, payments, providers, sampling, stats
-from riskweave.plans import experiments, isolation_forest, models
+from riskweave.plans import boosting, experiments, isolation_forest, models
 from riskweave.sources import artifacts, io
 from riskweave.streaming import incremental
 
@@ -278,7 +280,7 @@ def test_one_sd_rule_and_grid(spark):
     df = spark.createDataFrame([(3, 0.10, 0.02), (2, 0.09, 0.02), (1, 0.081, 0.01), (0, 0.05, 0.01)], "max_depth int, mean double, std double")
     assert stats.one_sd_choice(df, ["max_depth"]).first()["max_depth"] == 1
     configs = models.grid_configs()
-    assert len(configs) == 81 and models.complexity(configs[0]) == min(map(models.complexity, configs))
+    assert len(configs) == 81 and min(configs, key=models.complexity) == {"max_depth": 1, "min_child_weight": 200, "reg_lambda": 50, "n_estimators": 100}
     with pytest.raises(TimeoutError):
         models.search(configs[:1], [(df, df)], lambda *a: 0.0, seconds=-1)
 
@@ -295,7 +297,7 @@ def test_histogram_edges(spark):
 def test_lift_crosstab_and_missing(spark):
     df = spark.createDataFrame([(1, 1, None), (1, 0, "x"), (0, 0, "y"), (0, 0, None)], "y int, f int, c string")
     r = eda.flag_lift(df, ["f"], "y").first()
-    assert (r["rate_positive"], r["rate_negative"], r["lift"]) == (0.5, 0.0, None)
+    assert (r["rate_positive"], r["rate_negative"], r["lift"]) == (0.5, 0.0, float("inf"))
     assert eda.crosstab(df, "y", "f").first()["both"] == 1
     assert {r["column_name"]: r["pct_null"] for r in rows(eda.missingness(df, ["y", "c"]))} == {"y": 0.0, "c": 50.0}
     top = rows(dashboard.top_categories(df, F.col("c"), "y", 2))
@@ -363,3 +365,56 @@ def test_streaming_counts(spark, tmp_path):
         assert {tuple(r) for r in spark.table("freq").collect()} == {(1, 2)}
     finally:
         q.stop()
+
+
+# ---------------------------------------------------------------- quantiles, labels, boosting
+
+
+def test_quantiles_match_pandas(spark):
+    rng = np.random.default_rng(5)
+    f = pd.DataFrame({"g": rng.integers(0, 3, 3000), "v": rng.integers(0, 900, 3000) / 7})
+    probs = [0.0, 0.01, 0.25, 0.5, 0.77, 0.99, 1.0]
+    got = {r["g"]: [r[f"p{i}"] for i in range(len(probs))] for r in ranks.quantiles(spark.createDataFrame(f), ["g"], "v", probs).collect()}
+    for g, own in f.groupby("g"):
+        assert np.allclose(got[g], own.v.quantile(probs))
+    one = spark.createDataFrame([(4.0,), (None,)], "v double")
+    assert ranks.quantiles(one, [], "v", [0.3]).first()["p0"] == 4.0 and ranks.quantiles(one.where("false"), [], "v", [0.5]).first()["p0"] is None
+
+
+def test_rows_without_fold_are_a_fold_of_their_own(spark):
+    df = spark.createDataFrame([("a", 1, 0), ("a", 0, 1), ("a", 1, None), ("b", 0, None)], "c string, y int, fold int")
+    out = encoders.out_of_fold(df, "c", "y", "fold", "e", m=1.0)
+    assert out.count() == 4 and {r["fold"]: r["e"] for r in out.collect() if r["c"] == "a"}[None] == (1 + 0.5) / 3
+
+
+def test_label_table(spark):
+    paid = spark.createDataFrame([(1, 10, "Smith", "John", "TX"), (2, None, "SMYTH", "jon", "tx"), (3, 0, "Doe", "Ann", "CA"), (4, 11, "", "", "TX"), (5, 12, "Smith", "John", "TX"), (6, 13, None, None, None)], "record_id int, npi int, last string, first string, state string")
+    listed = spark.createDataFrame([(10, "Other", "Name", "TX"), (0, "Smith", "John", "TX"), (None, "Doe", "Bob", "CA"), (12, "Doe", "Ann", "CA")], "npi int, last string, first string, state string")
+    got = {r["record_id"]: (r["is_excluded"], r["is_excluded_name_match"], r["match_confidence"]) for r in linkage.label_table(paid, listed).collect()}
+    assert got[1] == (1, 1, 1.0) and got[5] == (1, 1, 1.0) and got[2][0] == 0
+    assert got[3] == (0, 0, 0.0) and got[4] == (0, 0, 0.0) and got[6] == (0, 0, 0.0)  # Ann Doe has an id on the list
+
+
+def test_boosted_trees_and_their_grid(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0)).astype(float)
+    x[::50, 2] = np.nan
+    full = boosting.fit(x, y, n_estimators=60, max_depth=3)
+    assert boosting.roc_auc(y, full.predict(x)) > 0.98 and full.gain[2] < full.gain[:2].min()
+    assert boosting.fit(x, y, n_estimators=5, min_child_weight=1e9).gain.sum() == 0
+    tight = [np.abs(boosting.fit(x, y, n_estimators=1, max_depth=2, reg_lambda=r).value).max() for r in (0.0, 100.0, 1e6)]
+    assert tight[0] > tight[1] > tight[2]
+    # one Newton step of one split is what the formula says
+    stump = boosting.fit(np.array([[0.0], [0.0], [1.0], [1.0]]), np.array([0.0, 1.0, 1.0, 1.0]), n_estimators=1, max_depth=1, learning_rate=1.0, reg_lambda=0.0, min_child_weight=0.0, scale_pos_weight=1.0)
+    assert np.allclose(stump.logits(np.array([[0.0], [1.0]])), [0.0, 2.0])
+    rows = [(i, int(y[i]), *map(float, np.nan_to_num(x[i]))) for i in range(600)]
+    df = spark.createDataFrame(rows, "npi int, y int, a double, b double, c double")
+    folds = [(df.where(f"npi % 3 <> {i}"), df.where(f"npi % 3 = {i}")) for i in range(2)]
+    configs = models.grid_configs({"max_depth": [1, 3], "min_child_weight": [1, 20], "reg_lambda": [1], "n_estimators": [20]})
+    out = boosting.grid_search(spark, folds, configs, ["a", "b", "c"], "y", "npi")
+    r = experiments.separability(out, list(configs[0])).first()
+    assert out.count() == 8 and r["spread_all_means"] > 0 and r["selected_max_depth"] == 3 and r["n_within_one_sd"] >= 1
+    scored = df.select("y", boosting.score(boosting.train(df, ["a", "b", "c"], "y", "npi", n_estimators=20), ["a", "b", "c"]).alias("s"))
+    assert models.evaluate(scored.withColumnRenamed("s", "score"), "y")["roc_auc"] > 0.95
+    assert abs(boosting.average_precision(np.array([1.0, 0, 1]), np.array([0.9, 0.8, 0.8])) - (0.5 + 0.5 * 2 / 3)) < 1e-12

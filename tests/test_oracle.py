@@ -40,5 +40,5 @@ def test_flagship(spark):
 
 def test_queries_without_sql_are_known():
     without = set(__spark_entry__.queries()) - set(SQL)
-    models = {"gbt_scores", "rf_scores", "logreg_scores", "isolation_forest_scores", "bootstrap_auc_diff", "feature_ablation", "hypothetical_score", "smr_intervals", "provider_split_features", "capacity_variants", "repeated_splits"}
+    models = {"gbt_scores", "rf_scores", "logreg_scores", "isolation_forest_scores", "bootstrap_auc_diff", "feature_ablation", "hypothetical_score", "smr_intervals", "provider_split_features", "capacity_variants", "repeated_splits", "fold_features", "grid_search", "cv_separability", "split_comparison"}
     assert {n for n in without if not n.startswith("op") and n != "pipeline"} == models
