@@ -1,10 +1,15 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosine products inside them.
 
-Centres are fitted on a bounded sample of the distinct vectors; every distinct vector is then placed in its nearest
-cell and in those almost as near (within SLACK of the best cosine, at most PROBES cells), so that a close pair shares
-a cell. Of centres nearer than APART one stays: a dense group is one cell, however much of the sample it makes up. A cell is dealt to blocks of about BLOCK vectors, and a task multiplies two blocks. A pair that shares several
-cells counts in the first of them only. Tasks emit link counts and star forests, never pairs; copies of one vector are
-one row with a count. Recall against brute force is measured in the tests.
+All vectors start in one cell a dimension. A cell of more than SPLIT vectors is split by spherical k-means, and so are
+its parts, until cells are small: their number grows with the rows, not the work a vector takes. Centres are fitted on
+a bounded sample of the cell, on directions from the sample's mean, so that a direction that all vectors share doesn't
+matter. A vector goes to its nearest parts, at most PROBES of them, so that close pairs share one. A split is taken only
+if it holds the links of the sample together: of its own links and of pairs made to lie just at the limit (see keeps);
+fewer parts are tried then, and a group too dense to be parted stays one cell.
+
+A cell is dealt to blocks of BLOCK_NUMBERS numbers, and a task multiplies two blocks. A pair that shares several cells
+counts in the first of them only. Tasks emit link counts and star forests, never pairs; copies of one vector are one row
+with a count. Recall against brute force is measured in the tests.
 """
 
 from __future__ import annotations
@@ -20,9 +25,12 @@ from riskweave.llm.common import Scratch, load, local_roots
 from riskweave.llm.components import components
 
 COSINE = 0.95
-#: Vectors (and numbers) of the sample that is fitted, most cells, vectors aimed at in a cell, rounds.
-SAMPLE_ROWS, SAMPLE_NUMBERS, MOST_CELLS, CELL, ROUNDS, SEED = 16_384, 4_000_000, 1024, 1500, 12, 42
-PROBES, SLACK, BLOCK, APART = 4, 0.08, 1024, 0.75
+#: Vectors of a cell that is split, vectors aimed at in a part, most parts, vectors (and numbers) of a sample, rounds, levels.
+SPLIT, CELL, FANOUT, SAMPLE_ROWS, SAMPLE_NUMBERS, ROUNDS, LEVELS, SEED = 4000, 1500, 256, 8192, 2_000_000, 10, 6, 42
+#: Parts that a vector goes to; shares of the sample's links, and of made pairs at the limit, that have to stay together.
+PROBES, HELD, HELD_AT_LIMIT = 4, 0.97, 0.93
+#: Numbers of a block that is multiplied, and of a chunk that is placed.
+BLOCK_NUMBERS = 1 << 18
 
 
 def unit(vectors: pd.Series | list) -> np.ndarray:
@@ -32,6 +40,13 @@ def unit(vectors: pd.Series | list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def directions(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Directions from the mean; rows at the mean itself stay zero."""
+    x = x - mean
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(size < 1e-12, 1.0, size)
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
     """k unit centres of unit rows; an empty cell takes the row that is worst placed."""
     centres = x[np.random.default_rng(seed).permutation(len(x))[:k]].copy()
@@ -44,33 +59,55 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = SE
         worst = iter(np.argsort(near[np.arange(len(x)), own], kind="stable"))
         for c in np.flatnonzero(size < 1e-12):
             sums[c] = x[next(worst)]
-            size[c] = 1.0
+            size[c] = max(1.0, np.sqrt((sums[c] * sums[c]).sum()))
         centres = sums / size[:, None]
     return centres
 
 
-def apart(centres: np.ndarray, most: float = APART) -> np.ndarray:
-    """Centres no two of which are nearer than most: cells as fine as a link would tear a dense group apart."""
-    kept: list[int] = []
-    for i, near in enumerate(centres @ centres.T > most):
-        if not near[kept].any():
-            kept.append(i)
-    return centres[kept]
-
-
-def cells(x: np.ndarray, centres: np.ndarray, probes: int = PROBES, slack: float = SLACK) -> np.ndarray:
-    """For each row the cells it is placed in, ascending; unused places hold -1 - place."""
-    near = x @ centres.T
+def nearest(x: np.ndarray, mean: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
+    """For each unit row its nearest parts, nearest first."""
+    near = directions(x, mean) @ centres.T
     p = min(probes, near.shape[1])
     at = np.argpartition(-near, p - 1, axis=1)[:, :p]
-    sims = np.take_along_axis(near, at, axis=1)
-    at = np.where(sims >= sims.max(axis=1, keepdims=True) - slack, at, -1 - np.arange(p))
-    return np.sort(at, axis=1)
-
-
-def distinct_vectors(vectors: DataFrame) -> DataFrame:
-    """``v array<double>, rep long, n long``: each distinct usable vector, its least vec_id and how many have it."""
-    return usable(vectors).where("v is not null and vec_id is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    return np.take_along_axis(at, np.argsort(-np.take_along_axis(near, at, axis=1), axis=1, kind="stable"), axis=1)
+
+
+def limit_pairs(x: np.ndarray, least: float, most: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and made partners at a cosine of just least, each turned towards where another row lies."""
+    rng = np.random.default_rng(SEED)
+    a = x[rng.permutation(len(x))[:most]]
+    u = x[rng.integers(0, len(x), len(a))] - x[rng.integers(0, len(x), len(a))]
+    u -= (u * a).sum(axis=1, keepdims=True) * a
+    size = np.sqrt((u * u).sum(axis=1))
+    a, u = a[size > 1e-9], u[size > 1e-9] / size[size > 1e-9, None]
+    return a, least * a + np.sqrt(1 - least * least) * u
+
+
+def together(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of two lists of parts have one in common."""
+    return (a[:, :, None] == b[:, None, :]).any(axis=(1, 2))
+
+
+def fit(x: np.ndarray, rows: int, least: float, cell: int, fanout: int) -> tuple[np.ndarray, np.ndarray, int] | None:
+    """Mean, centres and probes of a split of a cell of so many rows, of which the unit rows x are a sample; or none that holds."""
+    mean = x.mean(axis=0)
+    d = directions(x, mean)
+    some = x[: 4096]
+    a, b = np.nonzero(np.triu(some @ some.T >= least, 1))
+    if len(a) > 20_000:
+        pick = np.random.default_rng(SEED).permutation(len(a))[:20_000]
+        a, b = a[pick], b[pick]
+    at_limit = limit_pairs(x, least)
+    k = min(fanout, -(-rows // cell), len(x) // 8)
+    while k > 1:
+        centres = spherical_kmeans(d, k)
+        for probes in range(1, min(PROBES, k - 1) + 1):
+            own = nearest(some, mean, centres, probes)
+            held = together(own[a], own[b]).mean() if len(a) else 1.0
+            if held >= HELD and together(*(nearest(y, mean, centres, probes) for y in at_limit)).mean() >= HELD_AT_LIMIT:
+                return mean, centres, probes
+        k //= 4
+    return None
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -81,61 +118,95 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long"), F.when(v.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(some, F.lit(False)), v).alias("v"))
 
 
-def fit_cells(distinct: DataFrame, cell: int = CELL, most: int = MOST_CELLS) -> dict[int, np.ndarray]:
-    """Centres for each dimension of the sample: the distinct vectors of least hash."""
-    sizes = {r[0]: r[1] for r in distinct.groupBy(F.size("v")).count().collect()}
-    out = {}
-    for d, n in sorted(sizes.items()):
-        rows = max(1, min(SAMPLE_ROWS, SAMPLE_NUMBERS // d))
-        k = min(most, -(-n // cell))
-        if k > 1:
-            own = distinct.where(F.size("v") == d).orderBy(F.xxhash64("v"), "rep").limit(rows).select("v").toPandas()["v"]
-            out[d] = apart(spherical_kmeans(unit(own), min(k, len(own))))
-    return out
+FITS = "d int, cell long, mean binary, centres binary, probes int"
 
 
-def _place(centres: dict[int, np.ndarray]):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for d, own in f.groupby(f["v"].map(len), sort=False):
-                at = cells(unit(own["v"]), centres[d]) if d in centres else np.zeros((len(own), 1), np.int64)
-                yield own.assign(d=d, cells=list(at.astype(np.int32)))
+def _fit(least: float, cell: int, fanout: int):
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("node")
+        found = fit(unit(f["v"]), int(f["rows"].iloc[0]), least, cell, fanout)
+        own = [] if found is None else [(f["d"].iloc[0], f["cell"].iloc[0], found[0].tobytes(), found[1].tobytes(), found[2])]
+        return pd.DataFrame(own, columns=["d", "cell", "mean", "centres", "probes"])
 
     return run
 
 
-def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least cell that both lists of each row have."""
-    best = np.full(len(a), 1 << 30)
-    for i in range(a.shape[1]):
-        best = np.where((a[:, i] >= 0) & (b == a[:, i : i + 1]).any(axis=1), np.minimum(best, a[:, i]), best)
-    return best
+def _place(fanout: int):
+    def run(rows: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(fits):
+            return rows.iloc[:0][["node", "n", "v", "d", "cell"]]
+        mean = np.frombuffer(fits["mean"].iloc[0])
+        own = nearest(unit(rows["v"]), mean, np.frombuffer(fits["centres"].iloc[0]).reshape(-1, len(mean)), int(fits["probes"].iloc[0]))
+        out = rows.loc[rows.index.repeat(own.shape[1]), ["node", "n", "v", "d", "cell"]]
+        return out.assign(cell=out["cell"].to_numpy() * (fanout + 1) + 1 + own.ravel())
+
+    return run
+
+
+def in_cells(distinct: DataFrame, scratch: Scratch, least: float, split: int, cell: int, fanout: int) -> DataFrame:
+    """``node, n, v, d, cell, cells``: each distinct vector in each of its cells, with all of them."""
+    now = distinct.select("node", "n", "v", F.size("v").alias("d"), F.lit(0).cast("long").alias("cell"))
+    done = []
+    for level in range(LEVELS):
+        large = scratch.keep(now.groupBy("d", "cell").agg(F.count("*").alias("rows")).where(F.col("rows") > split))
+        if large.isEmpty():
+            break
+        known = now.join(large, ["d", "cell"])
+        size = F.least(F.lit(SAMPLE_ROWS), F.lit(SAMPLE_NUMBERS) / F.col("d"))
+        sample = known.where(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 30)) < size / F.col("rows") * (1 << 30))
+        fits = scratch.keep(sample.groupBy("d", "cell").applyInPandas(_fit(least, cell, fanout), FITS))
+        # cells and their fits are dealt to chunks of bounded size
+        chunks = F.ceil(F.col("rows") * F.col("d") / BLOCK_NUMBERS)
+        taken = fits.join(large, ["d", "cell"]).withColumn("chunks", chunks)
+        rows = known.join(fits.select("d", "cell"), ["d", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("node"), chunks))
+        dealt = taken.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        key = ["d", "cell", "chunk"]
+        parts = rows.groupBy(*key).cogroup(dealt.select(*key, "mean", "centres", "probes").groupBy(*key)).applyInPandas(_place(fanout), "node long, n long, v array<double>, d int, cell long")
+        done.append(now.join(fits.select("d", "cell"), ["d", "cell"], "left_anti"))
+        now = scratch.keep(parts)
+        if now.isEmpty():
+            break
+    out = now
+    for x in done:
+        out = out.unionByName(x)
+    out = scratch.keep(out)
+    cells = out.groupBy("node").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
+    return out.join(cells, "node")
+
+
+def _first_shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The least cell that both lists of each pair have."""
+    return np.array([np.intersect1d(x, y)[0] if len(x) > 1 and len(y) > 1 else (x if len(x) == 1 else y)[0] for x, y in zip(a, b, strict=True)], np.int64)
 
 
 def _multiply(least: float):
     def group(f: pd.DataFrame) -> tuple[np.ndarray, ...]:
         cell, same = int(f["cell"].iloc[0]), int(f["i"].iloc[0]) == int(f["j"].iloc[0])
-        x, rep, n, places = unit(f["v"]), f["rep"].to_numpy(np.int64), f["n"].to_numpy(np.int64), np.stack(list(f["cells"]))
+        x, node, n = unit(f["v"]), f["node"].to_numpy(np.int64), f["n"].to_numpy(np.int64)
+        places = f["cells"].to_numpy()
+        several = np.array([len(p) > 1 for p in places])
         left = np.arange(len(f)) if same else np.flatnonzero(f["side"].to_numpy() == 0)
         right = left if same else np.flatnonzero(f["side"].to_numpy() == 1)
-        counts, u, v = np.zeros(len(f), np.int64), rep[:0], rep[:0]
+        counts, u, v = np.zeros(len(f), np.int64), node[:0], node[:0]
         for at in range(0, len(left), 256):
             rows = left[at : at + 256]
             a, b = np.nonzero(x[rows] @ x[right].T >= least)
             a, b = rows[a], right[b]
             if same:
                 a, b = a[a < b], b[a < b]
-            first = _first_shared(places[a], places[b]) == cell
-            a, b = a[first], b[first]
+            ok = np.ones(len(a), bool)
+            both = np.flatnonzero(several[a] & several[b])
+            ok[both] = _first_shared(places[a[both]], places[b[both]]) == cell
+            a, b = a[ok], b[ok]
             np.add.at(counts, a, n[b])
             np.add.at(counts, b, n[a])
-            u, v = local_roots(np.concatenate([u, rep[a]]), np.concatenate([v, rep[b]]))
-        return rep[counts > 0], counts[counts > 0], u, v
+            u, v = local_roots(np.concatenate([u, node[a]]), np.concatenate([v, node[b]]))
+        return node[counts > 0], counts[counts > 0], u, v
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in _groups(frames, ["d", "cell", "i", "j"]):
-            rep, counts, u, v = group(f)
-            yield pd.DataFrame({"edge": False, "u": rep, "v": counts})
+            node, counts, u, v = group(f)
+            yield pd.DataFrame({"edge": False, "u": node, "v": counts})
             yield pd.DataFrame({"edge": True, "u": u, "v": v})
 
     return run
@@ -161,29 +232,38 @@ def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
         yield pd.concat(held, ignore_index=True)
 
 
-def embedding_components(vectors: DataFrame, scratch: Scratch | None = None, least: float = COSINE) -> DataFrame:
+def embedding_components(vectors: DataFrame, scratch: Scratch | None = None, least: float = COSINE, split: int = SPLIT, cell: int = CELL, fanout: int = FANOUT) -> DataFrame:
     """``vec_id, n_links, component_id, kept``: a row per row of vectors.
 
     Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing, and only vectors of one
-    length link. Rows with one vec_id but different vectors are pooled. A row whose vec_id is null links with nothing,
-    has a null component and is kept. Other columns, labels included, are ignored; an empty table gives no rows.
+    length link. n_links counts the other rows that a row's own vector links with. Rows with one vec_id but different
+    vectors are one in components: their groups are pooled. A row whose vec_id is null links with nothing, has a null
+    component and is kept. Other columns, labels included, are ignored; an empty table gives no rows.
     """
     scratch = scratch or Scratch(vectors.sparkSession, "embedding")
-    distinct = scratch.keep(distinct_vectors(vectors))
-    placed = distinct.mapInPandas(_place(fit_cells(distinct)), "v array<double>, rep long, n long, d int, cells array<int>")
-    placed = scratch.keep(placed.withColumn("cell", F.explode(F.filter("cells", lambda c: c >= 0))))
-    size = placed.groupBy("d", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("g"))
-    dealt = placed.join(size, ["d", "cell"]).withColumn("b", F.pmod(F.xxhash64("v"), F.col("g"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-    dealt = dealt.select("d", "cell", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "v", "rep", "n", "cells")
-    found = scratch.keep(dealt.repartition("d", "cell", "i", "j").sortWithinPartitions("d", "cell", "i", "j").mapInPandas(_multiply(least), "edge boolean, u long, v long"))
-    linked = components(found.where("edge").select("u", "v"), scratch)
-    counts = found.where("not edge").groupBy(F.col("u").alias("rep")).agg(F.sum("v").alias("links"))
-    known = distinct.join(counts, "rep", "left").join(linked, F.col("rep") == F.col("node"), "left")
-    known = known.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))
     rows = usable(vectors)
+    named = rows.where("v is not null and vec_id is not null")
+    distinct = named.groupBy("v").agg(F.min("vec_id").alias("least"), F.max("vec_id").alias("greatest"), F.count("*").alias("n"))
+    distinct = scratch.keep(distinct.withColumn("node", F.monotonically_increasing_id()))
+    placed = scratch.keep(in_cells(distinct, scratch, least, split, cell, fanout))
+    size = placed.groupBy("d", "cell").agg(F.ceil(F.count("*") * F.col("d") / BLOCK_NUMBERS).alias("g"))
+    dealt = placed.join(size, ["d", "cell"]).withColumn("b", F.pmod(F.xxhash64("node"), F.col("g"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+    dealt = dealt.select("d", "cell", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "v", "node", "n", "cells")
+    found = scratch.keep(dealt.repartition("d", "cell", "i", "j").sortWithinPartitions("d", "cell", "i", "j").mapInPandas(_multiply(least), "edge boolean, u long, v long"))
+    # vectors of one vec_id are pooled: each is tied to the first of them
+    own = named.join(distinct.select("v", "node"), "v").select("vec_id", "node").distinct()
+    pooled = own.groupBy("vec_id").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
+    ties = own.join(pooled, "vec_id").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    groups = components(found.where("edge").select("u", "v").unionByName(ties), scratch).withColumnRenamed("node", "of")
+    counts = found.where("not edge").groupBy(F.col("u").alias("counted")).agg(F.sum("v").alias("links"))
+    known = distinct.join(counts, F.col("node") == F.col("counted"), "left").join(groups, F.col("node") == F.col("of"), "left")
+    known = scratch.keep(known.select("v", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("c")))
+    names = known.groupBy("c").agg(F.min("least").alias("component_id"))
+    known = known.join(names, "c").select("v", "n_links", "component_id")
     alone = rows.where("v is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    joined = rows.where("v is not null and vec_id is not null").join(known, "v").select("vec_id", "n_links", F.col("c").alias("component_id"))
-    return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    joined = named.join(known, "v").select("vec_id", "n_links", "component_id")
+    out = joined.unionByName(alone)
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def op9_spherical_kmeans_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
