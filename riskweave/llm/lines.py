@@ -1,18 +1,27 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, one occurrence per connected group.
 
-Lines are compared in a normal form: lower case, white space runs as one blank. Empty lines are left
-alone. Equal normal forms of any other length are one line whose occurrences are counted; different ones of
-FUZZY_LETTERS letters or FUZZY_WORDS words or more link if they share a key and their edit similarity (1 - Levenshtein distance over the longer length) is at least SIMILARITY, however far apart
-their SimHashes are. Of each connected group the first occurrence stays, by (doc_id, line number).
-
-Keys come from pigeonhole blocks: SimHashes within T = 3 bits agree on two of five blocks, so each pair of blocks is a
-key; many pairs further apart share one too. A few edits leave some part of a line untouched, so the two first and the
-two last quarters of its words (of short lines the halves) are keys as well. And lines that share most of their words
-share the least of them by some hashes: BANDS keys of ROWS such words find them when an edit is in every part.
-
-Only lines that share a key with another one are fetched. Of a key's lines all pairs are looked at, in pairs of chunks
-where there are many; counts of letter pairs, of which an edit changes two at most, spare most edit distances and never
-a pair that is similar. An accepted pair joins two parts, so a group costs about as many distances as it has lines.
+Lines are compared in a normal form: lower case, white space runs as one blank. Empty lines are left alone. Equal
+normal forms of any other length are one line whose occurrences are counted. Different ones of FUZZY_LETTERS letters or
+FUZZY_WORDS words or more link if they share a key and their edit similarity (1 - Levenshtein distance over the longer
+length) is at least SIMILARITY, however far apart their SimHashes are. Of each connected group the first occurrence
+stays, by (doc_id, hash of the document's text, line number).
+
+Keys come from pigeonhole blocks: SimHashes within T = 2 bits agree on two of four blocks, so each pair of blocks is a
+key of 32 bits; many pairs further apart share one too. A few edits leave some part of a line untouched, so the two first and the
+two last quarters of its words (of short lines the halves) are keys as well. And lines that share most of their letters
+in whole words share the least of them by some hashes, a word weighing as much as it has letters: BANDS keys of ROWS
+such words find them when an edit is in every part.
+
+Two lines of a key are told apart without their texts if their lengths forbid the similarity, or if more than DIFFER of
+SLOTS least words differ (of lines whose keys are made of letters, by length alone). Lines that share SIMILARITY of
+their letters in whole words have two thirds of their weight in common; then one pair in 10,000 has more than DIFFER.
+
+Words are hashed where they lie, by differences of a running polynomial over a batch's bytes: nothing is looked up a
+word at a time, and nothing is remembered from one batch to the next but the digests of some lines. Only lines
+that are left with another one are fetched. Of a key's lines all pairs are looked at, in pairs of chunks where there are
+many; aligning words proves most similar pairs, and counts of letter pairs, of which an edit changes two at most,
+disprove most others. What is left takes an edit distance. An accepted pair joins two parts, so a group costs about as
+many distances as it has lines.
 """
 
 from __future__ import annotations
@@ -22,43 +31,39 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-from xxhash import xxh3_128_digest, xxh64_digest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from riskweave.llm.common import Scratch, load, local_roots, quoted
 from riskweave.llm.components import components
 
-#: Words of a line that is looked at, and edit similarity that links.
-MIN_WORDS, SIMILARITY = 1, 0.8
+#: Edit similarity that links.
+SIMILARITY = 0.8
 #: Letters, or words, from which lines that differ are compared; the letters a word from which its letters stand for words.
 FUZZY_LETTERS, FUZZY_WORDS, LONG_WORD = 10, 5, 20
-#: Differing bits that surely give a common key, blocks, and bits in which linked lines may differ: all of them.
-T, BLOCKS, REACH = 3, 5, 64
-#: Keys from least words, and words of each; words of a long line, and pairs of each of its keys.
-BANDS, ROWS, MANY, PAIRS = 8, 3, 24, 2
+#: Differing bits that surely give a common key, and blocks.
+T, BLOCKS = 2, 4
+#: Keys from least words, and words of each.
+BANDS, ROWS = 8, 4
 CUTS = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
 KEYS = [sum(((1 << CUTS[i + 1]) - 1) ^ ((1 << CUTS[i]) - 1) for i in pair) for pair in combinations(range(BLOCKS), BLOCKS - T)]
-#: The other keys; 32 bits of each are kept, as pairs are compared anyway.
+#: Least words of which two bits tell lines apart, and how many may differ; a step between lengths, and steps to 1 / SIMILARITY.
+SLOTS, DIFFER, STEP = 24, 14, 0.005
+STEPS = int(np.log(1 / SIMILARITY) / STEP) + 2
+#: The other keys.
 PARTS = [f"p{i}" for i in range(4 + BANDS)]
 #: Rows of a bucket that one task holds, and lines that it compares; larger ones are dealt as pairs of chunks half as large.
-BUCKET, GROUP = 8192, 2048
-#: Words whose hashes a Python worker remembers.
-REMEMBERED = 500_000
-#: Counts of letter pairs that each line is told by.
-COUNTS = 256
+BUCKET, GROUP = 8192, 1024
+#: Letters of a batch that is hashed at once, letters from which a word counts as its hash, digests that a task remembers.
+BATCH, HUGE_WORD, REMEMBERED = 1 << 20, 1 << 16, 200_000
+#: Counts of letter pairs that each line is told by, and words that may be skipped when two lines are aligned.
+COUNTS, SKIP = 256, 4
 
-
-class _Hashes(dict):
-    """The hash of each word, learned when first asked for."""
-
-    def __missing__(self, word: str) -> bytes:
-        self[word] = own = xxh64_digest(word.encode())
-        return own
-
-
-_hashes = _Hashes()
+ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Base of the running polynomial (odd, so that it has an inverse).
+BASE = 0x2545F4914F6CDD1D
 
 
 def normal(line: str) -> str:
@@ -76,136 +81,250 @@ def mixed(h: np.ndarray) -> np.ndarray:
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
 
 
-def simhashes(lines: list[list[str]]) -> np.ndarray:
+def tokens(line: str) -> str:
+    """What the keys of a normal form are made of, between blanks: its words; of few words or of text without blanks, its runs of three letters.
+
+    Words of HUGE_WORD letters or more count as their hashes.
+    """
+    n = line.count(" ") + 1
+    if n < FUZZY_WORDS or len(line) - n + 1 >= LONG_WORD * n:
+        line = line.replace(" ", "_")
+        return " ".join([line[i : i + 3] for i in range(max(1, len(line) - 2))])
+    if len(line) >= HUGE_WORD:
+        return " ".join([w if len(w) < HUGE_WORD else f"{xxh64_intdigest(w.encode()):016x}" for w in line.split(" ")])
+    return line
+
+
+_powers: list[np.ndarray] = []
+
+
+def words(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines of tokens: a hash and the length in bytes of each token, and how many tokens each line has."""
+    if not _powers:
+        size, inverse = BATCH + 4 * HUGE_WORD, pow(BASE, -1, 1 << 64)
+        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size, x, np.uint64)]) for x in (BASE, inverse)]
+    up, down = _powers
+    raw = np.frombuffer("\n".join([*lines, ""]).encode("utf-8", "surrogatepass"), np.uint8)
+    ends = np.flatnonzero((raw == 32) | (raw == 10))
+    begins = np.r_[0, ends[:-1] + 1]
+    h = np.empty(len(ends), np.uint64)
+    at = 0
+    while at < len(ends):  # whole words, some BATCH bytes at a time
+        to = max(at + 1, int(np.searchsorted(ends, begins[at] + BATCH)))
+        own = raw[begins[at] : ends[to - 1]]
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(own * up[: len(own)], out=sums[1:])
+        b, e = begins[at:to] - begins[at], ends[at:to] - begins[at]
+        h[at:to] = (sums[e] - sums[b]) * down[b]
+        at = to
+    return mixed(h), ends - begins, np.diff(np.r_[-1, np.flatnonzero(raw[ends] == 10)])
+
+
+def simhashes(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """64-bit SimHash over the neighbouring words of each line, as unsigned integers; ties of a bit give 0.
 
     Single words would not do: long lines of one language share most of their common words.
     """
-    if len(_hashes) > REMEMBERED:
-        _hashes.clear()
-    known = _hashes
-    out = np.zeros(len(lines), np.uint64)
-    at = 0
-    while at < len(lines):  # some 100,000 words at a time
-        end, n = at, 0
-        while end < len(lines) and (end == at or n + len(lines[end]) <= 100_000):
-            n += len(lines[end])
-            end += 1
-        h = np.frombuffer(b"".join([known[w] for x in lines[at:end] for w in x]), np.uint64)
-        lanes = LANES[mixed(h * np.uint64(3) + np.roll(h, -1)).view(np.uint8)].reshape(-1, 8)
-        sizes = np.array([len(x) for x in lines[at:end]])
-        stops = np.cumsum(sizes)
-        lanes[stops - 1] = 0  # the pair across lines
-        # bytes hold counts of up to 255: sums over parts of lines first, then over the parts
-        parts = -(-sizes // 255)
-        first = np.cumsum(parts) - parts
-        begins = np.repeat(stops - sizes, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
-        counts = np.add.reduceat(lanes, begins, axis=0).view(np.uint8).astype(np.int64)
-        if len(counts) > len(sizes):
-            counts = np.add.reduceat(counts, first, axis=0)
-        out[at:end] = np.packbits(2 * counts > sizes[:, None] - 1, axis=1).view(np.uint64)[:, 0]
-        at = end
-    return out
+    lanes = LANES[mixed(h * np.uint64(3) + np.roll(h, -1)).view(np.uint8)].reshape(-1, 8)
+    stops = np.cumsum(sizes)
+    lanes[stops - 1] = 0  # the pair across lines
+    # bytes hold counts of up to 255: sums over parts of lines first, then over the parts
+    parts = -(-sizes // 255)
+    first = np.cumsum(parts) - parts
+    begins = np.repeat(stops - sizes, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
+    counts = np.add.reduceat(lanes, begins, axis=0).view(np.uint8).astype(np.int64)
+    if len(counts) > len(sizes):
+        counts = np.add.reduceat(counts, first, axis=0)
+    return np.packbits(2 * counts > sizes[:, None] - 1, axis=1).view(np.uint64)[:, 0]
+
+
+def part_keys(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Keys of four parts of each line: the first, last, second and last but one quarter of its words, in steps of four words.
+
+    Lines of less than 32 words have the first and the last half, twice.
+    """
+    stops = np.cumsum(sizes)
+    begins = stops - sizes
+    short = sizes < 32
+    q = np.where(short, np.where(sizes < 8, sizes // 2, sizes // 8 * 4), sizes // 16 * 4)
+    place = np.arange(len(h)) - np.repeat(begins, sizes)
+    from_start = np.r_[np.uint64(0), np.cumsum(mixed(h + place.astype(np.uint64) * ODD))]
+    from_end = np.r_[np.uint64(0), np.cumsum(mixed(h - (place - np.repeat(sizes, sizes)).astype(np.uint64) * ODD))]
+    head, tail = from_start[begins + q] - from_start[begins], from_end[stops] - from_end[stops - q]
+    twice = np.where(short, 0, q)
+    second, fourth = from_start[begins + q + twice] - from_start[begins + twice], from_end[stops - twice] - from_end[stops - q - twice]
+    tags = np.arange(1, 5, dtype=np.uint64)
+    return mixed(np.c_[head, tail, second, fourth] * np.uint64(5) + np.where(short[:, None], tags[[0, 1, 0, 1]], tags))
+
+
+def word_keys(h: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BANDS keys of each line: of its words those that are least by ROWS hashes divided by the word's length, stirred together.
+
+    And two bits of each of the first SLOTS such words.
+    """
+    begins = np.cumsum(sizes) - sizes
+    share = np.uint64(1 << 16) // np.maximum(lengths, 1).astype(np.uint64)
+    out, slots = np.zeros((len(sizes), BANDS), np.uint64), np.zeros(len(sizes), np.uint64)
+    for band in range(BANDS):
+        for row in range(ROWS):
+            at = band * ROWS + row
+            turn = np.uint64((at + 1) * int(ODD) % (1 << 64) | 1)
+            least = np.minimum.reduceat(((h * turn) >> np.uint64(32)) * share, begins)
+            out[:, band] = mixed(out[:, band] * np.uint64(3) + least)
+            if at < SLOTS:
+                slots |= (mixed(least) >> np.uint64(62)) << np.uint64(2 * at)
+    return mixed(out + np.arange(11, 11 + BANDS, dtype=np.uint64) * ODD), slots
 
 
-def part_keys(words: list[str]) -> list[bytes]:
-    """Hashes of four parts: the first, second, last but one and last quarter of the words, in steps of four words.
+def all_keys(lines: list[str], letters: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """What tells each line of tokens apart, its SimHash and the keys named PARTS, read as signed.
 
-    Shorter lines have the first and the last half, twice.
+    letters: lengths of the normal forms; whole: whether the tokens are their words.
     """
-    n = len(words)
-    q = n // 16 * 4
-    if n < 32:
-        h = n // 8 * 4 or n // 2
-        parts = [words[:h], words[-h:]] * 2
-    else:
-        parts = [words[:q], words[-q:], words[q : 2 * q], words[-2 * q : -q]]
-    return [xxh64_digest(" ".join(x).encode(), i) for x, i in zip(parts, (0, 1, 2, 3) if n >= 32 else (0, 1, 0, 1), strict=True)]
+    h, lengths, sizes = words(lines)
+    keys, slots = word_keys(h, lengths, sizes)
+    tell = slots << np.uint64(16) | (np.log(letters) / STEP).astype(np.uint64) | np.where(whole, 0, 1 << 15).astype(np.uint64)
+    return np.c_[tell, simhashes(h, sizes), part_keys(h, sizes), keys].view(np.int64)
+
+
+def perhaps_alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs aren't told apart by what tells lines (signed)."""
+    far = np.abs((a & 0x7FFF) - (b & 0x7FFF)) > STEPS
+    x = (a ^ b).view(np.uint64) >> np.uint64(16)
+    differ = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x555555555555))
+    return ~far & ((differ <= DIFFER) | ((a | b) & 0x8000 != 0))
+
+
+LINES = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("tell", pa.int64()), ("sim", pa.int64()), *((c, pa.int64()) for c in PARTS)])
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of doc_id, th, text; keys come with the first of equal lines, as far as a task remembers."""
+    docs: list[int] = []
+    hashes: list[int] = []
+    numbers: list[int] = []
+    digests: list[bytes] = []
+    fuzzy: list[int] = []
+    toks: list[str] = []
+    letters: list[int] = []
+    seen: set[bytes] = set()
+
+    def out() -> pa.RecordBatch:
+        n = len(docs)
+        h = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+        own, none = np.zeros((n, 2 + len(PARTS)), np.int64), np.ones(n, bool)
+        if toks:
+            sizes = np.array(letters)
+            whole = sizes == np.array([len(x) for x in toks])
+            own[fuzzy], none[fuzzy] = all_keys(toks, sizes, whole), False
+        columns = [pa.array(docs, pa.int64()), pa.array(hashes, pa.int64()), pa.array(numbers, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])]
+        batch = pa.RecordBatch.from_arrays([*columns, *(pa.array(own[:, i], mask=none) for i in range(own.shape[1]))], schema=LINES)
+        for x in (docs, hashes, numbers, digests, fuzzy, toks, letters):
+            x.clear()
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        return batch
+
+    held = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            for doc, th, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                for n, line in enumerate(text.split("\n")):
+                    if not (line := normal(line)):
+                        continue
+                    docs.append(doc)
+                    hashes.append(th)
+                    numbers.append(n)
+                    digests.append(own := xxh3_128_digest(line.encode("utf-8", "surrogatepass")))
+                    held += len(line)
+                    if own not in seen and (line.count(" ") >= FUZZY_WORDS - 1 or sum(map(str.isalpha, line)) >= FUZZY_LETTERS):
+                        seen.add(own)
+                        fuzzy.append(len(docs) - 1)
+                        toks.append(tokens(line))
+                        letters.append(len(line))
+                    if held > BATCH or len(docs) > 20_000:
+                        yield out()
+                        held = 0
+    if docs:
+        yield out()
 
 
-def tokens(words: list[str]) -> list[str]:
-    """What the keys of a line are made of: its words; of few words or of text without blanks, its runs of three letters."""
-    if len(words) >= FUZZY_WORDS and sum(map(len, words)) < LONG_WORD * len(words):
-        return words
-    line = " ".join(words)
-    return [line[i : i + 3] for i in range(max(1, len(line) - 2))]
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    return np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)]
 
 
-def word_keys(lines: list[list[str]]) -> np.ndarray:
-    """BANDS keys of each line: of its words those that are least by ROWS hashes, stirred together.
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids of a key that aren't told apart from some other one of it, by what connects them: a bucket (a, b); of a key with too many only the key, as hot.
 
-    From MANY words on, neighbouring pairs take the place of words, as long lines have their common words in common.
+    Rows key, id, tell arrive sorted by key; repeated ones count once.
     """
-    out = np.zeros((len(lines), BANDS), np.uint64)
-    if not lines:
-        return out
-    h = np.frombuffer(b"".join([_hashes[w] for x in lines for w in x]), np.uint64)
-    sizes = np.array([len(x) for x in lines])
-    begins = np.cumsum(sizes) - sizes
-    many = sizes >= MANY
-    h = np.where(np.repeat(many, sizes), mixed(h * np.uint64(3) + np.roll(h, -1)), h)
-    h[(begins + sizes - 1)[many]] = h[begins[many]]  # the pair across lines
-    for band in range(BANDS):
-        for row in range(ROWS):
-            seed = np.uint64((band * ROWS + row + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-            least = np.minimum.reduceat(mixed(h ^ seed), begins)
-            if row >= PAIRS:
-                least[many] = 0
-            out[:, band] = mixed(out[:, band] * np.uint64(3) + least)
-    return out
-
-
-def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        rows: list[tuple[int, int]] = []
-        words: list[list[str]] = []
-        digests: list[bytes] = []
-        parts: list[bytes] = []
-        fuzzy: list[bool] = []
-
-        def out() -> pd.DataFrame:
-            h = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-            p = np.c_[np.frombuffer(b"".join(parts), ">i8").astype(np.int64).reshape(-1, 4), word_keys(words).view(np.int64)]
-            own, exact = np.zeros((len(rows), 1 + len(PARTS)), np.int64), ~np.array(fuzzy)
-            own[~exact] = np.c_[simhashes(words).view(np.int64), p]
-            frame = pd.DataFrame({"doc_id": [r[0] for r in rows], "line": [r[1] for r in rows], "h1": h[:, 0], "h2": h[:, 1], "sim": pd.arrays.IntegerArray(own[:, 0], exact), **{c: pd.arrays.IntegerArray(own[:, 1 + i].astype(np.int32), exact) for i, c in enumerate(PARTS)}})
-            for x in (rows, words, digests, parts, fuzzy):
-                x.clear()
-            return frame
-
-        for doc, text in zip(f["doc_id"], f["text"], strict=True):
-            for n, line in enumerate((text or "").split("\n")):
-                w = line.lower().split()
-                if len(w) >= MIN_WORDS:
-                    rows.append((doc, n))
-                    digests.append(xxh3_128_digest(" ".join(w).encode()))
-                    fuzzy.append(len(w) >= FUZZY_WORDS or sum(map(str.isalpha, "".join(w))) >= FUZZY_LETTERS)
-                    if fuzzy[-1]:
-                        words.append(tokens(w))
-                        parts.extend(part_keys(words[-1]))
-            if len(rows) > 20_000:
-                yield out()
-        if rows:
-            yield out()
-
-
-def _shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of each bucket with others, named by what is in it; of a bucket that is too large only its key, as hot."""
-    for f in _whole(frames, ["k", "key"], BUCKET + 1):
-        k, key, node = (f[c].to_numpy(np.int64) for c in ("k", "key", "id"))
-        run = np.cumsum(_new(k, key)) - 1
+    for key, node, tell in _whole_keys(batches):
+        run = np.cumsum(_new(key)) - 1
         size = np.bincount(run)[run]
         hot, several = size > BUCKET, (size > 1) & (size <= BUCKET)
         if hot.any():
-            yield pd.DataFrame({"hot": True, "a": k[hot], "b": key[hot], "id": -1}).drop_duplicates()
-        total = np.zeros(run[-1] + 1, np.uint64)
-        np.add.at(total, run[several], mixed(node[several].view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
-        yield pd.DataFrame({"hot": False, "a": total[run[several]].view(np.int64), "b": size[several], "id": node[several]})
-
+            keys = np.unique(key[hot])
+            yield _buckets(True, keys, keys * 0, keys * 0, keys * 0)
+        run, node, tell = run[several], node[several], tell[several]
+        if not len(run):
+            continue
+        parent = np.arange(len(run))
+        linked: list[np.ndarray] = []
+        for left, right in pairs_of_runs(run):
+            ok = perhaps_alike(tell[left], tell[right])
+            linked.append(np.stack([left[ok], right[ok]]))
+            if sum(x.shape[1] for x in linked) > 1 << 20:
+                linked = [np.stack(local_roots(*np.concatenate(linked, axis=1)))]
+        child, root = local_roots(*np.concatenate(linked, axis=1))
+        parent[child] = root
+        many = np.bincount(parent, minlength=len(run))
+        total = np.zeros(len(run), np.uint64)
+        np.add.at(total, parent, mixed(node.view(np.uint64) + ODD))
+        kept = many[parent] > 1
+        yield _buckets(False, total[parent][kept].view(np.int64), many[parent][kept], node[kept], tell[kept])
+
+
+BUCKETS = "hot boolean, a long, b long, id long, tell long"
+
+
+def _buckets(hot: bool, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), hot)), *map(pa.array, columns)], names=["hot", "a", "b", "id", "tell"])
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """key, id, tell of whole keys that have several rows, a batch at a time, without repeats; of one that fills a batch no more than BUCKET + 1 rows."""
+    rest = [np.zeros(0, np.int64)] * 3
+
+    def several(own: list[np.ndarray]) -> list[np.ndarray]:
+        """By key and id, without repeats, and without keys of one row."""
+        new = _new(own[0])
+        single = new & np.r_[new[1:], True]
+        own = [x[~single] for x in own]
+        if len(own[0]):
+            order = np.lexsort((own[1], own[0]))
+            own = [x[order] for x in own]
+            new = _new(own[0], own[1])
+            own = [x[new] for x in own]
+        return own
 
-def _new(*columns: np.ndarray) -> np.ndarray:
-    """Where a row differs from the one before."""
-    return np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)]
+    for batch in batches:
+        own = [np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False)]) for i, r in enumerate(rest)]
+        if not len(own[0]):
+            continue
+        cut = int(np.flatnonzero(_new(own[0]))[-1])
+        rest = [x[cut:] for x in own]
+        if len(rest[0]) > BUCKET + 1:
+            rest = several(rest) if len(rest[0]) > 1 else rest
+            rest = [x[: BUCKET + 1] for x in rest]
+        out = several([x[:cut] for x in own]) if cut else own[:0]
+        if out and len(out[0]):
+            yield tuple(out)
+    if len(rest[0]):
+        out = several(rest)
+        if len(out[0]):
+            yield tuple(out)
 
 
 def pairs_of_runs(run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -254,32 +373,45 @@ def _dealt(rows: DataFrame, by: list[str], most: int, node: str) -> DataFrame:
     return out.select(*rows.columns, part, F.when(F.col("c") == F.col("o"), F.lit(-1).cast("long")).otherwise(F.col("c")).alias("side"))
 
 
-def buckets(prints: DataFrame, scratch: Scratch) -> DataFrame:
-    """``a, b, id``: the ids of each bucket (a, b) of ``id, sim`` and PARTS (those there are) that holds several, once."""
-    own = [F.struct(F.lit(len(KEYS) + max(0, i - 3)).alias("k"), F.col(c).cast("long").alias("key")) for i, c in enumerate(PARTS) if c in prints.columns]
-    keys = F.array_union(F.array_distinct(F.array(*own)), F.array(*(F.struct(F.lit(n).alias("k"), F.col("sim").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("key")) for n, m in enumerate(KEYS))))
-    rows = prints.select("id", F.explode(keys).alias("x")).select("x.k", "x.key", "id")
-    found = scratch.keep(rows.repartition("k", "key").sortWithinPartitions("k", "key").mapInPandas(_shared, "hot boolean, a long, b long, id long"))
-    out, hot = found.where("not hot").select("a", "b", "id").distinct(), found.where("hot").select(F.col("a").cast("int").alias("k"), F.col("b").alias("key")).distinct()
-    if hot.isEmpty():
-        return out
-    return out.unionByName(rows.join(hot, ["k", "key"]).select(F.col("key").alias("a"), (-1 - F.col("k")).cast("long").alias("b"), "id"))
+def shared_keys(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``a long, b long, id long, tell long``: the buckets (a, b) of ``key long, id long, tell long``: ids that share a key and aren't told apart.
+
+    Buckets of the same ids are one. Keys of more than BUCKET ids are found first and then dealt out whole.
+    """
+    found = scratch.keep(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, BUCKETS))
+    out, hot = found.where("not hot").drop("hot").distinct(), found.where("hot").select(F.col("a").alias("key")).distinct()
+    if not hot.isEmpty():
+        out = out.unionByName(rows.join(hot, "key").select(F.col("key").alias("a"), F.lit(0).cast("long").alias("b"), "id", "tell").distinct())
+    out = scratch.keep(out)
+    scratch.drop(found)
+    return out
+
 
+def block_keys(sim: Column) -> list[Column]:
+    """The blocks of a SimHash two by two; the bits outside are set to the key's number, stirred."""
+    signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x)
+    tag = lambda n, m: (n + 1) * int(ODD) % (1 << 64) & ~m
+    return [sim.bitwiseAND(signed(m)).bitwiseOR(signed(tag(n, m))) for n, m in enumerate(KEYS)]
 
-def candidate_links(prints: DataFrame, scratch: Scratch, shared: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
-    """``u, v``: edges that connect the ids of ``id, sim`` and PARTS just as all pairs that share a key do.
 
-    With ``id, text`` of the ids in shared (the buckets of prints) a pair has to be similar too.
+def candidate_links(shared: DataFrame, scratch: Scratch, texts: DataFrame | None = None) -> DataFrame:
+    """``u, v``: edges that connect the ids of shared (a, b, id, tell) just as all pairs of a bucket that aren't told apart do.
+
+    With ``id, text`` of those ids a pair has to be similar too. Buckets that hang together by their ids, up to BUCKET
+    rows, are dealt to one task, so that a pair of several buckets is compared once; larger ones are dealt one by one.
     """
-    shared = scratch.keep(buckets(prints, scratch)) if shared is None else shared
-    dealt = _dealt(shared, ["a", "b"], GROUP, "id")
+    first = shared.groupBy("a", "b").agg(F.min("id").alias("v"))
+    together = components(shared.join(first, ["a", "b"]).select(F.col("id").alias("u"), "v"), scratch)
+    rooted = _dealt(shared, ["a", "b"], GROUP, "id").join(together, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("component", "id")).drop("node", "component")
+    few = rooted.groupBy("root").agg((F.count("*") <= BUCKET).alias("few"))
+    dealt = rooted.join(few, "root").withColumn("deal", F.when(F.col("few"), F.col("root")).otherwise(F.xxhash64("a", "b", "part")))
     dealt = dealt.withColumn("text", F.lit("")) if texts is None else dealt.join(texts.hint("merge"), "id")
-    rows = dealt.select("a", "b", "part", "side", "id", "text")
-    return scratch.keep(rows.repartition("a", "b", "part").sortWithinPartitions("a", "b", "part", "id").mapInPandas(_verify, "u long, v long"))
+    rows = dealt.select("deal", "a", "b", "part", "side", "id", "tell", "text")
+    return scratch.keep(rows.repartition("deal").sortWithinPartitions("deal", "a", "b", "part", "id").mapInPandas(_verify, "u long, v long"))
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    """Whether the edit similarity is at least least: Myers' bit-parallel distance on what differs."""
+    """Whether the edit similarity is at least least: words aligned first, then Myers' bit-parallel distance on what differs."""
     longest = max(len(a), len(b))
     most = longest - least * longest + 1e-9
     if abs(len(a) - len(b)) > most:
@@ -294,18 +426,52 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     a, b = a[start : len(a) - end], b[start : len(b) - end]
     if max(len(a), len(b)) <= most:
         return True
-    return distance(a, b, most) <= most
+    return aligned(a, b, most) or distance(a, b, most) <= most
+
+
+def aligned(a: str, b: str, most: float) -> bool:
+    """Whether an alignment of the words, made from left to right, shows an edit distance of at most most; if not, nothing is known."""
+    x, y = a.split(" "), b.split(" ")
+    i, j, cost = 0, 0, 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        best = None
+        for skip in range(1, 2 * SKIP + 1):
+            for p in range(max(0, skip - SKIP), min(skip, SKIP) + 1):
+                if i + p < len(x) and j + skip - p < len(y) and x[i + p] == y[j + skip - p] and (best is None or abs(2 * p - skip) < abs(2 * best[0] - sum(best))):
+                    best = p, skip - p
+            if best:
+                break
+        if not best:
+            break
+        cost += max(sum(map(len, x[i : i + best[0]])) + best[0], sum(map(len, y[j : j + best[1]])) + best[1])
+        if cost > most:
+            return False
+        i, j = i + best[0], j + best[1]
+    return cost + max(len(" ".join(x[i:])), len(" ".join(y[j:]))) + ((i == len(x)) != (j == len(y))) <= most
+
+
+#: Of four rows that rise (low four bits) or fall (high four bits) by one: the sum, and the least sum on the way.
+RISES = [[(x >> i & 1) - (x >> (4 + i) & 1) for i in range(4)] for x in range(256)]
+FOUR = [(sum(r), min(sum(r[: i + 1]) for i in range(4))) for r in RISES]
 
 
 def distance(a: str, b: str, most: float = float("inf")) -> int:
-    """Levenshtein distance (Myers, 1999; Hyyro's form), a column of the table per letter of b; over most: any number over most."""
+    """Levenshtein distance (Myers, 1999; Hyyro's form), a column of the table per letter of b; over most: any number over most.
+
+    A path of at most most edits keeps near the table's diagonal: every 64 columns the least number of the cells there
+    says whether any can be.
+    """
     if not a or not b:
         return len(a) + len(b)
     masks: dict[str, int] = {}
     for i, c in enumerate(a):
         masks[c] = masks.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    pv, mv, score = full, 0, len(a)
+    pv, mv, score, at = full, 0, len(a), 0
+    near = int((most + abs(len(a) - len(b))) / 2) + 1 if most < len(a) + len(b) else 0
     for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
         if score - left - 1 > most:  # the score falls by one a letter at most
             return score
@@ -315,9 +481,27 @@ def distance(a: str, b: str, most: float = float("inf")) -> int:
         score += bool(ph & top) - bool(mh & top)
         ph, mh = (ph << 1 | 1) & full, mh << 1 & full
         pv, mv = mh | (full & ~(xv | ph)), ph & xv
+        at += 1
+        if near and not at & 63 and at > most and least_near(pv, mv, at, max(0, at - near), min(len(a), at + near)) > most:
+            return int(most) + 1
     return score
 
 
+def least_near(pv: int, mv: int, column: int, first: int, last: int) -> int:
+    """The least number of a column of the table in the rows first to last."""
+    below = (1 << first) - 1
+    now = least = column + (pv & below).bit_count() - (mv & below).bit_count()
+    p, v = pv >> first, mv >> first
+    for _ in range(first, last, 4):
+        total, low = FOUR[p & 15 | (v & 15) << 4]
+        if now + low < least:
+            least = now + low
+        now += total
+        p >>= 4
+        v >>= 4
+    return least
+
+
 def pair_counts(texts: list[str]) -> np.ndarray:
     """How often each text has the pairs of letters that share one of COUNTS hashes, up to 255."""
     out = np.zeros((len(texts), COUNTS), np.uint8)
@@ -352,13 +536,13 @@ def perhaps(counts: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.n
 
 def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Star forests of the similar pairs in each part of each bucket."""
-    for f in _whole(frames, ["a", "b", "part"]):
+    for f in _whole(frames, ["deal"]):
         ids, at = np.unique(f["id"].to_numpy(np.int64), return_inverse=True)
         side, run = f["side"].to_numpy(np.int64), np.cumsum(_new(*(f[c].to_numpy(np.int64) for c in ("a", "b", "part"))))
         text = [""] * len(ids)
         for i, x in zip(at.tolist(), f["text"], strict=True):
             text[i] = x
-        counts, sizes = pair_counts(text), np.array([len(x) for x in text])
+        counts, sizes, tell = pair_counts(text), np.array([len(x) for x in text]), f["tell"].to_numpy(np.int64)
         parent, roots = list(range(len(ids))), np.arange(len(ids))
         apart_for_sure: set[tuple[int, int]] = set()
 
@@ -368,7 +552,7 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             return i
 
         for left, right in pairs_of_runs(run):
-            ok = (side[left] < 0) | (side[left] != side[right])
+            ok = ((side[left] < 0) | (side[left] != side[right])) & perhaps_alike(tell[left], tell[right])
             left, right = at[left[ok]], at[right[ok]]
             apart = roots[left] != roots[right]  # of a line that is met again, much is known
             left, right = left[apart], right[apart]
@@ -391,57 +575,71 @@ def _pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         rows = []
         for text, wanted in zip(f["text"], f["wanted"], strict=True):
-            lines = (text or "").split("\n")
-            rows += [(w["id"], normal(lines[w["line"]])) for w in wanted if w["line"] < len(lines)]
+            lines = text.split("\n")
+            rows += [(w["id"], normal(lines[w["line"]])) for w in wanted]
         yield pd.DataFrame(rows, columns=["id", "text"])
 
 
-def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``doc_id long, dropped array<int>``: the numbers (from 0) of the lines that go, for documents that lose any."""
+#: What tells a document: rows that share doc_id and text are one.
+OWN = ["doc_id", "th"]
+
+
+def _source(docs: DataFrame) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    lines = scratch.keep(src.where("doc_id is not null and text is not null").mapInPandas(_lines, "doc_id long, line int, h1 long, h2 long, sim long, " + ", ".join(f"{c} int" for c in PARTS)))
-    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("sim", *PARTS)))
-    firsts = scratch.keep(firsts.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "n", "sim", *PARTS))
-    prints = firsts.where("sim is not null").select("id", "sim", *PARTS)
-    shared = scratch.keep(buckets(prints, scratch))
-    members = firsts.join(shared.select("id").distinct(), "id").select("id", F.col("first.doc_id").alias("_doc"), F.col("first.line").alias("line"))
-    wanted = members.groupBy("_doc").agg(F.collect_list(F.struct("id", "line")).alias("wanted"))
-    # rows that share a doc_id have texts of their own, of which one is the line's
-    texts = src.join(wanted.hint("merge"), F.col("doc_id") == F.col("_doc")).select("text", "wanted").mapInPandas(_pick, "id long, text string")
+    return src.select("doc_id", F.xxhash64("text").alias("th"), "text").where("doc_id is not null and text is not null")
+
+
+def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``doc_id long, th long, dropped array<int>``: the numbers (from 0) of the lines that go, for documents that lose any.
+
+    th is the xxhash64 of a document's text.
+    """
+    src = _source(docs)
+    lines = scratch.keep(src.mapInArrow(_lines, "doc_id long, th long, line int, h1 long, h2 long, tell long, sim long, " + ", ".join(f"{c} long" for c in PARTS)))
+    # short lines have the same part keys twice
+    second = [F.when(F.col(a) != F.col(b), F.col(b)) for a, b in ((PARTS[0], PARTS[2]), (PARTS[1], PARTS[3]))]
+    keys = F.array(*block_keys(F.col("sim")), *PARTS[:2], *second, *PARTS[4:])
+    shared = shared_keys(lines.where("sim is not null").select(F.explode(keys).alias("key"), F.col("h1").alias("id"), "tell").where("key is not null"), scratch)
+    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct(*OWN, "line")).alias("first"), F.count("*").alias("n"))
+    firsts = scratch.keep(firsts.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "n"))
+    # a bucket's 64-bit hashes become the ids of all lines that have them
+    members = scratch.keep(firsts.join(shared.select(F.col("id").alias("h1")).distinct(), "h1").select("id", "h1", "first.*"))
+    named = shared.select("a", "b", F.col("id").alias("h1"), "tell").join(members.select("id", "h1"), "h1").select("a", "b", "id", "tell")
+    wanted = members.groupBy(*(F.col(c).alias(f"_{c}") for c in OWN)).agg(F.collect_list(F.struct("id", "line")).alias("wanted"))
+    texts = src.join(wanted.hint("merge"), (F.col("doc_id") == F.col("_doc_id")) & (F.col("th") == F.col("_th"))).select("text", "wanted").mapInPandas(_pick, "id long, text string")
     texts = scratch.keep(texts.groupBy("id").agg(F.min("text").alias("text")))
-    edges = candidate_links(prints, scratch, shared, texts)
-    groups = components(edges, scratch)
-    classed = scratch.keep(firsts.join(groups, F.col("id") == F.col("node"), "left").select("h1", "h2", "first", "n", F.coalesce("component", "id").alias("class")))
+    groups = components(candidate_links(named, scratch, texts), scratch)
+    scratch.drop(shared, texts)
+    roots = groups.select(F.col("component").alias("node"), "component").distinct()
+    # lines that neither repeat nor are linked stay, and need no class
+    classed = firsts.join(groups.unionByName(roots), F.col("id") == F.col("node"), "left").where("n > 1 or component is not null")
+    classed = scratch.keep(classed.select("h1", "h2", "first", "n", F.coalesce("component", "id").alias("class")))
     classes = classed.groupBy("class").agg(F.sum("n").alias("total"), F.min("first").alias("stays")).where("total > 1")
     keep = classed.join(classes, "class").select("h1", "h2", "stays")
-    gone = lines.join(keep, ["h1", "h2"]).where((F.col("doc_id") != F.col("stays.doc_id")) | (F.col("line") != F.col("stays.line")))
-    return scratch.keep(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped")))
-
-
-@F.pandas_udf(StringType())
-def _without(texts: pd.Series, dropped: pd.Series) -> pd.Series:
-    out = []
-    for text, gone in zip(texts, dropped, strict=True):
-        gone = set(gone.tolist())
-        out.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone))
-    return pd.Series(out, dtype=object)
+    stays = F.struct(*(F.col(f"stays.{c}").alias(c) for c in (*OWN, "line")))
+    gone = lines.join(keep, ["h1", "h2"]).where(F.struct(*OWN, "line") != stays)
+    gone = scratch.keep(gone.groupBy(*OWN).agg(F.array_sort(F.collect_set("line")).alias("dropped")))
+    scratch.drop(lines, firsts, members, classed)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch | None = None, count: bool = False) -> DataFrame:
     """docs with the repeated lines taken out of ``text`` (and n_chars set to the new length, where docs has it).
 
     No document goes: one whose lines all repeat earlier ones ends up with an empty text. A null or empty text and
-    rows with a null doc_id stay as they are; rows with one doc_id are one document. count adds ``n_lines`` and
+    rows with a null doc_id stay as they are; rows with one doc_id and one text are one document, and all keep or lose
+    the same lines; rows with one doc_id and different texts are different documents. count adds ``n_lines`` and
     ``n_dropped`` (in place of columns of these names). An empty table gives an empty one.
     """
     scratch = scratch or Scratch(docs.sparkSession, "lines")
-    gone = repeated_lines(docs, scratch).select(F.col("doc_id").alias("of"), "dropped")
+    gone = repeated_lines(docs, scratch).select(F.col("doc_id").alias("of"), F.col("th").alias("of_text"), "dropped")
     rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    joined = rows.join(gone.hint("merge"), F.col("id") == F.col("of"), "left")
+    rows = rows.withColumn("th", F.xxhash64(F.col("row.text").cast("string")))
+    joined = rows.join(gone.hint("merge"), (F.col("id") == F.col("of")) & (F.col("th") == F.col("of_text")), "left")
     cut, old = F.col("dropped").isNotNull(), F.col("row.text").cast("string")
-    new = F.when(cut, _without(F.coalesce(old, F.lit("")), F.coalesce("dropped", F.array().cast("array<int>")))).otherwise(old)
+    stay = F.filter(F.split(old, "\n"), lambda _, i: ~F.array_contains("dropped", i))
     lines = F.coalesce(F.regexp_count(old, F.lit("\n")) + 1, F.lit(0)).cast("long")
-    joined = joined.select("row", cut.alias("cut"), new.alias("new"), lines.alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+    joined = joined.select("row", cut.alias("cut"), F.when(cut, F.array_join(stay, "\n")).otherwise(old).alias("new"), lines.alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
     own = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("new")}
     if "n_chars" in own:
         own["n_chars"] = F.when(F.col("cut"), F.length("new")).otherwise(own["n_chars"]).cast(docs.schema["n_chars"].dataType)

@@ -23,7 +23,7 @@ from xxhash import xxh64_digest
 
 from riskweave.llm.common import Scratch, load, local_roots, quoted
 from riskweave.llm.components import components
-from riskweave.llm.lines import _dealt, _new, _shared, _whole, pairs_of_runs
+from riskweave.llm.lines import _dealt, _new, _whole, pairs_of_runs, shared_keys
 
 #: Differing bits that still link, and segments of the ring.
 T, M = 4, 7
@@ -240,12 +240,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = WIDTH, least
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     prints = scratch.keep(src.mapInPandas(lambda x: _contents(x, width), "doc_id long, content long, keys array<long>"))
     reps = prints.groupBy("content").agg(F.min(F.struct("doc_id", "keys")).alias("x")).select("content", "x.doc_id", "x.keys")
-    rows = reps.select(F.col("content").alias("id"), F.posexplode("keys").alias("k", "key")).select("k", "key", "id")
-    found = scratch.keep(rows.repartition("k", "key").sortWithinPartitions("k", "key").mapInPandas(_shared, "hot boolean, a long, b long, id long"))
-    shared, hot = found.where("not hot").select("a", "b", "id").distinct(), found.where("hot").select(F.col("a").cast("int").alias("k"), F.col("b").alias("key")).distinct()
-    if not hot.isEmpty():
-        shared = shared.unionByName(rows.join(hot, ["k", "key"]).select(F.col("key").alias("a"), (-1 - F.col("k")).cast("long").alias("b"), "id"))
-    shared = scratch.keep(shared)
+    shared = shared_keys(reps.select(F.explode("keys").alias("key"), F.col("content").alias("id"), F.lit(0).cast("long").alias("tell")), scratch).drop("tell")
     wanted = reps.join(shared.select(F.col("id").alias("content")).distinct(), "content").select(F.col("doc_id").alias("_doc")).distinct()
     # rows that share a doc_id have texts of their own
     texts = src.join(wanted.hint("merge"), F.col("doc_id") == F.col("_doc")).select("text")
