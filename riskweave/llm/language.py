@@ -1,11 +1,12 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton holds all substrings of a sample of its labelled text. A text is parsed greedily
-into longest matches (Ziv and Merhav's cross-parsing, 1993): the fewer phrases, the nearer the language. Phrases are
-normalised by log2 of the sample's size over the letters parsed, an estimate of the cross entropy in bits a letter.
+For each language a suffix automaton holds all substrings of a sample of its labelled running text. A text is parsed
+greedily into longest matches (Ziv and Merhav's cross-parsing, 1993), across words and lines: the fewer phrases, the
+nearer the language. Phrases are normalised by log2 of the sample's size over the letters parsed, an estimate of the
+cross entropy in bits a letter. Texts are read as their runs of letters, in lower case, with one blank between two.
 
-Phrases never cross a word: each word is parsed between two blanks. So its phrase counts depend on the word alone and
-are remembered, and a whole text costs one look-up a word.
+The sample is bounded: passages of at most PASSAGE letters, from documents chosen by hash, at most SAMPLE_LETTERS a
+language. Texts are parsed whole.
 """
 
 from __future__ import annotations
@@ -22,58 +23,61 @@ from pyspark.sql import functions as F
 from riskweave.llm.common import load
 from riskweave.llm.toxicity import held_out
 
-#: Labelled documents and letters that a language's sample has at most.
-SAMPLE_DOCS, SAMPLE_LETTERS = 400, 80_000
-#: Words that a Python worker remembers, and how sharply scores fall with bits a letter.
-REMEMBERED, SHARPNESS = 500_000, 12.0
+#: Letters of a passage, and of a language's sample.
+PASSAGE, SAMPLE_LETTERS = 400, 80_000
+#: How sharply scores fall with bits a letter.
+SHARPNESS = 12.0
 UNKNOWN = "und"
 LETTERS = regex.compile(r"\p{L}+")
 
 
 class SuffixAutomaton:
-    """All substrings of a text (Blumer et al., 1985)."""
+    """All substrings of a text (Blumer et al., 1985). A state is the dict of its transitions."""
 
     def __init__(self, text: str):
-        self.next: list[dict[str, int]] = [{}]
+        states: list[dict] = [{}]
         link, length = [-1], [0]
         last = 0
+        to: list[dict[str, int]] = [{}]
         for c in text:
             now = len(length)
             length.append(length[last] + 1)
             link.append(0)
-            self.next.append({})
+            to.append({})
             p = last
-            while p >= 0 and c not in self.next[p]:
-                self.next[p][c] = now
+            while p >= 0 and c not in to[p]:
+                to[p][c] = now
                 p = link[p]
             if p >= 0:
-                q = self.next[p][c]
+                q = to[p][c]
                 if length[q] == length[p] + 1:
                     link[now] = q
                 else:
                     twin = len(length)
                     length.append(length[p] + 1)
                     link.append(link[q])
-                    self.next.append(dict(self.next[q]))
-                    while p >= 0 and self.next[p].get(c) == q:
-                        self.next[p][c] = twin
+                    to.append(dict(to[q]))
+                    while p >= 0 and to[p].get(c) == q:
+                        to[p][c] = twin
                         p = link[p]
                     link[q] = link[now] = twin
             last = now
+        states += [{} for _ in range(len(to) - 1)]
+        for i, own in enumerate(to):  # numbers become the states themselves
+            for c, q in own.items():
+                states[i][c] = states[q]
+            to[i] = None
+        self.root, self.between = states[0], {}
 
     def phrases(self, text: str) -> int:
         """Greedy longest matches that cover a text; a letter the sample lacks is a phrase of its own."""
-        states, count, at = self.next, 0, 0
+        root, between = self.root, self.between
+        count, at = 0, between
         for c in text:
-            to = states[at].get(c)
+            to = at.get(c)
             if to is None:
                 count += 1
-                to = states[0].get(c)
-                if to is None:
-                    at = 0
-                    continue
-            elif not at:
-                count += 1
+                to = root.get(c, between)
             at = to
         return count
 
@@ -85,44 +89,29 @@ class Parser:
         self.languages = sorted(samples)
         self.automata = [SuffixAutomaton(samples[k]) for k in self.languages]
         self.bits = np.log2([len(samples[k]) + 1 for k in self.languages])
-        self.known: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(self.languages) + 1), np.int32)
-
-    def row(self, token: str) -> int:
-        at = len(self.known)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        words = LETTERS.findall(token)
-        self.rows[at] = [*(sum(a.phrases(f" {w} ") for w in words) for a in self.automata), sum(map(len, words))]
-        self.known[token] = at
-        return at
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        tokens = (text or "").lower().split()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        total = np.zeros(len(self.languages) + 1, np.int64)
-        for i in range(0, len(tokens), 1 << 16):
-            at = [known[t] if t in known else self.row(t) for t in tokens[i : i + (1 << 16)]]
-            total += self.rows[at].sum(axis=0, dtype=np.int64)
-        if not total[-1] or not self.languages:
+        own = running(text)
+        if not own or not self.languages:
             return UNKNOWN, 0.0
-        rate = total[:-1] * self.bits / total[-1]
+        rate = np.array([a.phrases(own) for a in self.automata]) * self.bits / len(own)
         best = int(np.argmin(rate))
         return self.languages[best], float(1 / np.exp(-SHARPNESS * (rate - rate[best])).sum())
 
 
-def _letters(text: str | None) -> str:
+def running(text: str | None) -> str:
+    """The letters of a text, one blank for what is between."""
     return " ".join(LETTERS.findall((text or "").lower()))
 
 
-def fit(docs: DataFrame, docs_most: int = SAMPLE_DOCS, letters_most: int = SAMPLE_LETTERS) -> dict[str, str]:
-    """A sample of the words of each language, from labelled rows that are not held out, in an order set by hash.
+def fit(docs: DataFrame, passage: int = PASSAGE, letters_most: int = SAMPLE_LETTERS) -> dict[str, str]:
+    """A sample of the running text of each language, from labelled rows that are not held out.
 
-    The sample is bounded: docs_most documents and letters_most letters of distinct words a language. Rows with a
-    null lang, id or text are not learned from; no such rows give no languages.
+    Documents are taken in an order set by a hash of their ids; each gives a passage of at most passage letters from a
+    place set by that hash, cut at words where it has several, up to letters_most letters a language. Rows with a null
+    lang, id or text are not learned from; no such rows give no languages.
     """
+    docs_most = 4 * letters_most // passage  # many are short
     known = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).where("lang is not null and doc_id is not null and text is not null")
     known = known.where(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
     share = {r["lang"]: min(1.0, 2.0 * docs_most / r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -131,22 +120,28 @@ def fit(docs: DataFrame, docs_most: int = SAMPLE_DOCS, letters_most: int = SAMPL
     # a share of each language that leaves about twice as many rows as are taken, so that no window is large
     limit = F.element_at(F.create_map(*(F.lit(x) for kv in sorted(share.items()) for x in kv)), F.col("lang"))
     thin = known.where((F.pmod("h", F.lit(1_000_003)) / 1_000_003.0) < limit)
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = thin.select("lang", "doc_id", "h").withColumn("r", rank).where(F.col("r") <= docs_most)
 
-    def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def passages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"lang": f["lang"], "r": f["r"], "words": [" ".join(dict.fromkeys(_letters(t).split()))[: 4 * letters_most] for t in f["text"]]})
-
-    rows = known.drop("lang", "h").join(F.broadcast(chosen), "doc_id").select("lang", "r", "text").mapInPandas(words, "lang string, r int, words string").orderBy("r")
-    out: dict[str, dict[str, None]] = {k: {} for k in share}
-    size = dict.fromkeys(share, 0)
-    for r in rows.toLocalIterator():
-        for w in r["words"].split():
-            if size[r["lang"]] < letters_most and w not in out[r["lang"]]:
-                out[r["lang"]][w] = None
-                size[r["lang"]] += len(w) + 1
-    return {k: f" {' '.join(v)} " for k, v in out.items() if v}
+            out = []
+            for h, text in zip(f["h"], f["text"], strict=True):
+                own = running(text)
+                at = h % max(1, len(own) - passage)
+                at = own.find(" ", at) + 1 if 0 < at else 0  # the next word; the first, where there is none
+                cut = own[at : at + passage + 1]
+                out.append(cut[: cut.rfind(" ")] if len(cut) > passage and " " in cut else cut[:passage])
+            yield pd.DataFrame({"lang": f["lang"], "h": f["h"], "doc_id": f["doc_id"], "passage": out})
+
+    rows = thin.mapInPandas(passages, "lang string, h long, doc_id long, passage string").where("passage <> ''")
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "passage"))
+    chosen = rows.withColumn("r", rank).where(F.col("r") <= docs_most).orderBy("lang", "r")
+    out: dict[str, list[str]] = {}
+    size: dict[str, int] = {}
+    for r in chosen.toLocalIterator():
+        if size.get(r["lang"], 0) + len(r["passage"]) <= letters_most:
+            out.setdefault(r["lang"], []).append(r["passage"])
+            size[r["lang"]] = size.get(r["lang"], 0) + len(r["passage"]) + 1
+    return {k: " ".join(v) for k, v in out.items()}
 
 
 _parsers: dict[int, Parser] = {}
