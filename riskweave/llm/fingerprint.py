@@ -16,8 +16,8 @@ from riskweave.llm.common import load
 
 #: Hashes that a sketch keeps, and words of a shingle.
 K, WIDTH = 256, 5
-#: Rows of a range of doc_ids, and most ranges.
-RANGE_ROWS, MOST_RANGES = 2_000, 10_000
+#: Rows of a range of doc_ids, and most ranges (their bounds are one literal of the plan).
+RANGE_ROWS, MOST_RANGES = 2_000, 100_000
 LOWEST = -(1 << 63)
 
 
@@ -86,13 +86,25 @@ def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, F.col("text").cast("string")).mapInPandas(run, f"{key} {kind}, fingerprint string, shingles double")
 
 
-def _at(bounds: list[int], value: Column) -> Column:
-    """How many bounds are at most value, by binary search."""
+def _longs(values: list[int]) -> Column:
+    """An array as one literal."""
+    return F.lit(np.array(values, np.int64)) if values else F.array().cast("array<long>")
+
+
+def _below(bounds: list[int], value: Column) -> Column:
+    """How many of the ascending bounds are below value, by binary search."""
     n = len(bounds)
     if not n:
         return F.lit(0)
-    held, steps = F.array(*map(F.lit, bounds)), [1 << i for i in reversed(range(n.bit_length()))]
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(at + step > n, at).when(F.get(held, at + step - 1) <= value, at + step).otherwise(at))
+    held, steps = _longs(bounds), [1 << i for i in reversed(range(n.bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(at + step > n, at).when(F.get(held, at + step - 1) < value, at + step).otherwise(at))
+
+
+def _span(bounds: list[int], place: Column, share: Column) -> Column:
+    """The range of a row: a place that is several bounds is cut into as many ranges, by its rows' share (from 0, below 1)."""
+    below = _below(bounds, place)
+    same = _below(bounds, place + 1) - below  # no place is the highest long
+    return below + F.floor(share * F.greatest(same, F.lit(1))).cast("int")
 
 
 def _edits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,28 +140,30 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Every row's fingerprint beside that of its edited text, whose last third is the start of the next document's.
 
     Next is the next lower doc_id, after the lowest (nulls are lowest) the highest; a lone row follows itself.
-    Rows with one doc_id follow each other by text. Only doc_ids are ranked over all rows: texts are dealt to ranges
-    of doc_ids, and each range also gets the one row that follows it. An empty table gives an empty result.
+    Rows with one doc_id follow each other by a hash of their texts. Only doc_ids and hashes are ranked over all rows:
+    texts are dealt to ranges of doc_ids (an id of many rows to several), and each range also gets the one row that
+    follows it. An empty table gives an empty result.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    place = F.coalesce("id", F.lit(LOWEST))
-    ids = src.select(place.alias("p"))
+    place, share = F.coalesce("id", F.lit(LOWEST)), F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53)
+    ids = src.select(place.alias("p"), share.alias("u"))
     n = ids.count()
     ranges = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
-    bounds = sorted(set(ids.agg(F.percentile_approx("p", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0])) if ranges > 1 else []
-    tops = {r[0]: r[1] for r in ids.groupBy(_at(bounds, F.col("p")).alias("span")).agg(F.max("p")).collect()} if n else {}
+    bounds = sorted(ids.agg(F.percentile_approx("p", F.lit(np.arange(1, ranges) / ranges), F.lit(10 * ranges))).first()[0]) if ranges > 1 else []
+    tops = {r["span"]: r["top"] for r in ids.groupBy(_span(bounds, F.col("p"), F.col("u")).alias("span")).agg(F.max(F.struct("p", "u")).alias("top")).collect()} if n else {}
     spans = sorted(tops)
-    first = [tops.get(s, LOWEST) for s in range(len(bounds) + 1)]
+    count = len(bounds) + 1
     ahead_of = {s: spans[(i + 1) % len(spans)] for i, s in enumerate(spans)}
-    target = [ahead_of.get(s, -1) for s in range(len(bounds) + 1)]
-    span = _at(bounds, place)
-    dealt = src.withColumn("p", place).withColumn("s", span)
+    first = [tops[s]["p"] if s in tops else LOWEST for s in range(count)]
+    first_share = [tops[s]["u"] if s in tops else -1.0 for s in range(count)]
+    target = [ahead_of.get(s, -1) for s in range(count)]
+    dealt = src.withColumn("p", place).withColumn("u", share).withColumn("s", _span(bounds, F.col("p"), F.col("u")))
     own = F.struct(F.col("s").alias("span"), F.lit(0).alias("ahead"))
-    more = F.struct(F.get(F.array(*map(F.lit, target)), F.col("s")).alias("span"), F.lit(1).alias("ahead"))
-    is_top = F.get(F.array(*map(F.lit, first)), F.col("s")) == F.col("p")
-    dealt = dealt.withColumn("x", F.explode(F.when(is_top, F.array(own, more)).otherwise(F.array(own)))).select("x.span", "x.ahead", "id", "text")
+    more = F.struct(F.get(_longs(target), F.col("s")).cast("int").alias("span"), F.lit(1).alias("ahead"))
+    is_top = (F.get(_longs(first), F.col("s")) == F.col("p")) & (F.get(F.lit(np.array(first_share)), F.col("s")) == F.col("u"))
+    dealt = dealt.withColumn("x", F.explode(F.when(is_top, F.array(own, more)).otherwise(F.array(own)))).select("x.span", "x.ahead", "id", "u", "text")
     # one range at a time in a task, rows in order; of several rows ahead only the first is looked at
-    ordered = dealt.repartition("span").sortWithinPartitions("span", "ahead", F.col("id").desc_nulls_last(), "text")
+    ordered = dealt.repartition("span").sortWithinPartitions("span", "ahead", F.col("id").desc_nulls_last(), F.col("u").desc(), F.col("text").desc()).drop("u")
     return ordered.mapInPandas(_edits, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
