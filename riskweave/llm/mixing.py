@@ -105,11 +105,12 @@ def mix(docs: DataFrame, scratch: Scratch | None = None, block: int = BLOCK, sha
 def mixed_documents(docs: DataFrame, scratch: Scratch | None = None, **options) -> DataFrame:
     """The mix itself: the columns of docs, a row for each time a text is taken, a cut last text as its first words.
 
-    Rows that share a doc_id (null ones too) are all taken as the mix takes one of them; a document of which the mix
+    Rows that share a doc_id (null ones too) are all taken as the mix takes the one it takes most of; a document of which the mix
     takes no word, so any without words, is not in it.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
-    plan = scratch.keep(mix(docs, scratch, **options).where("taken > 0").select(F.col("doc_id").alias("of"), "whole", "extra").dropDuplicates(["of"]))
+    taken = mix(docs, scratch, **options).where("taken > 0").groupBy(F.col("doc_id").alias("of")).agg(F.max(F.struct("whole", "extra")).alias("most"))
+    plan = scratch.keep(taken.select("of", "most.*"))
     rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"))
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("whole").cast("int")), F.when(F.col("extra") > 0, F.array("extra")).otherwise(F.array().cast("array<long>")))
     joined = rows.join(plan.hint("merge"), F.col("id").eqNullSafe(F.col("of"))).select("row", F.explode(copies).alias("copy"))

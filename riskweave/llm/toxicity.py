@@ -85,9 +85,11 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most_features: int = FEATURES, pair_weight: float = PAIR_WEIGHT) -> dict:
     """The model: weights by feature, and a bias. Only labelled rows that are not held out are looked at.
 
-    Null labels and ids, and labels without a document, are ignored. Without both classes the model is the class share.
+    Null labels and ids, and labels without a document, are ignored; an id with both labels is toxic, and of rows with
+    one id the fit's sample takes the least text. Without both classes the model is the class share.
     """
-    known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         p = 0.999 if 1 in sizes else 0.001
@@ -97,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most_featu
     ids = spark.createDataFrame(pd.DataFrame([(r["doc_id"], r["toxic"]) for s in sampled for r in s], columns=["_id", "toxic"]), "_id long, toxic int")
     # at most 2 * fit_rows ids: small enough to broadcast whatever the input
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    texts = own.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    texts = own.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     labelled = own.join(known.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id") == F.col("_id")).select("text", "toxic")
     counted = labelled.mapInPandas(_count, "feature string, n long, p long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     odds = F.log((F.col("p") + 0.5) / (sizes[1] + 1)) - F.log((F.col("n") + 0.5) / (sizes[0] + 1))
