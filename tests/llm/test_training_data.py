@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -228,20 +229,32 @@ def test_edit_distance(a, b):
     assert lines.similar(a, b) == (row[-1] <= 0.2 * max(len(a), len(b)) + 1e-9)
 
 
+def brute_links(names: list[str]) -> list[tuple]:
+    """All pairs of normal forms that are long enough and have an edit similarity of 0.8, by DuckDB's distance."""
+    long = [(i, n) for i, n in enumerate(names) if len(n.split()) >= 5 or sum(map(str.isalpha, n)) >= 10]
+    table = pd.DataFrame(long, columns=["i", "n"])
+    return duckdb.sql(
+        """select a.i, b.i from table a join table b on a.i < b.i and abs(length(a.n) - length(b.n)) <= 0.2 * greatest(length(a.n), length(b.n)) + 1e-9
+        where levenshtein(a.n, b.n) <= 0.2 * greatest(length(a.n), length(b.n)) + 1e-9""".replace("table", "long_lines"),
+        connection=_connected(table),
+    ).fetchall()
+
+
+def _connected(table: pd.DataFrame) -> duckdb.DuckDBPyConnection:
+    out = duckdb.connect()
+    out.register("long_lines", table)
+    return out
+
+
 def brute_lines(rows: list[tuple]) -> dict:
+    """Texts of (doc_id, text) without the lines that repeat or resemble, over any chain, an earlier one; it knows no keys."""
     where: dict[str, list] = {}
     for doc, text in rows:
         for i, x in enumerate((text or "").split("\n")):
-            if len(lines.normal(x).split()) >= lines.MIN_WORDS:
-                where.setdefault(lines.normal(x), []).append((doc, i))
+            if x.split():
+                where.setdefault(" ".join(x.lower().split()), []).append((doc, i))
     names = list(where)
-    sims, halves = lines.simhashes([n.split() for n in names]), [set(lines.part_keys(n.split())) for n in names]
-    alike = lambda i, j: any(int(sims[i]) & m == int(sims[j]) & m for m in lines.KEYS) or bool(halves[i] & halves[j])
-    near = [(i, j) for i in range(len(names)) for j in range(i) if np.bitwise_count(sims[i] ^ sims[j]) <= lines.REACH]
-    rooted = lambda pairs: dict(zip(*local_roots(*np.array(pairs, int).reshape(-1, 2).T), strict=True))
-    cluster = rooted([p for p in near if alike(*p)])
-    linked = [(i, j) for i, j in near if cluster.get(i, i) == cluster.get(j, j) and lines.similar(names[i], names[j])]
-    root = rooted(linked)
+    root = dict(zip(*local_roots(*np.array(brute_links(names), int).reshape(-1, 2).T), strict=True))
     groups: dict = {}
     for i, n in enumerate(names):
         groups.setdefault(root.get(i, i), []).extend(where[n])
@@ -268,9 +281,9 @@ def test_line_dedup_matches_brute_force(spark, paged, monkeypatch):
     want = brute_lines(paged)
     for group, bucket in ((lines.GROUP, lines.BUCKET), (8, 16)):  # the small limits send groups and buckets by chunks
         monkeypatch.setattr(lines, "GROUP", group)
+        monkeypatch.setattr(lines, "BUCKET", bucket)
         got = {r["doc_id"]: r["text"] for r in rows_of(lines.dedup_lines(frame(spark, [(*r, "en", "s", 1) for r in paged])))}
         assert got == want
-        del bucket
     assert sum("edited" in t for t in want.values()) < 60 and sum(prose(60, 77) in lines.normal(t) for t in want.values()) == 1
 
 
@@ -283,10 +296,50 @@ def test_line_dedup_of_odd_rows(docs, empty):
 
 
 def test_hot_line_buckets_are_dealt_whole(spark):
-    """More lines with one head than a task takes, each a bit from others."""
-    df = spark.createDataFrame([(i, i << 44, 5, i, 5, i) for i in range(lines.BUCKET + 500)], "id long, sim long, p0 long, p1 long, p2 long, p3 long")
-    found = components(lines.candidate_links(df, Scratch(spark, "t")), Scratch(spark, "t"))
-    assert found.count() == lines.BUCKET + 499 and found.where("component <> 0").count() == 0
+    """More lines with one key than a task takes, some twice, and keys of one line."""
+    n = lines.BUCKET + 500
+    df = spark.createDataFrame([(5, i) for i in range(n)] + [(5, i) for i in range(100)] + [(1000 + i, i) for i in range(50)] * 2, "key long, id long").withColumn("tell", F.lit(0).cast("long"))
+    shared = lines.shared_keys(df, Scratch(spark, "t"))
+    assert shared.count() == n
+    found = components(lines.candidate_links(shared, Scratch(spark, "t")), Scratch(spark, "t"))
+    assert found.count() == n - 1 and found.where("component <> 0").count() == 0
+
+
+def test_lines_of_one_doc_id_with_different_texts(spark):
+    """A line goes from the text that it repeats in, not from another text of that id; equal rows lose the same lines."""
+    same, other, own = prose(12, 401), prose(15, 402), prose(14, 403)
+    rows = [(3, same), (5, f"{same}\n{own}"), (5, f"{other}\n{own}"), (5, f"{other}\n{own}"), (None, same)]
+    out = sorted((r["doc_id"] or 0, r["text"]) for r in rows_of(lines.dedup_lines(frame(spark, [(*r, "en", "s", 1) for r in rows]))))
+    texts = [t for d, t in out if d == 5]
+    assert out[0] == (0, same) and (3, same) in out and len(texts) == 3 and "\n".join(texts).count(own) in (1, 2)
+    assert sum(t.startswith(other) for t in texts) == 2 and not any(same in t for t in texts)
+
+
+def test_very_long_lines(spark):
+    """Lines of more letters than a batch, one of them a single word, and near copies of them."""
+    words = [f"w{i * 7919 % 104729:x}" for i in range(260_000)]
+    near = list(words)
+    near[1000] = near[200_000] = "changed"
+    rows = [(1, " ".join(words)), (2, "x" * 200_000 + " a b c d e"), (3, " ".join(near)), (4, "y" + "x" * 200_000 + " a b c d e f"), (5, "short one here now")]
+    assert len(rows[0][1]) > lines.BATCH
+    got = {r["doc_id"]: len(r["text"]) for r in rows_of(lines.dedup_lines(frame(spark, [(*r, "en", "s", 1) for r in rows])))}
+    assert got == {1: len(rows[0][1]), 2: len(rows[1][1]), 3: 0, 4: 0, 5: 18}
+
+
+@given(st.lists(st.sampled_from("aa bb c dd eee".split()), min_size=1, max_size=9), st.lists(st.sampled_from("aa bb c dd eee f".split()), min_size=1, max_size=9), st.integers(0, 12))
+@settings(max_examples=300, deadline=None)
+def test_aligned_words_prove_no_more_than_the_distance(a, b, most):
+    a, b = " ".join(a), " ".join(b)
+    assert not lines.aligned(a, b, most) or lines.distance(a, b) <= most
+
+
+def test_words_are_hashed_alike_wherever_they_lie():
+    many = [prose(1 + k % 50, k) + " é字" for k in range(3000)]
+    h, lengths, sizes = lines.words(many)
+    named: dict = {}
+    for w, x, n in zip(" ".join(many).split(), h.tolist(), lengths.tolist(), strict=True):
+        assert named.setdefault(w, x) == x and n == len(w.encode())
+    assert len(set(named.values())) == len(named) and sizes.tolist() == [len(x.split()) for x in many]
 
 
 def test_line_dedup_finds_similar_lines(spark):
@@ -361,6 +414,25 @@ def test_edited_fingerprints_match_brute_force(spark, docs, empty, monkeypatch):
     assert fingerprint.fingerprints(docs).count() == docs.count()
 
 
+def test_rows_of_one_id_follow_each_other_in_many_ranges(spark, monkeypatch):
+    """Most rows have one id, or none: their next texts are those next by hash, and no range holds them all."""
+    import xxhash
+
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 10)
+    rows = [(7, prose(5 + i % 9, i)) for i in range(300)] + [(None, prose(8, 5000 + i)) for i in range(60)] + [(i, prose(6, 9000 + i)) for i in range(100, 130)]
+    share = {t: xxhash.xxh64_intdigest(t, seed=42) >> 11 for _, t in rows}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -share[r[1]]))
+    want = set()
+    for (doc, text), (_, following) in zip(order, [*order[1:], order[0]], strict=True):
+        k = len(text) // 3
+        want.add((doc, hashlib.sha256((text[: len(text) - k] + following[:k]).encode()).hexdigest()))
+    out = fingerprint.edited_fingerprints(frame(spark, [(*r, "en", "s", 1) for r in rows]))
+    assert {(r["doc_id"], r["edited_sha256"]) for r in rows_of(out)} == want and out.count() == len(rows)
+    ids = spark.createDataFrame([(7, i / 300) for i in range(300)], "p long, u double")
+    spans = rows_of(ids.groupBy(fingerprint._span([3, *[7] * 20, 9], F.col("p"), F.col("u")).alias("s")).count())
+    assert len(spans) == 20 and max(r["count"] for r in spans) <= 16
+
+
 # ---------------------------------------------------------------- packing
 
 
@@ -419,6 +491,74 @@ def test_licenses_and_inheritance(spark):
     assert licenses.scan(spark.createDataFrame([], "key long, path string, text string")).count() == 0
 
 
+def brute_license(files: list[tuple]) -> dict:
+    """Licence and directory of each (key, path, text), by cosines in full and by walking up the path."""
+    n, seen = len(files), {}
+    for t in licenses.VOCABULARY:
+        seen[t] = sum(t in licenses.terms(text or "") for _, _, text in files)
+    weight = lambda t: np.log((1 + n) / (1 + seen[t])) + 1 if t in seen else max(np.log((1 + n) / (1 + x)) + 1 for x in seen.values())
+    vector = lambda found: {t: (1 + np.log(found.count(t))) * weight(t) for t in set(found)}
+    size = lambda v: np.sqrt(sum(x * x for x in v.values()))
+    pieces = [(k, vector(list(c.elements()))) for k, c in licenses.TEMPLATES]
+    own, speaks = {}, {}
+    for key, path, text in files:
+        best = (0.0, None)
+        for line in (text or "").split("\n"):  # the files of this test have licences of one line
+            v = vector(licenses.terms(line))
+            for k, c in pieces if v else ():
+                best = max(best, (round(float(sum(x * v.get(t, 0) for t, x in c.items()) / size(c) / size(v)), 12), k))
+        own[key] = best[1] if best[0] >= licenses.LEAST else None
+        base = path.rpartition("/")[2].lower().partition(".")[0]
+        if own[key] and base in licenses.NAMES:
+            speaks.setdefault(path.rpartition("/")[0], {})[path] = own[key]
+    out = {}
+    for key, path, _ in files:
+        at, found = path.rpartition("/")[0], (own[key], None)
+        while found[0] is None:
+            if at in speaks:
+                found = (speaks[at][min(speaks[at])], at)
+            if not at:
+                break
+            at = at.rpartition("/")[0]
+        out[key] = found
+    return out
+
+
+def test_licenses_match_brute_force(spark):
+    rng, files = np.random.default_rng(12), []
+    notices = [" ".join(t.split("\n\n")[0].split()) for t in licenses.TEXTS.values()] + [f"Copyright 2020. {t}." for t in licenses.TITLES.values()]
+    for i in range(250):
+        folder = "/".join(str(x) for x in rng.integers(0, 3, int(rng.integers(0, 4))))
+        named = rng.random() < 0.3
+        lines = [prose(int(rng.integers(3, 30)), 900 + i + k) for k in range(3)]
+        if named or rng.random() < 0.1:
+            lines.insert(1, str(rng.choice(notices)))
+            lines[0] = lines[2] = lines[3] = prose(40, i)  # nothing that is mostly a licence
+        files.append((i, f"{folder}/{'LICENSE.' if named else 'f'}{i}".lstrip("/"), "\n".join(lines)))
+    want = brute_license(files)
+    got = {r["key"]: (r["license"], r["from_path"]) for r in rows_of(licenses.scan(spark.createDataFrame(files, "key long, path string, text string")))}
+    assert got == want
+    assert len({x for x, _ in want.values()}) > 8 and sum(d is not None for _, d in want.values()) > 50
+
+
+def test_whole_license_texts_and_odd_files(spark):
+    rows = [(i, f"p{i}/{'LICENSE' if i % 2 else 'a.txt'}", f"{licenses.TITLES[k]}\n\n{text}") for i, (k, text) in enumerate(licenses.TEXTS.items())]
+    rows += [(100, "p0/b.txt", prose(30, 1)), (101, "q/x.txt", "word " * 50_000), (102, "q/y.txt", ""), (102, "q/y.txt", None), (None, "p1/z.txt", prose(9, 2)), (103, None, licenses.TEXTS["MIT"])]
+    got = rows_of(licenses.scan(spark.createDataFrame([(*r, 1) for r in rows], "key long, path string, text string, own int")))
+    by = {r["key"]: r for r in got}
+    assert [by[i]["own_license"] for i in range(len(licenses.TEXTS))] == list(licenses.TEXTS) and len(got) == len(rows)
+    assert by[100]["license"] == "MIT" and by[100]["from_path"] == "p0"  # mostly a licence, whatever its name
+    assert by[None]["license"] == "ISC" and by[101]["license"] is None and by[102]["license"] is None and by[103]["own_license"] == "MIT"
+
+
+def test_some_documents_inherit(spark):
+    docs = spark.createDataFrame([(i, licenses.TEXTS["MPL-2.0"] if i == 8 else licenses.TEXTS["MIT"] if i == 32 else prose(20, i), "en", "s") for i in [*range(1, 300), 1500]] + [(None, "x", None, None)], "doc_id long, text string, lang string, source string")
+    path = licenses.tree_path(F.col("doc_id"), F.col("source"), F.col("lang"))
+    got = {r["key"]: r for r in rows_of(licenses.scan(docs.select(F.col("doc_id").alias("key"), path.alias("path"), "text")))}
+    assert got[5]["license"] == "MPL-2.0" and got[5]["from_path"] == "s/en/0/0" and got[200]["license"] == "MIT" and got[200]["from_path"] == "s/en/0"
+    assert got[1500]["license"] is None and got[None]["license"] is None
+
+
 # ---------------------------------------------------------------- SimHash
 
 
@@ -484,30 +624,76 @@ def test_hot_simhash_buckets_are_dealt_whole(spark):
 # ---------------------------------------------------------------- embeddings
 
 
-def test_embeddings_match_brute_force(spark, monkeypatch):
+def brute_vectors(x) -> tuple[np.ndarray, dict]:
+    """Which vectors link, and the least member of each one's group."""
+    u = embedding.unit(list(x))
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    return near, dict(zip(*local_roots(*np.nonzero(near)), strict=True))
+
+
+def test_embeddings_match_brute_force(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(30, 16))
     x = np.concatenate([rng.normal(size=(400, 16)), np.repeat(centres, 20, axis=0) + rng.normal(size=(600, 16)) * 0.12]).astype(np.float32)
     x = np.concatenate([x, np.repeat(x[:1], 50, axis=0)])
     odd = [(5000, None), (5001, []), (5002, [0.0] * 16), (5003, [1.0] * 15 + [None]), (5004, [float("nan")] * 16), (5005, [float("inf")] + [1.0] * 15), (None, x[0].tolist()), (5006, [1.0, 2.0]), (5007, [2.0, 4.0])]
     table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)] + [(i, v, None) for i, v in odd], "vec_id long, embedding array<float>, n int")
-    monkeypatch.setattr(embedding, "BLOCK", 64)
-    monkeypatch.setattr(embedding.fit_cells, "__defaults__", (100, embedding.MOST_CELLS))
-    got = {r["vec_id"]: r for r in rows_of(embedding.embedding_components(table))}
-    u = embedding.unit(list(x))
-    near = u @ u.T >= 0.95
-    np.fill_diagonal(near, False)
-    found = sum(got[i]["n_links"] for i in range(len(x)))
-    assert 0.9 * near.sum() <= found <= near.sum() and all(got[i]["n_links"] <= near[i].sum() for i in range(len(x)))
-    a, b = np.nonzero(near)
-    want = dict(zip(*local_roots(a, b), strict=True))
-    assert np.mean([got[i]["component_id"] == want.get(i, i) for i in range(len(x))]) >= 0.9
-    for i in range(5000, 5006):
-        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
-    assert got[5007]["component_id"] == 5006 and not got[5007]["kept"] and got[None]["n_links"] == 0 and got[None]["kept"]
+    near, want = brute_vectors(x)
+    for kwargs in ({}, {"split": 200, "cell": 80}, {"split": 100, "cell": 40, "fanout": 4}):  # whole, one level, several levels
+        got = {r["vec_id"]: r for r in rows_of(embedding.embedding_components(table, **kwargs))}
+        found = sum(got[i]["n_links"] for i in range(len(x)))
+        assert 0.9 * near.sum() <= found <= near.sum() and all(got[i]["n_links"] <= near[i].sum() for i in range(len(x)))
+        assert kwargs or found == near.sum()
+        assert np.mean([got[i]["component_id"] == want.get(i, i) for i in range(len(x))]) >= 0.9
+        for i in range(5000, 5006):
+            assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
+        assert got[5007]["component_id"] == 5006 and not got[5007]["kept"] and got[None]["n_links"] == 0 and got[None]["kept"]
     assert embedding.embedding_components(table.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("shared", [0.0, 0.5, 0.8])
+def test_cells_hold_links_whatever_direction_vectors_share(spark, shared):
+    """Vectors of a mean cosine of shared, a third with a near copy at a cosine of 0.95 to 1."""
+    rng, d, n = np.random.default_rng(3), 64, 3000
+    x = np.sqrt(1 - shared) * embedding.unit(list(rng.normal(size=(n, d))))
+    x[:, 0] += np.sqrt(shared)
+    x = embedding.unit(list(x))
+    copies = embedding.unit(list(x[::3] + rng.normal(size=(n // 3, d)) * rng.uniform(0, 0.33, (n // 3, 1)) / np.sqrt(d)))
+    x = np.concatenate([x, copies])
+    near, want = brute_vectors(x)
+    assert near.sum() > 1500
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    scratch = Scratch(spark, "t")
+    distinct = table.select(F.col("vec_id").alias("node"), F.lit(1).cast("long").alias("n"), F.col("embedding").alias("v"))
+    placed = embedding.in_cells(distinct, scratch, 0.95, 500, 200, 256)
+    sizes = [r["count"] for r in rows_of(placed.groupBy("cell").count())]
+    assert len(sizes) > 5 and sum(sizes) <= embedding.PROBES * len(x)
+    got = {r["vec_id"]: r for r in rows_of(embedding.embedding_components(table, split=500, cell=200))}
+    assert 0.9 * near.sum() <= sum(r["n_links"] for r in got.values()) <= near.sum()
+    assert np.mean([got[i]["component_id"] == want.get(i, i) for i in range(len(x))]) >= 0.9
+
+
+def test_cells_grow_with_the_rows(spark):
+    """Five times the rows give no more than five times (and a quarter) the rows that are multiplied."""
+    rng, dealt = np.random.default_rng(4), []
+    for n in (1500, 7500):
+        df = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 32)))], "node long, n long, v array<double>")
+        placed = embedding.in_cells(df, Scratch(spark, "t"), 0.95, 400, 150, 256)
+        sizes = np.array([r["count"] for r in rows_of(placed.groupBy("cell").count())])
+        dealt.append((sizes.sum(), (sizes**2).sum()))
+    assert dealt[1][0] <= 6.25 * dealt[0][0] and dealt[1][1] <= 8 * dealt[0][1]
+
+
+def test_rows_of_one_vec_id_are_pooled(spark):
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    table = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in rows_of(embedding.embedding_components(table([(3, x), (5, x), (5, y), (7, y)]))))
+    assert out == [(3, 1, 3), (5, 1, 3), (5, 1, 3), (7, 1, 3)]
+    out = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in rows_of(embedding.embedding_components(table([(5, x), (7, x), (5, y), (8, [0.0, 1.0, 0.1])]))))
+    assert out == [(5, 1, 5), (5, 1, 5), (7, 1, 5), (8, 1, 5)]
+
+
 # ---------------------------------------------------------------- language
 
 
@@ -530,6 +716,42 @@ def test_longest_matches_against_brute_force():
         assert a.phrases(s) == brute(s)
 
 
+def test_whole_texts_match_brute_force(spark):
+    """Language and score of texts of several lines, by greedy search for substrings of the samples."""
+    samples = {"aa": "ka to mira kato mira toka", "bb": "schung er ein erung sch ein", "cc": "x"}
+
+    def brute(text):
+        own = " ".join(re.findall(r"[^\W\d_]+", text.lower()))
+        if not own:
+            return "und", 0.0
+        rates = []
+        for k in sorted(samples):
+            n = at = 0
+            while at < len(own):
+                end = at + 1
+                while end <= len(own) and own[at:end] in samples[k]:
+                    end += 1
+                n, at = n + 1, max(end - 1, at + 1)
+            rates.append(n * np.log2(len(samples[k]) + 1) / len(own))
+        best = int(np.argmin(rates))
+        return sorted(samples)[best], 1 / sum(np.exp(-language.SHARPNESS * (r - rates[best])) for r in rates)
+
+    rng = np.random.default_rng(6)
+    rows = [(i, "".join(rng.choice(["ka", "to", "mi", " ", "sch", "er", "x", "\n", "3, "], int(rng.integers(0, 60)))), None, None, None) for i in range(300)]
+    got = {r["doc_id"]: r for r in rows_of(language.identify(frame(spark, rows), samples))}
+    for i, text, *_ in rows:
+        lang, score = brute(text)
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-9
+
+
+def test_samples_are_bounded_running_text(spark):
+    rows = [(i, f"start {prose(3000, i)} END", "aa" if i % 2 else "bb", "s", 1) for i in range(60)]
+    found = language.fit(frame(spark, rows), passage=300, letters_most=3000)
+    assert set(found) == {"aa", "bb"} and all(2000 < len(x) <= 3000 + 10 for x in found.values())
+    whole = " ".join(language.running(t) for _, t, *_ in rows)
+    assert all(" ".join(x.split()[:20]) in whole for x in found.values())
+
+
 def test_language_of_held_out_and_odd_rows(spark, empty):
     parts = {"aa": ["ka", "to", "mi", "ra"], "bb": ["sch", "ung", "er", "ein"]}
     rows = []
