@@ -64,6 +64,11 @@ def remap(c: Column, names: dict[str, str], default: str = "other") -> Column:
     return out.otherwise(F.lit(default))
 
 
+def truncated(c: Column, n: int = 40) -> Column:
+    """The first n characters, for labels of charts."""
+    return F.substring(c, 1, n)
+
+
 def missing(c: Column, name: str = "Missing") -> Column:
     return F.coalesce(c, F.lit(name))
 

@@ -30,8 +30,14 @@ def flagged(scored: DataFrame, score: str, threshold: float, key: str) -> DataFr
     return scored.select(key, F.col(score).alias("predicted_probability"), (F.col(score) >= threshold).cast("int").alias("flagged_for_review"))
 
 
-def summary(scored: DataFrame, score: str, flag: str, label: str, categories: list[str]) -> str:
-    """The JSON document: totals, categories, histogram and threshold sweep; each part is bounded in size."""
+def summary(scored: DataFrame, score: str, flag: str, label: str, categories: list[str], models: dict[str, DataFrame] | None = None) -> str:
+    """The JSON document: totals, categories, histogram and a threshold sweep for each model; each part is bounded in size.
+
+    models: by name, the scored test rows (columns score and label) of each model; by default scored itself.
+    """
     rows = lambda df: [r.asDict() for r in df.collect()]
-    parts = {"overall": rows(overall(scored, flag, label))[0], "histogram": rows(eda.histogram(scored, score, 0, 1, 40, flag).orderBy("bin")), "thresholds": rows(threshold_sweep(scored, score, label).orderBy("threshold"))}
+    parts = {"overall": rows(overall(scored, flag, label))[0], "histogram": rows(eda.histogram(scored, score, 0, 1, 40, flag).orderBy("bin")), "threshold_sweep": {}}
+    for name, own in (models or {"model": scored}).items():
+        sweep = rows(threshold_sweep(own, score, label).orderBy("threshold"))
+        parts["threshold_sweep"][name] = {c: [r[c] for r in sweep] for c in ("threshold", "precision", "recall", "f1")}
     return json.dumps(parts | {c: rows(top_categories(scored, F.col(c), flag)) for c in categories})

@@ -59,8 +59,9 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, fla
     return df.sparkSession.range(0, bins, 1, 1).select(F.col("id").alias("bin")).join(counted, "bin", "left").select("bin", (F.col("bin") * ((high - low) / bins) + low).alias("edge"), F.coalesce("flagged", F.lit(0)).alias("flagged"), F.coalesce("other", F.lit(0)).alias("other"))
 
 
-def density(df: DataFrame, value: str, by: str, bins: int) -> DataFrame:
-    """A histogram over the values' own range, as a density within each group."""
+def density(df: DataFrame, value: str, by: str, bins: int, log: bool = False) -> DataFrame:
+    """A histogram over the values' own range, as a density within each group; log: over ln(1 + value)."""
+    df = df.withColumn(value, X.log_amount(F.col(value))) if log else df
     low, high = df.agg(F.min(value), F.max(value)).first()
     if low is None or low == high:
         return df.sparkSession.createDataFrame([], f"{by} int, bin long, n long, density double")
@@ -126,11 +127,22 @@ def size_bands(rates: DataFrame, edges: tuple = (1000, 10_000, 100_000)) -> Data
     return out.withColumn("excess_share", X.divide(F.greatest(F.col("var_observed") - F.col("var_chance"), F.lit(0.0)), F.col("var_observed")))
 
 
-def spread(rates: DataFrame) -> DataFrame:
-    """One row: the least and highest rate, their ratio without zero rates, the ratio of quartiles."""
+def ordered_bars(rates: DataFrame, highlight: list[str], letters: int = 40) -> DataFrame:
+    """Bars of a chart: categories from the highest rate down, with cut labels, and whether each is highlighted."""
+    return rates.select(X.truncated(F.col("category"), letters).alias("label"), "n", "rate", F.col("category").isin(highlight).cast("int").alias("highlighted")).orderBy(F.col("rate").desc(), "label")
+
+
+def spread(rates: DataFrame, n: int = 20) -> DataFrame:
+    """One row about the n largest categories: the least and highest rate, their ratio without zero rates, the ratio of
+    quartiles, how many lie above, below and about the overall rate (by wilson_rates), and their share of all positives.
+    """
+    totals = rates.agg(F.sum("n").alias("_n"), F.sum("n_positive").alias("_p"))
+    largest = top(rates, n, F.col("n").desc(), "category").crossJoin(totals)  # n rows and one row
+    rates = wilson_rates(largest, X.divide(F.col("_p"), F.col("_n")))
+    verdicts = [F.sum((F.col("verdict") == v).cast("long")).alias(f"n_{k}") for k, v in (("above", "ABOVE"), ("below", "below"), ("same", "~same"))]
     some = F.when(F.col("rate") > 0, F.col("rate"))
     q = lambda p: F.percentile("rate", F.lit(p))
-    return rates.agg(F.min("rate").alias("min_rate"), F.max("rate").alias("max_rate"), X.divide(F.max(some), F.min(some)).alias("max_min_ratio"), X.divide(q(0.75), q(0.25)).alias("quartile_ratio"), F.sum("n_positive").alias("n_positive"))
+    return rates.agg(F.min("rate").alias("min_rate"), F.max("rate").alias("max_rate"), X.divide(F.max(some), F.min(some)).alias("max_min_ratio"), X.divide(q(0.75), q(0.25)).alias("quartile_ratio"), F.sum("n_positive").alias("n_positive"), *verdicts, X.divide(F.sum("n_positive"), F.max("_p")).alias("share_of_positives"))
 
 
 def cardinality_ratio(df: DataFrame, a: str, b: str) -> DataFrame:

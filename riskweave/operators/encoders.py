@@ -88,6 +88,30 @@ def manufacturer_risk(pairs: DataFrame, labels: DataFrame, fold: str = "fold", m
     return weighted_mean(encoded, "npi", "encoded", "amount", "risk")
 
 
+class UnsupervisedPreprocessor:
+    """Features without any label: numbers as they are, one imputed with its median and flagged, frequency encodings, one-hot columns."""
+
+    def __init__(self, numeric: list[str], imputed: str, frequent: list[str], hot: list[str], rare: int = RARE):
+        self.numeric, self.imputed, self.frequent, self.hot, self.rare = numeric, imputed, frequent, hot, rare
+
+    def fit(self, df: DataFrame) -> UnsupervisedPreprocessor:
+        self.median = fit_median(df, self.imputed)
+        self.shares = {c: frequency_encoding(df, c).select(F.col(c).alias(f"_{c}"), F.col("share").cast("float").alias(f"{c}_freq")) for c in self.frequent}
+        self.kept = {c: sorted(r[0] for r in kept_categories(df, c, self.rare).collect()) for c in self.hot}
+        return self
+
+    def transform(self, df: DataFrame, *keys: str) -> DataFrame:
+        """keys and the features, always the same columns; a category that fit didn't see has a null share."""
+        df = impute(df, self.imputed, self.median)
+        for c, share in self.shares.items():
+            df = df.join(share, X.missing(F.col(c).cast("string")) == F.col(f"_{c}").cast("string"), "left")
+        for c in self.hot:
+            df = one_hot(df, c, self.kept[c], f"{c}_")
+        hot = [n for c in self.hot for n in df.columns if n.startswith(f"{c}_") and n != f"{c}_freq"]
+        numbers = [F.col(c).cast("float").alias(c) for c in [*self.numeric, self.imputed]]
+        return df.select(*keys, *numbers, f"{self.imputed}_missing", *(f"{c}_freq" for c in self.frequent), *hot)
+
+
 class Preprocessor:
     """Fitted encodings of payments: an imputed median, target encodings, one-hot columns; always the same columns."""
 

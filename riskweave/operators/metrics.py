@@ -106,8 +106,10 @@ def unpivoted(df: DataFrame, features: list[str], label: str) -> DataFrame:
     return df.select(label, *(F.col(c).cast("double") for c in found)).unpivot([label], found, "feature", "score").where("score is not null")
 
 
-def single_feature_baselines(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    return summary(unpivoted(df, features, label), "score", label, ["feature"])
+def single_feature_baselines(df: DataFrame, features: list[str], label: str, full_auc: float | None = None) -> DataFrame:
+    """Each feature as a score; with full_auc also whether its AUC beats the full model's."""
+    out = summary(unpivoted(df, features, label), "score", label, ["feature"])
+    return out if full_auc is None else out.withColumn("beats_full_model_roc", F.coalesce(F.col("roc_auc") > full_auc, F.lit(False)))
 
 
 def memorization_gap(train: DataFrame, test: DataFrame, score: str, label: str) -> DataFrame:

@@ -25,6 +25,11 @@ def check_constant_label(payments: DataFrame, label: str = "is_excluded") -> Non
         raise ValueError(f"{label} differs between payments of one provider")
 
 
+def varying(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The keys whose value isn't the same in all their rows, with the number of values: none if it is encoded consistently."""
+    return df.groupBy(*keys).agg(F.count_distinct(value).alias("n_values")).where("n_values > 1")
+
+
 def mode(payments: DataFrame, value: str, name: str) -> DataFrame:
     """``npi, name, n_values``: the most frequent value (ties: the first by name; null is Missing), and how many it has."""
     counted = payments.groupBy("npi", X.missing(F.col(value)).alias(name)).agg(F.count("*").alias("_n"))
@@ -42,13 +47,15 @@ def concentration(pairs: DataFrame) -> DataFrame:
     return out.select("npi", "n_distinct_manufacturers", X.divide(F.col("_top"), F.col("_all")).alias("top_manufacturer_amount_share"))
 
 
-def nature_shares(names: list[str]) -> list[Column]:
-    return [F.avg((F.col("nature") == n).cast("int")).alias(f"share_nature_{n}") for n in names]
+def nature_shares(names: list[str], other: str | None = None) -> list[Column]:
+    """A share for each name, and, if other is given, one of that name for all the rest, nulls included."""
+    rest = [F.avg((~F.coalesce(F.col("nature").isin(names), F.lit(False))).cast("int")).alias(f"share_nature_{other}")] if other else []
+    return rest + [F.avg((F.col("nature") == n).cast("int")).alias(f"share_nature_{n}") for n in names]
 
 
-def nature_mix(payments: DataFrame, names: list[str]) -> DataFrame:
+def nature_mix(payments: DataFrame, names: list[str], other: str | None = None) -> DataFrame:
     """Each listed group's share of an npi's payments, as conditional means of one pass."""
-    return payments.groupBy("npi").agg(*nature_shares(names))
+    return payments.groupBy("npi").agg(*nature_shares(names, other))
 
 
 def provider_features(payments: DataFrame, natures: list[str]) -> DataFrame:

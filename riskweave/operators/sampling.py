@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.config import FOLDS, SEED, TEST_SHARE
 from riskweave.functions.exprs import portable_hash
 from riskweave.functions.ranks import hash_rank
 
 
-def sample(df: DataFrame, key: str, fraction: float, seed: int = 42, keep: str | None = None) -> DataFrame:
+def sample(df: DataFrame, key: str, fraction: float, seed: int = SEED, keep: str | None = None) -> DataFrame:
     """A fraction of the rows, and all rows where the column keep is 1."""
     taken = portable_hash(F.col(key), seed) < int(fraction * 2**32)
     return df.where(taken | (F.col(keep) == 1) if keep else taken)
 
 
-def exact_negatives(df: DataFrame, key: str, label: str, fraction: float, seed: int = 42) -> DataFrame:
+def exact_negatives(df: DataFrame, key: str, label: str, fraction: float, seed: int = SEED) -> DataFrame:
     """All positives, and exactly round(fraction * n) of the negatives."""
     ranked = hash_rank(df, [label], key, seed)
     return ranked.where((F.col(label) == 1) | (F.col("rn") <= F.floor(F.col("stratum_n") * fraction + 0.5))).drop("rn", "stratum_n")
 
 
-def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.2, seed: int = 42) -> DataFrame:
+def stratified_split(df: DataFrame, key: str, label: str, test: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
     """Adds is_test: round(test * n) rows of each label."""
     ranked = hash_rank(df, [label], key, seed)
     return ranked.withColumn("is_test", (F.col("rn") <= F.floor(F.col("stratum_n") * test + 0.5)).cast("int")).drop("rn", "stratum_n")
@@ -36,18 +37,18 @@ def group_labels(df: DataFrame, group: str, label: str) -> DataFrame:
     return df.groupBy(group).agg(F.max(label).alias(label))
 
 
-def group_split(df: DataFrame, group: str, label: str, test: float = 0.2, seed: int = 42) -> DataFrame:
+def group_split(df: DataFrame, group: str, label: str, test: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
     """Adds is_test to rows: whole groups, stratified by their highest label; test is a share of groups."""
     split = stratified_split(group_labels(df, group, label), group, label, test, seed).select(group, "is_test")
     return df.join(split, group)
 
 
-def folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
+def folds(df: DataFrame, key: str, label: str, k: int = FOLDS, seed: int = SEED) -> DataFrame:
     """Adds fold: rows of each label dealt in turn by hash."""
     return hash_rank(df, [label], key, seed).withColumn("fold", ((F.col("rn") - 1) % k).cast("int")).drop("rn", "stratum_n")
 
 
-def group_folds(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
+def group_folds(df: DataFrame, group: str, label: str, k: int = FOLDS, seed: int = SEED) -> DataFrame:
     """Adds fold to rows: whole groups."""
     return df.join(folds(group_labels(df, group, label), group, label, k, seed).select(group, "fold"), group)
 

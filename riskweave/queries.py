@@ -590,10 +590,57 @@ def numeric_histogram(spark: SparkSession, d: str) -> DataFrame:
     return rounded(eda.density(src, "o_totalprice", "flag", 50).withColumn("density", F.col("density") * 1e6), "density")
 
 
-@query(f"WITH {PAY}, r AS (SELECT sum(is_excluded)::DOUBLE / count(*) AS rate, sum(is_excluded) AS p FROM payments WHERE specialty IS NOT NULL GROUP BY specialty) SELECT {r6('min(rate)')} AS min_rate, {r6('max(rate)')} AS max_rate, {r6('max(CASE WHEN rate > 0 THEN rate END) / min(CASE WHEN rate > 0 THEN rate END)')} AS max_min_ratio, {r6('quantile_cont(rate, 0.75) / nullif(quantile_cont(rate, 0.25), 0)')} AS quartile_ratio, sum(p)::BIGINT AS n_positive FROM r")
+#: The 20 largest specialties with Wilson's interval of their rates.
+LARGEST = """al AS (SELECT specialty AS category, count(*) AS n, sum(is_excluded) AS p FROM payments WHERE specialty IS NOT NULL GROUP BY 1), tot AS (SELECT sum(n)::DOUBLE AS tn, sum(p)::DOUBLE AS tp FROM al),
+ r AS (SELECT *, p::DOUBLE / n AS rate, 1.96::DOUBLE AS z FROM (SELECT * FROM al ORDER BY n DESC, category LIMIT 20), tot),
+ w AS (SELECT *, (rate + z * z / (2 * n) - z * sqrt((rate * (1 - rate) + z * z / (4 * n)) / n)) / (1 + z * z / n) AS low, (rate + z * z / (2 * n) + z * sqrt((rate * (1 - rate) + z * z / (4 * n)) / n)) / (1 + z * z / n) AS high FROM r)"""
+
+
+@query(f"""WITH {PAY}, {LARGEST} SELECT {r6('min(rate)')} AS min_rate, {r6('max(rate)')} AS max_rate, {r6('max(CASE WHEN rate > 0 THEN rate END) / min(CASE WHEN rate > 0 THEN rate END)')} AS max_min_ratio, {r6('quantile_cont(rate, 0.75) / nullif(quantile_cont(rate, 0.25), 0)')} AS quartile_ratio, sum(p)::BIGINT AS n_positive,
+ sum(CASE WHEN low > tp / tn THEN 1 ELSE 0 END)::BIGINT AS n_above, sum(CASE WHEN high < tp / tn AND NOT low > tp / tn THEN 1 ELSE 0 END)::BIGINT AS n_below, sum(CASE WHEN low > tp / tn OR high < tp / tn THEN 0 ELSE 1 END)::BIGINT AS n_same, {r6('sum(p) / max(tp)')} AS share_of_positives FROM w""")
 def rate_spread(spark: SparkSession, d: str) -> DataFrame:
     rates = eda.category_rates(pay(spark, d).where("specialty is not null"), F.col("specialty"), "is_excluded")
-    return rounded(eda.spread(rates), "min_rate", "max_rate", "max_min_ratio", "quartile_ratio")
+    return rounded(eda.spread(rates), "min_rate", "max_rate", "max_min_ratio", "quartile_ratio", "share_of_positives")
+
+
+@query(f"WITH {PAY} SELECT substr(coalesce(specialty, 'Missing'), 1, 7) AS label, count(*) AS n, {r6('avg(is_excluded)')} AS rate, CASE WHEN coalesce(specialty, 'Missing') IN ('Brand#1', 'Missing') THEN 1 ELSE 0 END AS highlighted FROM payments GROUP BY coalesce(specialty, 'Missing')")
+def rate_bars(spark: SparkSession, d: str) -> DataFrame:
+    rates = eda.category_rates(pay(spark, d), X.missing(F.col("specialty")), "is_excluded")
+    return rounded(eda.ordered_bars(rates, ["Brand#1", "Missing"], 7), "rate")
+
+
+NATURE_SHARES = ", ".join(r6(f"avg(CASE WHEN nature = '{n}' THEN 1 ELSE 0 END)") + f" AS share_nature_{n}" for n in NATURES[:2])
+
+
+@query(f"WITH {PAY} SELECT npi, {NATURE_SHARES}, {r6('avg(CASE WHEN nature IN (' + repr(NATURES[0]) + ', ' + repr(NATURES[1]) + ') THEN 0 ELSE 1 END)')} AS share_nature_other FROM payments GROUP BY npi")
+def provider_nature_mix_other(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(providers.nature_mix(pay(spark, d), NATURES[:2], "other"), *(f"share_nature_{n}" for n in [*NATURES[:2], "other"]))
+
+
+@query(f"WITH {PAY} SELECT CASE nature WHEN 'AF' THEN 'accepted' WHEN 'RF' THEN 'returned' ELSE 'other' END AS nature_group, count(*) AS n FROM payments GROUP BY 1")
+def nature_groups(spark: SparkSession, d: str) -> DataFrame:
+    return pay(spark, d).groupBy(X.remap(F.col("nature"), {"AF": "accepted", "RF": "returned"}).alias("nature_group")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {PAY} SELECT npi, manufacturer, count(DISTINCT form) AS n_values FROM payments GROUP BY ALL HAVING count(DISTINCT form) > 1")
+def encoded_value_varies(spark: SparkSession, d: str) -> DataFrame:
+    return providers.varying(pay(spark, d), ["npi", "manufacturer"], "form")
+
+
+@query(f"""WITH s AS (SELECT ln(1 + o_totalprice) AS v, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS flag FROM orders), r AS (SELECT min(v) AS lo, max(v) AS hi, (max(v) - min(v)) / 30 AS w FROM s),
+ b AS (SELECT flag, CASE WHEN v = hi THEN 29 ELSE floor((v - lo) / w) END::BIGINT AS bin, w FROM s, r), c AS (SELECT flag, bin, count(*) AS n, max(w) AS w FROM b GROUP BY ALL) SELECT flag, bin, n, {r6("n / (sum(n) OVER (PARTITION BY flag) * w)")} AS density FROM c""")
+def log_histogram(spark: SparkSession, d: str) -> DataFrame:
+    src = table(spark, d, "orders").select("o_totalprice", (F.col("o_orderstatus") == "F").cast("int").alias("flag"))
+    return rounded(eda.density(src, "o_totalprice", "flag", 30, log=True), "density")
+
+
+@query("""WITH src AS (SELECT event_id, event_type, CASE WHEN user_id % 7 = 0 THEN NULL ELSE user_id % 11 END AS band, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value FROM events), n AS (SELECT count(*) AS n, median(value) AS m FROM src),
+ f AS (SELECT coalesce(band::VARCHAR, 'Missing') AS c, count(*) AS k FROM src GROUP BY 1), kept AS (SELECT event_type FROM src GROUP BY 1 HAVING count(*) >= 100)
+ SELECT event_id, coalesce(value, m)::FLOAT AS value, CASE WHEN value IS NULL THEN 1 ELSE 0 END AS value_missing, (k::DOUBLE / n)::FLOAT AS band_freq, CASE WHEN event_type IN (SELECT event_type FROM kept) THEN 0 ELSE 1 END AS event_type_Other FROM src JOIN f ON coalesce(band::VARCHAR, 'Missing') = c, n""")
+def unsupervised_features(spark: SparkSession, d: str) -> DataFrame:
+    src = table(spark, d, "events").select("event_id", "event_type", F.when(F.col("user_id") % 7 != 0, F.col("user_id") % 11).cast("string").alias("band"), F.when(F.col("event_type") != "error", F.col("value")).alias("value"))
+    made = encoders.UnsupervisedPreprocessor([], "value", ["band"], ["event_type"], 100).fit(src)
+    return made.transform(src, "event_id").select("event_id", "value", "value_missing", "band_freq", "event_type_Other")
 
 
 @query(f"WITH {PAY} SELECT count(DISTINCT manufacturer) AS n_a, count(DISTINCT specialty) AS n_b, {r6('count(DISTINCT manufacturer)::DOUBLE / count(DISTINCT specialty)')} AS ratio FROM payments")

@@ -1,5 +1,7 @@
 """Operators of the engine on small frames with known answers."""
 
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -418,3 +420,16 @@ def test_boosted_trees_and_their_grid(spark):
     scored = df.select("y", boosting.score(boosting.train(df, ["a", "b", "c"], "y", "npi", n_estimators=20), ["a", "b", "c"]).alias("s"))
     assert models.evaluate(scored.withColumnRenamed("s", "score"), "y")["roc_auc"] > 0.95
     assert abs(boosting.average_precision(np.array([1.0, 0, 1]), np.array([0.9, 0.8, 0.8])) - (0.5 + 0.5 * 2 / 3)) < 1e-12
+
+
+def test_dashboard_document_has_a_sweep_for_each_model(spark):
+    df = spark.createDataFrame([(0.9, 1, 1, "a"), (0.2, 0, 0, None), (0.6, 1, 0, "a")], "score double, flag int, y int, c string")
+    doc = json.loads(dashboard.summary(df, "score", "flag", "y", ["c"], {"forest": df, "trees": df.where("score > 0.5")}))
+    assert doc["overall"]["n_payments"] == 3 and set(doc["threshold_sweep"]) == {"forest", "trees"} and doc["c"][0]["category"] == "a"
+    assert len(doc["threshold_sweep"]["trees"]["recall"]) == 1001 and doc["threshold_sweep"]["trees"]["precision"][0] == 0.5
+
+
+def test_features_against_the_full_model(spark):
+    df = spark.createDataFrame([(1, 0.9, 0.1), (0, 0.1, 0.9), (1, 0.8, 0.2), (0, 0.2, 0.3)], "y int, a double, b double")
+    got = {r["feature"]: r["beats_full_model_roc"] for r in metrics.single_feature_baselines(df, ["a", "b"], "y", 0.7).collect()}
+    assert got == {"a": True, "b": False}
