@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from riskweave.functions import exprs as X
 from riskweave.operators import dashboard, eda, encoders, linkage, metrics, payments, providers, sampling, stats
 from riskweave.plans import boosting, experiments, isolation_forest, models
-from riskweave.sources.io import pairs_of, table
+from riskweave.sources.io import kept, pairs_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -690,7 +690,7 @@ def flagged_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    split = sampling.stratified_split(provider_numbers(spark, d), "npi", "is_excluded")
+    split = kept(sampling.stratified_split(provider_numbers(spark, d), "npi", "is_excluded"))
     return split.where("is_test = 0"), split.where("is_test = 1")
 
 
@@ -773,7 +773,7 @@ SPLIT_FEATURES = [*FEATURES, "specialty_te", "manufacturer_weighted_risk"]
 
 
 def _folds(spark: SparkSession, d: str) -> list[tuple[DataFrame, DataFrame]]:
-    return experiments.fold_features(_provider_rows(spark, d), providers.manufacturer_pairs(pay(spark, d)), FEATURES)
+    return experiments.fold_features(kept(_provider_rows(spark, d)), kept(providers.manufacturer_pairs(pay(spark, d))), FEATURES)
 
 
 @query()
@@ -804,13 +804,13 @@ def cv_separability(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def split_comparison(spark: SparkSession, d: str) -> DataFrame:
     selected = {"max_depth": 1, "min_child_weight": 50, "reg_lambda": 10, "n_estimators": 150}
-    return experiments.compare_on_splits(_provider_rows(spark, d), providers.manufacturer_pairs(pay(spark, d)), FEATURES, selected)
+    return experiments.compare_on_splits(kept(_provider_rows(spark, d)), kept(providers.manufacturer_pairs(pay(spark, d))), FEATURES, selected)
 
 
 @query()
 def repeated_splits(spark: SparkSession, d: str) -> DataFrame:
     fit = lambda a, b: models.evaluate(models.scores(models.train(a, FEATURES, "is_excluded", models.logistic("is_excluded"), True), b, "npi", "is_excluded"), "is_excluded")
-    return experiments.repeated_splits(provider_numbers(spark, d), "is_excluded", "npi", fit)
+    return experiments.repeated_splits(kept(provider_numbers(spark, d)), "is_excluded", "npi", fit)
 
 
 def queries() -> dict[str, Query]:

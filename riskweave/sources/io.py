@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import tempfile
 import urllib.request
 from pathlib import Path
 
@@ -77,3 +78,14 @@ def clear_cache(folder: str) -> int:
     for p in gone:
         p.unlink()
     return len(gone)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the folder that the cluster names in spark.checkpoint.dir: what reads it often starts there."""
+    context, spark = df.sparkSession.sparkContext, df.sparkSession
+    if not context.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(found or f"file://{tempfile.gettempdir()}/riskweave-checkpoints")
+    return df.checkpoint()
