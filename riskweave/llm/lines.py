@@ -58,6 +58,10 @@ PARTS = [f"p{i}" for i in range(4 + BANDS)]
 BUCKET, GROUP = 8192, 1024
 #: Letters of a batch that is hashed at once, letters from which a word counts as its hash, digests that a task remembers.
 BATCH, HUGE_WORD, REMEMBERED = 1 << 20, 1 << 16, 200_000
+#: Pairs that wait for their distances (of one large bucket), that are measured side by side, and fewer that are not.
+WAITING, SOON, ABREAST, FEW = 8192, 512, 1024, 6
+#: What is over any distance there: most if a byte holds a number, and else; rows and letters that a task compares at once.
+NEAR, FAR, ROWS_AT_ONCE, LETTERS = 190, 15_000, 40_000, 24 << 20
 #: Counts of letter pairs that each line is told by, and words that may be skipped when two lines are aligned.
 COUNTS, SKIP = 256, 4
 
@@ -412,21 +416,31 @@ def candidate_links(shared: DataFrame, scratch: Scratch, texts: DataFrame | None
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     """Whether the edit similarity is at least least: words aligned first, then Myers' bit-parallel distance on what differs."""
+    found = compared(a, b, least)
+    return found if isinstance(found, bool) else distance(*found) <= found[2]
+
+
+def compared(a: str, b: str, least: float = SIMILARITY) -> bool | tuple[str, str, float]:
+    """Whether the edit similarity is at least least, as far as lengths, common ends and aligned words say; else what differs, and the most edits."""
     longest = max(len(a), len(b))
     most = longest - least * longest + 1e-9
     if abs(len(a) - len(b)) > most:
         return False
     start = 0
     short = min(len(a), len(b))
+    while start + 32 <= short and a[start : start + 32] == b[start : start + 32]:
+        start += 32
     while start < short and a[start] == b[start]:
         start += 1
     end = 0
+    while end + 32 <= short - start and a[len(a) - end - 32 : len(a) - end] == b[len(b) - end - 32 : len(b) - end]:
+        end += 32
     while end < short - start and a[-1 - end] == b[-1 - end]:
         end += 1
     a, b = a[start : len(a) - end], b[start : len(b) - end]
     if max(len(a), len(b)) <= most:
         return True
-    return aligned(a, b, most) or distance(a, b, most) <= most
+    return aligned(a, b, most) or (a, b, most)
 
 
 def aligned(a: str, b: str, most: float) -> bool:
@@ -502,6 +516,85 @@ def least_near(pv: int, mv: int, column: int, first: int, last: int) -> int:
     return least
 
 
+def within(pairs: list[tuple[str, str, float]]) -> np.ndarray:
+    """Which (a, b, most) have a Levenshtein distance of at most most: pairs of about one length side by side."""
+    out = np.zeros(len(pairs), bool)
+    sizes = np.array([len(a) + len(b) for a, b, _ in pairs])
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        first = max(64, int(sizes[order[at]]))
+        end = min(at + ABREAST, int(np.searchsorted(sizes[order], first * 1.25, "right")), at + max(1, ABREAST * 1500 // first))
+        own, at = order[at : max(end, at + 1)], max(end, at + 1)
+        if len(own) < FEW or sizes[own[-1]] >= FAR - 2:
+            out[own] = [distance(*pairs[i]) <= pairs[i][2] for i in own]
+        else:
+            out[own] = _abreast([pairs[i] for i in own])
+    return out
+
+
+def _abreast(pairs: list[tuple[str, str, float]]) -> np.ndarray:
+    """``within`` by the plain recurrence, an antidiagonal of all tables at a time.
+
+    A path of at most most edits stays between two diagonals; cells outside a table hold more than any most. Every 64
+    antidiagonals a pair leaves if each cell that its path may cross is too far.
+    """
+    pairs = [(a, b, most) if len(a) <= len(b) else (b, a, most) for a, b, most in pairs]
+    m, n = (np.array([len(p[i]) for p in pairs]) for i in (0, 1))
+    most, delta, last = np.array([int(p[2]) for p in pairs]), n - m, m + n
+    spare = np.maximum(0, (most - delta) // 2)
+    low, high = (int(x + 1) // 2 * 2 for x in (spare.max(), (delta + spare).max()))
+    cells, steps = (low + high) // 2, int(last.max())
+    letters = [np.frombuffer("".join(p[i] for p in pairs).encode("utf-32-le", "surrogatepass"), np.uint32) for i in (0, 1)]
+    top = max(int(x.max()) if len(x) else 0 for x in letters)
+    kind = np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32
+    tables = []
+    for x, size, front, more in ((letters[0], m, high // 2 + 1, low), (letters[1], n, low // 2 + 1, high)):
+        table = np.zeros((len(pairs), front + (steps + more) // 2 + 2), kind)
+        row = np.repeat(np.arange(len(pairs)), size)
+        table[row, front + np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)] = x
+        tables.append(table.T)
+    a, b = np.ascontiguousarray(tables[0][::-1]), np.ascontiguousarray(tables[1])
+    left, out = np.arange(len(pairs)), (last == 0) & (most >= 0)
+    # a number rises by 32 between two looks
+    far, held = (NEAR, np.uint8) if most.max() < NEAR else (FAR, np.int16)
+    even, odd = np.full((cells + 1, len(pairs)), far, held), np.full((cells, len(pairs)), far, held)
+    even[low // 2] = 0
+    diagonals = 2 * np.arange(cells + 1)[:, None] - low
+    away = [np.abs(x - delta).astype(np.int16) for x in (diagonals, diagonals[:-1] + 1)]
+    near, differ = np.empty_like(even), np.empty(even.shape, bool)
+    one = held(1)
+    ends = set(last.tolist())
+    for s in range(1, steps + 1):
+        if s & 1:
+            i, j, now, before = (s + low - 1) // 2 - 1, (s - low + 1) // 2 - 1, odd, near[:-1]
+            np.minimum(even[:-1], even[1:], out=before)
+        else:
+            i, j, now, before = (s + low) // 2 - 1, (s - low) // 2 - 1, even, near
+            before[0], before[-1] = odd[0], odd[-1]
+            np.minimum(odd[:-1], odd[1:], out=before[1:-1])
+        r, c = len(a) - 2 - i - high // 2, j + low // 2 + 1
+        unlike = np.not_equal(a[r : r + len(now)], b[c : c + len(now)], out=differ[: len(now)])
+        now += unlike.view(np.uint8)
+        before += one
+        np.minimum(now, before, out=now)
+        if s in ends:
+            own = np.flatnonzero(last == s)
+            out[left[own]] = now[(delta[own] + low) // 2, own] <= most[own]
+        if not s & 63:
+            for x in (even, odd):
+                np.minimum(x, held(far), out=x)
+            least = np.minimum(*((x + own).min(axis=0) for x, own in zip((even, odd), away, strict=True)))
+            stay = (least <= most) & (last > s)
+            if not stay.any():
+                break
+            if 4 * stay.sum() < 3 * len(stay):
+                a, b, even, odd, *away = (np.ascontiguousarray(x[:, stay]) for x in (a, b, even, odd, *away))
+                left, most, delta, last = left[stay], most[stay], delta[stay], last[stay]
+                near, differ = np.empty_like(even), np.empty(even.shape, bool)
+    return out
+
+
 def pair_counts(texts: list[str]) -> np.ndarray:
     """How often each text has the pairs of letters that share one of COUNTS hashes, up to 255."""
     out = np.zeros((len(texts), COUNTS), np.uint8)
@@ -534,9 +627,23 @@ def perhaps(counts: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.n
     return np.concatenate(out) if out else ok
 
 
+def _gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames with ``text`` put together, up to some ROWS_AT_ONCE rows or LETTERS letters."""
+    held: list[pd.DataFrame] = []
+    rows = letters = 0
+    for f in frames:
+        held.append(f)
+        rows, letters = rows + len(f), letters + sum(map(len, f["text"]))
+        if rows >= ROWS_AT_ONCE or letters >= LETTERS:
+            yield pd.concat(held, ignore_index=True)
+            held, rows, letters = [], 0, 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Star forests of the similar pairs in each part of each bucket."""
-    for f in _whole(frames, ["deal"]):
+    for f in _gathered(_whole(frames, ["deal"])):
         ids, at = np.unique(f["id"].to_numpy(np.int64), return_inverse=True)
         side, run = f["side"].to_numpy(np.int64), np.cumsum(_new(*(f[c].to_numpy(np.int64) for c in ("a", "b", "part"))))
         text = [""] * len(ids)
@@ -551,7 +658,30 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 parent[i] = i = parent[parent[i]]
             return i
 
+        def join(i: int, j: int) -> None:
+            a, b = root(i), root(j)
+            parent[max(a, b)] = min(a, b)
+
+        def settled(parent: list[int] = parent) -> np.ndarray:
+            now = np.array(parent)
+            while (now != now[now]).any():
+                now = now[now]
+            return now
+
+        # pairs that take a distance wait until there are some
+        waiting: dict[tuple[int, int], tuple[str, str, float]] = {}
+
+        def measure() -> None:
+            todo = {p: x for p, x in waiting.items() if root(p[0]) != root(p[1])}
+            waiting.clear()
+            for pair, near in zip(todo, within(list(todo.values())), strict=True):
+                if near:
+                    join(*pair)
+                else:
+                    apart_for_sure.add(pair)
+
         for left, right in pairs_of_runs(run):
+            most = SOON if len(left) and run[left[0]] == run[left[-1]] else WAITING
             ok = ((side[left] < 0) | (side[left] != side[right])) & perhaps_alike(tell[left], tell[right])
             left, right = at[left[ok]], at[right[ok]]
             apart = roots[left] != roots[right]  # of a line that is met again, much is known
@@ -559,14 +689,21 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = perhaps(counts, sizes, left, right)
             for i, j in zip(left[own].tolist(), right[own].tolist(), strict=True):
                 pair = (min(i, j), max(i, j))
-                if pair in apart_for_sure or (a := root(i)) == (b := root(j)):
+                if pair in apart_for_sure or pair in waiting or root(i) == root(j):
                     continue
-                if similar(text[i], text[j]):
-                    parent[max(a, b)] = min(a, b)
-                else:
+                found = compared(text[i], text[j])
+                if found is True:
+                    join(i, j)
+                elif found is False:
                     apart_for_sure.add(pair)
+                else:
+                    waiting[pair] = found
+                    if len(waiting) >= most:
+                        measure()
             if len(own):
-                roots = np.array([root(i) for i in range(len(ids))])
+                roots = settled()
+        measure()
+        roots = settled()
         apart = roots != np.arange(len(ids))
         yield pd.DataFrame({"u": ids[apart], "v": ids[roots[apart]]})
 

@@ -769,3 +769,34 @@ def test_language_of_held_out_and_odd_rows(spark, empty):
     changed = docs.selectExpr("doc_id", "case when crc32(cast(doc_id as string)) % 4 = 2 then 'zz' else lang end as lang", "text")
     assert language.fit(changed) == learned
     assert language.fit(empty) == {} and language.identify(docs, {}).where("lang_pred <> 'und'").count() == 0 and language.identify(empty, learned).count() == 0
+
+
+def test_distances_side_by_side():
+    """Pairs of any lengths and letters, measured at once, against the distance of each."""
+    rng, pairs = np.random.default_rng(23), []
+    for n in range(600):
+        alphabet = ("ab", "abcdefgh ", "abé日本\U0001f600")[n % 3]
+        draw = lambda size: [alphabet[i] for i in rng.integers(0, len(alphabet), size)]  # noqa: E731, B023
+        a = draw(int(rng.choice([0, 1, 9, 40, 200, 1200 if n % 50 == 0 else 300])))
+        b = [x for x in a if rng.random() > 0.1]
+        for _ in range(int(rng.integers(0, len(a) // 8 + 2))):
+            b.insert(int(rng.integers(0, len(b) + 1)), draw(1)[0])
+        a, b = "".join(a), "".join(b)
+        pairs.append((a, b, float(rng.choice([0, 2, 0.2 * len(a), 0.2 * len(a) + 200]))))
+    want = [lines.distance(a, b) <= most for a, b, most in pairs]
+    assert lines.within(pairs).tolist() == want and 100 < sum(want) < 550
+    assert lines.within([]).tolist() == [] and lines.within(pairs[:3]).tolist() == want[:3]
+
+
+def test_large_groups_of_near_lines_meet_in_few_distances(spark, monkeypatch):
+    """Lines whose words all differ by a letter, which only distances tell: they are measured together, and soon none is left."""
+    measured, own = [], lines.within
+    monkeypatch.setattr(lines, "within", lambda pairs: measured.append(len(pairs)) or own(pairs))
+    base = prose(40, 5).split()
+    texts = [" ".join(w[: n % len(w)] + "x" + w[n % len(w) + 1 :] for w in base) for n in range(400)]
+    frame = pd.DataFrame({"deal": 0, "a": 0, "b": 0, "part": 0, "side": -1, "id": range(400), "tell": 1 << 15, "text": texts})
+    out = pd.concat(lines._verify(iter([frame])))
+    distinct = sorted(set(texts))
+    assert len(distinct) == len(base) and all(lines.similar(distinct[0], y) for y in distinct)
+    a, b = np.zeros(399, int), np.arange(1, 400)
+    assert sum(measured) < 2000 and dict(zip(*local_roots(out.u.to_numpy(), out.v.to_numpy()), strict=True)) == dict(zip(*local_roots(a, b), strict=True))
