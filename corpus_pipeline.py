@@ -19,7 +19,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: texts with 0.8 or more of their five-word shingles in common."""
+    """One document of each group of near-duplicates stays: texts with 0.8 or more of their five-word shingles in common.
+
+    The pigeonring join of SimHashes finds groups of such texts, keys of least hashes those further apart.
+    """
     scratch = Scratch(spark, "near")
     return simhash.keep_one(docs, scratch, simhash.near_duplicates(docs, scratch))
 

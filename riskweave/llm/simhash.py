@@ -43,12 +43,23 @@ BUCKET = 8192
 
 def fingerprint(text: str | None, width: int = 4) -> int:
     """SimHash of the word shingles of a text, as an unsigned integer; 0 for no words."""
+    return of_hashes(shingle_hashes(text, width))
+
+
+def shingle_hashes(text: str | None, width: int) -> bytes:
+    """The hashes of the word shingles of a text, repeats included, one after the other; of fewer words the whole sequence is one."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-    hashes = b"".join([xxh64_digest(s, 42) for s in shingles])
+        return b""
+    found = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
+    return b"".join([xxh64_digest(s, 42) for s in found])
+
+
+def of_hashes(hashes: bytes) -> int:
+    """The SimHash of shingle_hashes."""
     n = len(hashes) // 8
+    if not n:
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 4096):
         block = np.frombuffer(hashes, np.uint8, min(4096, n - at) * 8, at * 8)
@@ -58,11 +69,7 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The hashes of the different word shingles of a text, sorted; none of a text without words."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    found = set(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))) if len(words) >= width else {b" ".join(words)}
-    return np.sort(np.frombuffer(b"".join([xxh64_digest(s, 42) for s in found]), np.uint64))
+    return np.unique(np.frombuffer(shingle_hashes(text, width), np.uint64))
 
 
 def _fingerprints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,28 +191,34 @@ def simhash_components(docs: DataFrame, scratch: Scratch | None = None) -> DataF
     empty table gives an empty result.
     """
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
-    prints = scratch.keep(fingerprints(docs))
+    out = grouped(scratch.keep(fingerprints(docs)), scratch)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def grouped(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds component_id to ``doc_id long, fp long``: the smallest doc_id reachable over links of at most T bits."""
     reps = scratch.keep(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     # rows of one document with different fingerprints join its groups
     several = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("doc_id")
     own = prints.join(several, "doc_id").join(reps, "fp").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     found = components(links(reps, scratch).unionByName(own), scratch)
     named = reps.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = prints.join(named, "fp", "left")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return prints.join(named, "fp", "left")
 
 
 def _contents(frames: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
-    """The hash of each text's words, and keys that texts with most shingles in common are likely to share."""
+    """The hash of each text's words, the SimHash of its shingles, and keys that texts with most of them in common are likely to share."""
     for f in frames:
-        content, keys = [], []
+        content, keys, prints = [], [], []
         for text in f["text"]:
-            found = shingles(text, width)
+            hashes = shingle_hashes(text, width)
+            prints.append(of_hashes(hashes))
+            found = np.unique(np.frombuffer(hashes, np.uint64))
             least = (found[:, None] * ODDS).min(axis=0) if len(found) else ODDS
             content.append(xxh64_digest(b" ".join((text or "").encode().lower().split())))
             keys.append([xxh64_digest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))])
         signed = lambda x: np.frombuffer(b"".join(x), ">i8").astype(np.int64)
-        yield pd.DataFrame({"doc_id": f["doc_id"], "content": signed(content), "keys": [signed(x) for x in keys]})
+        yield pd.DataFrame({"doc_id": f["doc_id"], "content": signed(content), "fp": np.array(prints, np.uint64).view(np.int64), "keys": [signed(x) for x in keys]})
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -234,13 +247,19 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = WIDTH, least
     """``gone long``: the doc_ids that are not the smallest of their group of near-duplicates.
 
     Texts link if the sets of their word shingles have a Jaccard similarity of at least least. Pairs are looked for
-    under BANDS keys of ROWS least hashes each: one at 0.8 shares a key 99.9 times in 100. Texts without words are
-    equal. Rows with one doc_id are one document; a null doc_id links with nothing.
+    in the groups that the ring makes of the SimHashes of these shingles (as simhash_components does), all pairs of a
+    group. Two texts at 0.8 differ in some ten bits, which no ring reaches; so further pairs come from BANDS keys of
+    ROWS least hashes each: one at 0.8 shares a key 99.9 times in 100. Texts without words are equal. Rows with one
+    doc_id are one document; a null doc_id links with nothing.
     """
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    prints = scratch.keep(src.mapInPandas(lambda x: _contents(x, width), "doc_id long, content long, keys array<long>"))
-    reps = prints.groupBy("content").agg(F.min(F.struct("doc_id", "keys")).alias("x")).select("content", "x.doc_id", "x.keys")
+    prints = scratch.keep(src.mapInPandas(lambda x: _contents(x, width), "doc_id long, content long, fp long, keys array<long>"))
+    reps = prints.groupBy("content").agg(F.min(F.struct("doc_id", "fp", "keys")).alias("x")).select("content", "x.doc_id", "x.fp", "x.keys")
+    ring = grouped(scratch.keep(reps.select(F.col("content").alias("doc_id"), "fp")), scratch).select(F.col("component_id").alias("a"), F.lit(-1).cast("long").alias("b"), F.col("doc_id").alias("id"))
+    several = ring.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
     shared = shared_keys(reps.select(F.explode("keys").alias("key"), F.col("content").alias("id"), F.lit(0).cast("long").alias("tell")), scratch).drop("tell")
+    # a ring's group has no key's number
+    shared = scratch.keep(shared.unionByName(ring.join(several, "a")))
     wanted = reps.join(shared.select(F.col("id").alias("content")).distinct(), "content").select(F.col("doc_id").alias("_doc")).distinct()
     # rows that share a doc_id have texts of their own
     texts = src.join(wanted.hint("merge"), F.col("doc_id") == F.col("_doc")).select("text")

@@ -8,7 +8,7 @@ import pytest
 from test_training_data import brute_lines, brute_print, brute_targets, prose
 
 import corpus_pipeline
-from riskweave.llm import mixing, packing
+from riskweave.llm import mixing, packing, simhash
 from riskweave.llm.common import local_roots
 
 
@@ -99,3 +99,19 @@ def test_near_dedup_meets_jaccard(spark, folder):
     docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     left = set(table(corpus_pipeline.near_dedup(spark, docs, folder)).doc_id)
     assert 100 < len(near) < 150 and {d for d, _ in rows} - left == near
+
+
+def test_near_dedup_joins_simhashes_by_the_ring(spark, folder, monkeypatch):
+    """Where no two texts share a key of least hashes, the ring alone still links those within 4 bits of each other."""
+    real, joined = simhash.links, []
+    monkeypatch.setattr(simhash, "links", lambda prints, scratch: joined.append(prints.count()) or real(prints, scratch))
+    monkeypatch.setattr(simhash, "shared_keys", lambda rows, scratch: scratch.keep(rows.where("false").selectExpr("key as a", "key as b", "id", "tell")))
+    rows = []
+    for d in range(40):
+        own = prose(400, 80_000 + d).split()
+        rows += [(d, " ".join(own)), (1000 + d, " ".join([*own[:-1], "other"]))]
+    prints = {d: simhash.fingerprint(t, 5) for d, t in rows}
+    near = {1000 + d for d in range(40) if (prints[d] ^ prints[1000 + d]).bit_count() <= 4}
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = set(table(corpus_pipeline.near_dedup(spark, docs, folder)).doc_id)
+    assert joined == [len(set(prints.values()))] and len(near) > 30 and {d for d, _ in rows} - left == near
