@@ -422,6 +422,22 @@ def test_boosted_trees_and_their_grid(spark):
     assert abs(boosting.average_precision(np.array([1.0, 0, 1]), np.array([0.9, 0.8, 0.8])) - (0.5 + 0.5 * 2 / 3)) < 1e-12
 
 
+def test_grid_fits_once_for_all_numbers_of_trees(spark):
+    """Each row of a grid over n_estimators is what a fit of its own gives, though one fit serves all."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 2))
+    y = (x[:, 0] + rng.normal(size=300) > 0).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), *map(float, x[i])) for i in range(300)], "npi int, y int, a double, b double")
+    sides = df.where("npi % 3 <> 0"), df.where("npi % 3 = 0")
+    configs = models.grid_configs({"n_estimators": [30, 5, 12], "max_depth": [2]})
+    (a, ya), (b, yb) = (boosting.held(side, ["a", "b"], "y", "npi") for side in sides)
+    alone = {c["n_estimators"]: boosting.fit(a, ya, **(boosting.DEFAULTS | c)).predict(b) for c in configs}
+    out = {r["n_estimators"]: (r["average_precision"], r["roc_auc"]) for r in boosting.grid_search(spark, [sides], configs, ["a", "b"], "y", "npi").collect()}
+    assert out == {n: (boosting.average_precision(yb, s), boosting.roc_auc(yb, s)) for n, s in alone.items()}
+    staged = boosting.fit(a, ya, **(boosting.DEFAULTS | {"n_estimators": 30, "max_depth": 2})).predict_staged(b, [5, 12, 30])
+    assert all((s == alone[n]).all() for n, s in zip((5, 12, 30), staged, strict=True))
+
+
 def test_dashboard_document_has_a_sweep_for_each_model(spark):
     df = spark.createDataFrame([(0.9, 1, 1, "a"), (0.2, 0, 0, None), (0.6, 1, 0, "a")], "score double, flag int, y int, c string")
     doc = json.loads(dashboard.summary(df, "score", "flag", "y", ["c"], {"forest": df, "trees": df.where("score > 0.5")}))
