@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from riskweave.functions import exprs as X
 from riskweave.operators import dashboard, eda, encoders, linkage, metrics, payments, providers, sampling, stats
 from riskweave.plans import boosting, experiments, isolation_forest, models
-from riskweave.sources.io import kept, pairs_of, table
+from riskweave.sources.io import dealt, kept, pairs_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -773,7 +773,13 @@ SPLIT_FEATURES = [*FEATURES, "specialty_te", "manufacturer_weighted_risk"]
 
 
 def _folds(spark: SparkSession, d: str) -> list[tuple[DataFrame, DataFrame]]:
-    return experiments.fold_features(kept(_provider_rows(spark, d)), kept(providers.manufacturer_pairs(pay(spark, d))), FEATURES)
+    # payments are joined once and dealt by provider, and a provider's numbers are sums over its pairs
+    paid = dealt(pay(spark, d).select("npi", "manufacturer", "specialty", "amount", "related", "third_party", "is_excluded"), "npi")
+    pairs = paid.groupBy("npi", "manufacturer").agg(F.count("*").alias("payment_count"), X.money(F.col("amount")).alias("amount"), F.sum("related").alias("related"), F.sum("third_party").alias("third_party"), F.max("is_excluded").alias("is_excluded"))
+    n = F.sum("payment_count")
+    numbers = pairs.groupBy("npi").agg(F.max("is_excluded").alias("is_excluded"), n.cast("double").alias("total_payment_count"), X.divide(F.sum("related"), n).alias("share_related"), X.divide(F.sum("third_party"), n).alias("share_third_party"), F.count("manufacturer").cast("double").alias("n_manufacturers"))
+    rows = numbers.join(providers.mode(paid, "specialty", "specialty").select("npi", "specialty"), "npi")
+    return experiments.fold_features(rows, pairs.select("npi", "manufacturer", "payment_count", "amount"), FEATURES)
 
 
 @query()

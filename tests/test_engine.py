@@ -438,6 +438,38 @@ def test_grid_fits_once_for_all_numbers_of_trees(spark):
     assert all((s == alone[n]).all() for n, s in zip((5, 12, 30), staged, strict=True))
 
 
+def test_weights_that_choose_alike_are_one_fit():
+    """Fits of several least weights equal fits of their own to the bit, and are one where they choose the same splits."""
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(400, 3)), 1)
+    y = (x[:, 0] + rng.normal(size=400) > 1).astype(float)
+    own = {"n_estimators": 20, "max_depth": 3, "reg_lambda": 2}
+    least = [0.0, 1e-9, 20.0, 60.0]
+    shared = boosting.fit_each(x, y, least, **own)
+    for w, a in zip(least, shared, strict=True):
+        b = boosting.fit(x, y, min_child_weight=w, **own)
+        assert all((getattr(a, f) == getattr(b, f)).all() for f in ("feature", "threshold", "value", "gain"))
+    assert shared[0] is shared[1] and len({id(a) for a in shared}) == 3
+
+
+def test_folds_in_one_pass_are_what_each_fold_gives(spark):
+    """Deals give the folds of the rest, and one pass over the pairs the features that split_features gives for each fold."""
+    rng = np.random.default_rng(5)
+    who = spark.createDataFrame([(i, int(rng.random() < 0.3), str(rng.choice(["a", "b", "c"])) if i % 7 else None, float(i)) for i in range(230)], "npi long, is_excluded int, specialty string, x double")
+    dealt = [(npi, m) for npi in range(220) for m in rng.choice(12, 3, replace=False).tolist()]
+    pairs = spark.createDataFrame([(npi, m or None, int(rng.integers(1, 5)), 0.0 if npi < 9 else float(rng.integers(1, 99))) for npi, m in dealt], "npi long, manufacturer long, payment_count long, amount double")
+    folded = sampling.folds(who, "npi", "is_excluded")
+    deals = {r["npi"]: r["deal"] for r in sampling.nested_folds(who, "npi", "is_excluded").collect()}
+    found = experiments.fold_features(who, pairs, ["x"])
+    for i, sides in enumerate(found):
+        rest, own = folded.where(F.col("fold") != i).drop("fold"), folded.where(F.col("fold") == i).drop("fold")
+        assert {r["npi"]: r["fold"] for r in sampling.folds(rest, "npi", "is_excluded").collect()} == {npi: g for npi, d in deals.items() if (g := sampling.inner_fold(d, i)) is not None}
+        for got, wanted in zip(sides, experiments.split_features(rest, own, pairs, ["x"]), strict=True):
+            assert got.schema.names == wanted.schema.names
+            a, b = (np.array([tuple(r) for r in df.orderBy("npi").collect()]) for df in (got, wanted))
+            assert a.shape == b.shape and np.allclose(a, b, atol=1e-6)
+
+
 def test_dashboard_document_has_a_sweep_for_each_model(spark):
     df = spark.createDataFrame([(0.9, 1, 1, "a"), (0.2, 0, 0, None), (0.6, 1, 0, "a")], "score double, flag int, y int, c string")
     doc = json.loads(dashboard.summary(df, "score", "flag", "y", ["c"], {"forest": df, "trees": df.where("score > 0.5")}))
