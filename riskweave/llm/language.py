@@ -6,7 +6,8 @@ nearer the language. Phrases are normalised by log2 of the sample's size over th
 cross entropy in bits a letter. Texts are read as their runs of letters, in lower case, with one blank between two.
 
 The sample is bounded: passages of at most PASSAGE letters, from documents chosen by hash, at most SAMPLE_LETTERS a
-language. Texts are parsed whole.
+language. Texts are parsed whole, side by side: one step of an array of all automata for every text that still has
+letters. The last few long ones, and all if the array would be large, are parsed one by one.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from riskweave.llm.toxicity import held_out
 PASSAGE, SAMPLE_LETTERS = 400, 80_000
 #: How sharply scores fall with bits a letter.
 SHARPNESS = 12.0
+#: Most steps of the automata that lie in one array; texts that are parsed one by one rather than side by side, and letters read together.
+STEPS, FEW, TOGETHER = 1 << 25, 24, 8 << 20
 UNKNOWN = "und"
 LETTERS = regex.compile(r"\p{L}+")
 
@@ -68,11 +71,12 @@ class SuffixAutomaton:
                 states[i][c] = states[q]
             to[i] = None
         self.root, self.between = states[0], {}
+        self.states = states
 
-    def phrases(self, text: str) -> int:
-        """Greedy longest matches that cover a text; a letter the sample lacks is a phrase of its own."""
+    def phrases(self, text: str, state: int = -1) -> int:
+        """Greedy longest matches that cover a text, or its rest after a state; a letter the sample lacks is a phrase of its own."""
         root, between = self.root, self.between
-        count, at = 0, between
+        count, at = 0, between if state < 0 else self.states[state]
         for c in text:
             to = at.get(c)
             if to is None:
@@ -82,6 +86,68 @@ class SuffixAutomaton:
         return count
 
 
+class Table:
+    """Automata as one array of steps: the state after a letter, and whether a phrase begins with it.
+
+    Letters are numbered; the last number is any letter that no sample has. A state of all automata is its row times
+    width; row 0 of each automaton is the place between phrases.
+    """
+
+    def __init__(self, automata: list[SuffixAutomaton]):
+        self.letters = sorted({c for a in automata for c in a.root})
+        self.width, rows = len(self.letters) + 1, sum(len(a.states) + 1 for a in automata)
+        number = {c: i for i, c in enumerate(self.letters)}
+        self.code = np.full(0x110000, self.width - 1, np.uint16)
+        self.code[[ord(c) for c in self.letters]] = np.arange(self.width - 1)
+        self.steps = np.empty((rows, self.width), np.int32)
+        self.first: list[int] = []
+        at = 0
+        for a in automata:
+            place = {id(x): at + 1 + i for i, x in enumerate(a.states)}
+            begin = np.full(self.width, at * self.width * 2 + 1)
+            for c, x in a.root.items():
+                begin[number[c]] = place[id(x)] * self.width * 2 + 1
+            self.steps[at : at + 1 + len(a.states)] = begin
+            row, column, to = [], [], []
+            for i, x in enumerate(a.states):
+                row += [at + 1 + i] * len(x)
+                column += [number[c] for c in x]
+                to += [place[id(q)] for q in x.values()]
+            self.steps[row, column] = np.array(to, np.int64) * self.width * 2
+            self.first.append(at)
+            at += 1 + len(a.states)
+        self.steps = self.steps.ravel()
+
+    @staticmethod
+    def fits(automata: list[SuffixAutomaton]) -> bool:
+        return (len({c for a in automata for c in a.root}) + 1) * sum(len(a.states) + 1 for a in automata) <= STEPS
+
+    def parse(self, texts: list[str], stop: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Of texts from long to short, while more than stop go on: phrases and states by automaton and text, and the letters read of those that are left."""
+        sizes = np.array([len(t) for t in texts])
+        flat = self.code[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        begins = np.cumsum(sizes) - sizes
+        count = np.zeros((len(self.first), len(texts)), np.int32)
+        state = np.repeat(np.array(self.first, np.int32)[:, None] * self.width, len(texts), axis=1)
+        # how many texts have a letter at a place
+        end = int(sizes[stop]) if len(sizes) > stop else 0
+        left = len(sizes) - np.searchsorted(sizes[::-1], np.arange(end), "right")
+        own, many, done = state, count, len(texts)
+        for i, n in enumerate(left.tolist()):
+            if n < done:
+                own, many, done = np.ascontiguousarray(own[:, :n]), self._put(count, many, n), n
+            step = self.steps[own + flat[begins[:n] + i]]
+            many += step & 1
+            own = step >> 1
+        count[:, :done] = many
+        return count, own, end
+
+    @staticmethod
+    def _put(count: np.ndarray, many: np.ndarray, n: int) -> np.ndarray:
+        count[:, : many.shape[1]] = many
+        return np.ascontiguousarray(many[:, :n])
+
+
 class Parser:
     """Phrase counts of whole texts against each language."""
 
@@ -89,14 +155,34 @@ class Parser:
         self.languages = sorted(samples)
         self.automata = [SuffixAutomaton(samples[k]) for k in self.languages]
         self.bits = np.log2([len(samples[k]) + 1 for k in self.languages])
+        self.table = Table(self.automata) if self.languages and Table.fits(self.automata) else None
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        own = running(text)
-        if not own or not self.languages:
-            return UNKNOWN, 0.0
-        rate = np.array([a.phrases(own) for a in self.automata]) * self.bits / len(own)
-        best = int(np.argmin(rate))
-        return self.languages[best], float(1 / np.exp(-SHARPNESS * (rate - rate[best])).sum())
+        return self.all([text])[0]
+
+    def all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The language and score of each text."""
+        out, owns = [(UNKNOWN, 0.0)] * len(texts), [running(t) for t in texts]
+        order = sorted((i for i, own in enumerate(owns) if own), key=lambda i: -len(owns[i]))
+        if not order or not self.languages:
+            return out
+        own = [owns[i] for i in order]
+        for i, count, n in zip(order, self._counts(own).T, map(len, own), strict=True):
+            rate = count * self.bits / n
+            best = int(np.argmin(rate))
+            out[i] = self.languages[best], float(1 / np.exp(-SHARPNESS * (rate - rate[best])).sum())
+        return out
+
+    def _counts(self, texts: list[str]) -> np.ndarray:
+        """Phrases by language and text, of texts from long to short: side by side while many go on, one by one the rest."""
+        if self.table is None or len(texts) <= FEW:
+            return np.array([[a.phrases(t) for t in texts] for a in self.automata])
+        count, state, read = self.table.parse(texts, FEW)
+        for k, (a, first) in enumerate(zip(self.automata, self.table.first, strict=True)):
+            for i in range(min(FEW, state.shape[1])):
+                if len(texts[i]) > read:
+                    count[k, i] += a.phrases(texts[i][read:], int(state[k, i]) // self.table.width - first - 1)
+        return count
 
 
 def running(text: str | None) -> str:
@@ -144,6 +230,20 @@ def fit(docs: DataFrame, passage: int = PASSAGE, letters_most: int = SAMPLE_LETT
     return {k: " ".join(v) for k, v in out.items()}
 
 
+def _gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames put together up to some TOGETHER letters."""
+    held: list[pd.DataFrame] = []
+    letters = 0
+    for f in frames:
+        held.append(f)
+        letters += int(f["text"].str.len().sum())
+        if letters >= TOGETHER:
+            yield pd.concat(held, ignore_index=True)
+            held, letters = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 _parsers: dict[int, Parser] = {}
 
 
@@ -161,8 +261,8 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
         if parse is None:
             _parsers.clear()
             parse = _parsers[mark] = Parser(shared.value)
-        for f in frames:
-            found = [parse(t) for t in f["text"]]
+        for f in _gathered(frames):
+            found = parse.all(f["text"].tolist())
             yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "lang_pred": [x for x, _ in found], "score": [x for _, x in found]})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, lang_pred string, score double")

@@ -745,6 +745,26 @@ def test_whole_texts_match_brute_force(spark):
         assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-9
 
 
+def test_texts_side_by_side_are_parsed_as_one_by_one(monkeypatch):
+    """Any number of texts of any lengths, with letters that no sample has, and automata too large for a table."""
+    rng = np.random.default_rng(8)
+    samples = {"aa": "ka to mira kato mira toka", "bb": "schung er ein \U00010400\u4e00\u4e01 sch ein", "cc": "x"}
+    pieces = ["ka", "to", "mi", " ", "sch", "er", "x", "\u4e00", "\U00010400", "\ud7a3", "\u00e9", "3 "]
+    texts = [None, "", "7!"] + ["".join(rng.choice(pieces, int(n))) for n in np.r_[rng.integers(0, 40, 200), 900, 901, 2000]]
+    whole = language.Parser(samples)
+    alone = {k: language.SuffixAutomaton(samples[k]) for k in samples}
+    for n in (1, 5, 40, len(texts)):
+        some = texts[:n] if n < 40 else texts[-n:]
+        own = sorted((r for t in some if (r := language.running(t))), key=len, reverse=True)
+        if own:
+            assert whole._counts(own).tolist() == [[alone[k].phrases(t) for t in own] for k in sorted(samples)]
+    found = whole.all(texts)
+    assert whole.table is not None and found == [whole(t) for t in texts] and found[:3] == [("und", 0.0)] * 3
+    monkeypatch.setattr(language, "STEPS", 10)
+    large = language.Parser(samples)
+    assert large.table is None and large.all(texts) == found and language.Parser({}).all(["ka"]) == [("und", 0.0)]
+
+
 def test_samples_are_bounded_running_text(spark):
     rows = [(i, f"start {prose(3000, i)} END", "aa" if i % 2 else "bb", "s", 1) for i in range(60)]
     found = language.fit(frame(spark, rows), passage=300, letters_most=3000)
