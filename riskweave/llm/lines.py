@@ -58,6 +58,8 @@ PARTS = [f"p{i}" for i in range(4 + BANDS)]
 BUCKET, GROUP = 8192, 1024
 #: Letters of a batch that is hashed at once, letters from which a word counts as its hash, digests that a task remembers.
 BATCH, HUGE_WORD, REMEMBERED = 1 << 20, 1 << 16, 200_000
+#: Keys that a task packs at once; a part has half as many about.
+PACKED = 1 << 20
 #: Pairs that wait for their distances (of one large bucket), that are measured side by side, and fewer that are not.
 WAITING, SOON, ABREAST, FEW = 8192, 512, 1024, 6
 #: What is over any distance there: most if a byte holds a number, and else; rows and letters that a task compares at once.
@@ -377,12 +379,92 @@ def _dealt(rows: DataFrame, by: list[str], most: int, node: str) -> DataFrame:
     return out.select(*rows.columns, part, F.when(F.col("c") == F.col("o"), F.lit(-1).cast("long")).otherwise(F.col("c")).alias("side"))
 
 
-def shared_keys(rows: DataFrame, scratch: Scratch) -> DataFrame:
+def packed(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Keys of h1, tell, sim and PARTS as rows of many: part, and the bytes of its (key, id, tell).
+
+    A key is in one part. The cluster moves some thousand keys at a time instead of one.
+    """
+    held: list[np.ndarray] = []
+
+    def out() -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        held.clear()
+        part = (mixed(rows[:, 0].view(np.uint64)) % np.uint64(parts)).astype(np.uint16)
+        rows = rows[np.argsort(part, kind="stable")]
+        n = np.bincount(part, minlength=parts)
+        found = np.flatnonzero(n)
+        offsets = np.r_[0, np.cumsum(n[found])].astype(np.int32) * 24
+        blobs = pa.BinaryArray.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(rows.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), blobs], names=["part", "rows"])
+
+    for batch in batches:
+        own, tell, sim, *keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3 + len(PARTS)))
+        if not len(own):
+            continue
+        sim = sim.view(np.uint64)
+        blocks = [(sim & np.uint64(m) | np.uint64((n + 1) * int(ODD) % (1 << 64) & ~m)).view(np.int64) for n, m in enumerate(KEYS)]
+        every = np.stack([*blocks, *keys], axis=1)
+        valid = np.ones(every.shape, bool)
+        for a, b in ((0, 2), (1, 3)):  # short lines have the same part keys twice
+            valid[:, len(KEYS) + b] = keys[a] != keys[b]
+        at, _ = np.nonzero(valid)
+        held.append(np.stack([every[valid], own[at], tell[at]], axis=1))
+        if sum(map(len, held)) >= PACKED:
+            yield out()
+    if held:
+        yield out()
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of part, rows that arrive by part as key, id, tell, equal keys together.
+
+    Of a part that grows large, rows that repeat go, and of a key all but BUCKET + 1.
+    """
+    held: list[np.ndarray] = []
+    now, size, most = None, 0, 4 * PACKED
+
+    def ordered() -> np.ndarray:
+        rows = np.concatenate(held)
+        return rows[np.argsort(rows[:, 0])]
+
+    def out() -> Iterator[pa.RecordBatch]:
+        rows = ordered()
+        for i in range(0, len(rows), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[i : i + 100_000, j])) for j in range(3)], names=["key", "id", "tell"])
+
+    for batch in batches:
+        for part, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if part != now and held:
+                yield from out()
+                held, size, most = [], 0, 4 * PACKED
+            now = part
+            held.append(np.frombuffer(raw.as_buffer(), np.int64).reshape(-1, 3))
+            size += len(held[-1])
+            if size > most:
+                rows = np.concatenate(held)
+                rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+                rows = rows[_new(rows[:, 0], rows[:, 1])]
+                first = np.flatnonzero(_new(rows[:, 0]))
+                place = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
+                held = [rows[place <= BUCKET]]
+                size, most = len(held[0]), max(4 * PACKED, 2 * len(held[0]))
+    if held:
+        yield from out()
+
+
+def shared_keys(rows: DataFrame, scratch: Scratch, lines: DataFrame | None = None) -> DataFrame:
     """``a long, b long, id long, tell long``: the buckets (a, b) of ``key long, id long, tell long``: ids that share a key and aren't told apart.
 
-    Buckets of the same ids are one. Keys of more than BUCKET ids are found first and then dealt out whole.
+    Buckets of the same ids are one. Keys of more than BUCKET ids are found first and then dealt out whole. Where rows
+    are the keys of lines (h1, tell, sim and PARTS), these move packed.
     """
-    found = scratch.keep(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, BUCKETS))
+    if lines is None:
+        found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, BUCKETS)
+    else:
+        parts = min(60_000, max(64, (len(KEYS) + len(PARTS)) * lines.count() // (PACKED // 2)))
+        packs = lines.select("h1", "tell", "sim", *PARTS).mapInArrow(lambda batches: packed(batches, parts), "part int, rows binary")
+        found = packs.repartition("part").sortWithinPartitions("part").mapInArrow(lambda batches: _shared(unpacked(batches)), BUCKETS)
+    found = scratch.keep(found)
     out, hot = found.where("not hot").drop("hot").distinct(), found.where("hot").select(F.col("a").alias("key")).distinct()
     if not hot.isEmpty():
         out = out.unionByName(rows.join(hot, "key").select(F.col("key").alias("a"), F.lit(0).cast("long").alias("b"), "id", "tell").distinct())
@@ -736,7 +818,8 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # short lines have the same part keys twice
     second = [F.when(F.col(a) != F.col(b), F.col(b)) for a, b in ((PARTS[0], PARTS[2]), (PARTS[1], PARTS[3]))]
     keys = F.array(*block_keys(F.col("sim")), *PARTS[:2], *second, *PARTS[4:])
-    shared = shared_keys(lines.where("sim is not null").select(F.explode(keys).alias("key"), F.col("h1").alias("id"), "tell").where("key is not null"), scratch)
+    keyed = lines.where("sim is not null")
+    shared = shared_keys(keyed.select(F.explode(keys).alias("key"), F.col("h1").alias("id"), "tell").where("key is not null"), scratch, keyed)
     firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct(*OWN, "line")).alias("first"), F.count("*").alias("n"))
     firsts = scratch.keep(firsts.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "n"))
     # a bucket's 64-bit hashes become the ids of all lines that have them

@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -791,6 +792,32 @@ def test_language_of_held_out_and_odd_rows(spark, empty):
     assert language.fit(empty) == {} and language.identify(docs, {}).where("lang_pred <> 'und'").count() == 0 and language.identify(empty, learned).count() == 0
 
 
+def test_packed_keys_are_the_exploded_ones(spark, monkeypatch):
+    """Keys that move packed give the buckets of the plain rows; a part too large for memory keeps enough of a hot key to know it."""
+    rng = np.random.default_rng(3)
+    base = [rng.integers(-9, 9, 3 + len(lines.PARTS)).tolist() for _ in range(300)]
+    base[0][1] = base[1][1] = 1 << 15
+    columns = ["h1", "tell", "sim", *lines.PARTS]
+    df = spark.createDataFrame([(i, 1 << 15, *row[2:]) for i, row in enumerate(base)] * 2, ", ".join(f"{c} long" for c in columns))
+    second = [F.when(F.col(a) != F.col(b), F.col(b)) for a, b in ((lines.PARTS[0], lines.PARTS[2]), (lines.PARTS[1], lines.PARTS[3]))]
+    keys = F.array(*lines.block_keys(F.col("sim")), *lines.PARTS[:2], *second, *lines.PARTS[4:])
+    rows = df.select(F.explode(keys).alias("key"), F.col("h1").alias("id"), "tell").where("key is not null")
+    scratch = lines.Scratch(spark, "packed")
+    found = [sorted(map(tuple, lines.shared_keys(rows, scratch, x).collect())) for x in (None, df)]
+    assert found[0] == found[1] and len(found[0]) > 300
+    monkeypatch.setattr(lines, "BUCKET", 5)
+    monkeypatch.setattr(lines, "PACKED", 20)
+    batch = df.toArrow().combine_chunks().to_batches()
+    packs = sorted((r for b in lines.packed(iter(batch), 4) for r in b.to_pylist()), key=lambda r: r["part"])
+    whole = list(lines.unpacked(iter([pa.RecordBatch.from_pylist(packs, schema=pa.schema([("part", pa.int32()), ("rows", pa.binary())]))])))
+    n = {}
+    for b in whole:
+        for r in b.to_pylist():
+            n.setdefault(r["key"], set()).add(r["id"])
+    true = {r["key"]: set(r["ids"]) for r in rows.groupBy("key").agg(F.collect_set("id").alias("ids")).collect()}
+    assert n.keys() == true.keys() and all(n[k] <= true[k] and len(n[k]) >= min(6, len(true[k])) for k in true)
+
+
 def test_distances_side_by_side():
     """Pairs of any lengths and letters, measured at once, against the distance of each."""
     rng, pairs = np.random.default_rng(23), []
