@@ -60,8 +60,10 @@ BUCKET, GROUP = 8192, 1024
 BATCH, HUGE_WORD, REMEMBERED = 1 << 20, 1 << 16, 200_000
 #: Keys that a task packs at once; a part has half as many about.
 PACKED = 1 << 20
-#: Pairs that wait for their distances (of one large bucket), that are measured side by side, and fewer that are not.
+#: Pairs that wait for their distances, and at first in one large bucket; pairs that are measured side by side, and fewer that are not.
 WAITING, SOON, ABREAST, FEW = 8192, 512, 1024, 6
+#: Words are aligned if no larger share of the letter pairs that most edits may change differs, or if a line is longer than that.
+LIKELY, LONG = 0.4, 3000
 #: What is over any distance there: most if a byte holds a number, and else; rows and letters that a task compares at once.
 NEAR, FAR, ROWS_AT_ONCE, LETTERS = 190, 15_000, 40_000, 24 << 20
 #: Counts of letter pairs that each line is told by, and words that may be skipped when two lines are aligned.
@@ -201,7 +203,9 @@ def perhaps_alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ~far & ((differ <= DIFFER) | ((a | b) & 0x8000 != 0))
 
 
-LINES = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("tell", pa.int64()), ("sim", pa.int64()), *((c, pa.int64()) for c in PARTS)])
+#: What the keys of a line are made of. A batch's are the bytes of one table of these, in its first row; keyed: its lines.
+KEYED = ["h1", "tell", "sim", *PARTS]
+LINES = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("keyed", pa.int32()), ("keys", pa.binary())])
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,13 +222,14 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         n = len(docs)
         h = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-        own, none = np.zeros((n, 2 + len(PARTS)), np.int64), np.ones(n, bool)
+        keys = None
         if toks:
             sizes = np.array(letters)
             whole = sizes == np.array([len(x) for x in toks])
-            own[fuzzy], none[fuzzy] = all_keys(toks, sizes, whole), False
+            keys = np.c_[h[fuzzy, :1], all_keys(toks, sizes, whole)].tobytes()
         columns = [pa.array(docs, pa.int64()), pa.array(hashes, pa.int64()), pa.array(numbers, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])]
-        batch = pa.RecordBatch.from_arrays([*columns, *(pa.array(own[:, i], mask=none) for i in range(own.shape[1]))], schema=LINES)
+        none = [None] * (n - 1)
+        batch = pa.RecordBatch.from_arrays([*columns, pa.array([len(toks) or None, *none], pa.int32()), pa.array([keys, *none], pa.binary())], schema=LINES)
         for x in (docs, hashes, numbers, digests, fuzzy, toks, letters):
             x.clear()
         if len(seen) > REMEMBERED:
@@ -372,11 +377,23 @@ def _whole(frames: Iterator[pd.DataFrame], by: list[str], most: int | None = Non
 
 def _dealt(rows: DataFrame, by: list[str], most: int, node: str) -> DataFrame:
     """Rows of each group once for every pair of its chunks: adds part, and side (-1: a chunk with itself)."""
-    size = rows.groupBy(*by).agg(F.ceil(F.count("*") / (most // 2)).alias("g"))
-    g = F.when(F.col("g") <= 2, 1).otherwise(F.col("g")).cast("long")
-    out = rows.join(size.withColumn("g", g), by).withColumn("c", F.pmod(F.xxhash64(node), F.col("g"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+    return _dealt_counted(rows.join(rows.groupBy(*by).agg(F.count("*").alias("n")), by), rows.columns, most, node)
+
+
+def _dealt_counted(rows: DataFrame, columns: list[str], most: int, node: str) -> DataFrame:
+    """``_dealt`` of columns, where each row has its group's number of rows as n."""
+    g = F.ceil(F.col("n") / (most // 2))
+    out = rows.withColumn("g", F.when(g <= 2, 1).otherwise(g).cast("long")).withColumn("c", F.pmod(F.xxhash64(node), F.col("g"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
     part = (F.least("c", "o") * F.col("g") + F.greatest("c", "o")).alias("part")
-    return out.select(*rows.columns, part, F.when(F.col("c") == F.col("o"), F.lit(-1).cast("long")).otherwise(F.col("c")).alias("side"))
+    return out.select(*columns, part, F.when(F.col("c") == F.col("o"), F.lit(-1).cast("long")).otherwise(F.col("c")).alias("side"))
+
+
+def keyed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of KEYED from rows that hold the bytes of many."""
+    for batch in batches:
+        for raw in batch.column(0):
+            own = np.frombuffer(raw.as_buffer(), np.int64).reshape(-1, len(KEYED))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in own.T], names=KEYED)
 
 
 def packed(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -456,13 +473,16 @@ def shared_keys(rows: DataFrame, scratch: Scratch, lines: DataFrame | None = Non
     """``a long, b long, id long, tell long``: the buckets (a, b) of ``key long, id long, tell long``: ids that share a key and aren't told apart.
 
     Buckets of the same ids are one. Keys of more than BUCKET ids are found first and then dealt out whole. Where rows
-    are the keys of lines (h1, tell, sim and PARTS), these move packed.
+    are the keys of lines (KEYED, or ``keyed int, keys binary`` with the bytes of many), these move packed.
     """
     if lines is None:
         found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, BUCKETS)
     else:
-        parts = min(60_000, max(64, (len(KEYS) + len(PARTS)) * lines.count() // (PACKED // 2)))
-        packs = lines.select("h1", "tell", "sim", *PARTS).mapInArrow(lambda batches: packed(batches, parts), "part int, rows binary")
+        many = "keys" in lines.columns
+        n = (lines.agg(F.sum("keyed")).first()[0] or 0) if many else lines.count()
+        parts = min(60_000, max(64, (len(KEYS) + len(PARTS)) * n // (PACKED // 2)))
+        pack = lambda batches: packed(keyed_lines(batches) if many else batches, parts)
+        packs = lines.select(*(["keys"] if many else KEYED)).mapInArrow(pack, "part int, rows binary")
         found = packs.repartition("part").sortWithinPartitions("part").mapInArrow(lambda batches: _shared(unpacked(batches)), BUCKETS)
     found = scratch.keep(found)
     out, hot = found.where("not hot").drop("hot").distinct(), found.where("hot").select(F.col("a").alias("key")).distinct()
@@ -486,14 +506,18 @@ def candidate_links(shared: DataFrame, scratch: Scratch, texts: DataFrame | None
     With ``id, text`` of those ids a pair has to be similar too. Buckets that hang together by their ids, up to BUCKET
     rows, are dealt to one task, so that a pair of several buckets is compared once; larger ones are dealt one by one.
     """
-    first = shared.groupBy("a", "b").agg(F.min("id").alias("v"))
-    together = components(shared.join(first, ["a", "b"]).select(F.col("id").alias("u"), "v"), scratch)
-    rooted = _dealt(shared, ["a", "b"], GROUP, "id").join(together, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("component", "id")).drop("node", "component")
+    buckets = shared.groupBy("a", "b").agg(F.min("id").alias("v"), F.count("*").alias("n"))
+    counted = scratch.keep(shared.join(buckets, ["a", "b"]))
+    together = components(counted.select(F.col("id").alias("u"), "v"), scratch)
+    rooted = counted.join(together, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("component", "id"))
+    rooted = scratch.keep(_dealt_counted(rooted, [*shared.columns, "root"], GROUP, "id"))
     few = rooted.groupBy("root").agg((F.count("*") <= BUCKET).alias("few"))
     dealt = rooted.join(few, "root").withColumn("deal", F.when(F.col("few"), F.col("root")).otherwise(F.xxhash64("a", "b", "part")))
     dealt = dealt.withColumn("text", F.lit("")) if texts is None else dealt.join(texts.hint("merge"), "id")
     rows = dealt.select("deal", "a", "b", "part", "side", "id", "tell", "text")
-    return scratch.keep(rows.repartition("deal").sortWithinPartitions("deal", "a", "b", "part", "id").mapInPandas(_verify, "u long, v long"))
+    out = scratch.keep(rows.repartition("deal").sortWithinPartitions("deal", "a", "b", "part", "id").mapInPandas(_verify, "u long, v long"))
+    scratch.drop(counted, rooted)
+    return out
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
@@ -502,8 +526,8 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return found if isinstance(found, bool) else distance(*found) <= found[2]
 
 
-def compared(a: str, b: str, least: float = SIMILARITY) -> bool | tuple[str, str, float]:
-    """Whether the edit similarity is at least least, as far as lengths, common ends and aligned words say; else what differs, and the most edits."""
+def compared(a: str, b: str, least: float = SIMILARITY, align: bool = True) -> bool | tuple[str, str, float]:
+    """Whether the edit similarity is at least least, as far as lengths, common ends and (if align) aligned words say; else what differs, and the most edits."""
     longest = max(len(a), len(b))
     most = longest - least * longest + 1e-9
     if abs(len(a) - len(b)) > most:
@@ -522,7 +546,7 @@ def compared(a: str, b: str, least: float = SIMILARITY) -> bool | tuple[str, str
     a, b = a[start : len(a) - end], b[start : len(b) - end]
     if max(len(a), len(b)) <= most:
         return True
-    return aligned(a, b, most) or (a, b, most)
+    return align and aligned(a, b, most) or (a, b, most)
 
 
 def aligned(a: str, b: str, most: float) -> bool:
@@ -557,8 +581,8 @@ FOUR = [(sum(r), min(sum(r[: i + 1]) for i in range(4))) for r in RISES]
 def distance(a: str, b: str, most: float = float("inf")) -> int:
     """Levenshtein distance (Myers, 1999; Hyyro's form), a column of the table per letter of b; over most: any number over most.
 
-    A path of at most most edits keeps near the table's diagonal: every 64 columns the least number of the cells there
-    says whether any can be.
+    A path of at most most edits keeps near the table's diagonal: the least number of the cells there says whether any
+    can be. It rises by one a column at most, which says when to look again, 64 columns later at the earliest.
     """
     if not a or not b:
         return len(a) + len(b)
@@ -566,7 +590,7 @@ def distance(a: str, b: str, most: float = float("inf")) -> int:
     for i, c in enumerate(a):
         masks[c] = masks.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    pv, mv, score, at = full, 0, len(a), 0
+    pv, mv, score, at, look = full, 0, len(a), 0, max(64, int(most) + 1 if most < len(a) + len(b) else 0)
     near = int((most + abs(len(a) - len(b))) / 2) + 1 if most < len(a) + len(b) else 0
     for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
         if score - left - 1 > most:  # the score falls by one a letter at most
@@ -578,8 +602,11 @@ def distance(a: str, b: str, most: float = float("inf")) -> int:
         ph, mh = (ph << 1 | 1) & full, mh << 1 & full
         pv, mv = mh | (full & ~(xv | ph)), ph & xv
         at += 1
-        if near and not at & 63 and at > most and least_near(pv, mv, at, max(0, at - near), min(len(a), at + near)) > most:
-            return int(most) + 1
+        if near and at == look:
+            least = least_near(pv, mv, at, max(0, at - near), min(len(a), at + near))
+            if least > most:
+                return int(most) + 1
+            look += max(64, int(most) + 1 - least)
     return score
 
 
@@ -599,14 +626,18 @@ def least_near(pv: int, mv: int, column: int, first: int, last: int) -> int:
 
 
 def within(pairs: list[tuple[str, str, float]]) -> np.ndarray:
-    """Which (a, b, most) have a Levenshtein distance of at most most: pairs of about one length side by side."""
+    """Which (a, b, most) have a Levenshtein distance of at most most: pairs of about one length and one most side by side."""
     out = np.zeros(len(pairs), bool)
-    sizes = np.array([len(a) + len(b) for a, b, _ in pairs])
-    order = np.argsort(sizes, kind="stable")
+    sizes, most = np.array([len(a) + len(b) for a, b, _ in pairs], np.int64), np.array([x[2] for x in pairs])
+    wide = (2 * np.log2(np.maximum(most, 16))).astype(np.int64)
+    order = np.lexsort((sizes, wide))
+    sorted_sizes = sizes[order]
+    ends = np.searchsorted(wide[order], wide[order], "right")
     at = 0
     while at < len(order):
-        first = max(64, int(sizes[order[at]]))
-        end = min(at + ABREAST, int(np.searchsorted(sizes[order], first * 1.25, "right")), at + max(1, ABREAST * 1500 // first))
+        first = max(64, int(sorted_sizes[at]))
+        alike = at + int(np.searchsorted(sorted_sizes[at : ends[at]], first * 1.25, "right"))
+        end = min(at + ABREAST, alike, at + max(1, ABREAST * 1500 // first))
         own, at = order[at : max(end, at + 1)], max(end, at + 1)
         if len(own) < FEW or sizes[own[-1]] >= FAR - 2:
             out[own] = [distance(*pairs[i]) <= pairs[i][2] for i in own]
@@ -698,15 +729,21 @@ def pair_counts(texts: list[str]) -> np.ndarray:
 
 def perhaps(counts: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Which pairs may be similar: an edit takes two letter pairs away and adds two at most."""
+    ok, share = differing(counts, sizes, left, right)
+    return ok[share <= 1]
+
+
+def differing(counts: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose lengths don't forbid the similarity, and the share of the letter pairs that most edits may change by which they surely differ."""
     most = np.maximum(sizes[left], sizes[right]) * (1 - SIMILARITY) + 1e-6
     ok = np.flatnonzero(np.abs(sizes[left] - sizes[right]) <= most)
-    out = []
+    out = np.zeros(len(ok))
     for i in range(0, len(ok), 8192):
         at = ok[i : i + 8192]
         x, y = counts[left[at]], counts[right[at]]
         low = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-        out.append(at[np.maximum(x.sum(axis=1, dtype=np.int64), y.sum(axis=1, dtype=np.int64)) - low <= 2 * most[at]])
-    return np.concatenate(out) if out else ok
+        out[i : i + 8192] = (np.maximum(x.sum(axis=1, dtype=np.int64), y.sum(axis=1, dtype=np.int64)) - low) / (2 * most[at])
+    return ok, out
 
 
 def _gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -753,35 +790,46 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # pairs that take a distance wait until there are some
         waiting: dict[tuple[int, int], tuple[str, str, float]] = {}
 
-        def measure() -> None:
+        def measure() -> int:
+            """How many may wait next: more, the fewer were near."""
             todo = {p: x for p, x in waiting.items() if root(p[0]) != root(p[1])}
             waiting.clear()
-            for pair, near in zip(todo, within(list(todo.values())), strict=True):
+            found = within(list(todo.values()))
+            for pair, near in zip(todo, found, strict=True):
                 if near:
                     join(*pair)
                 else:
                     apart_for_sure.add(pair)
+            return WAITING if 8 * found.sum() < len(found) else SOON
 
+        now, most, letters = -1, WAITING, 0
         for left, right in pairs_of_runs(run):
-            most = SOON if len(left) and run[left[0]] == run[left[-1]] else WAITING
+            if len(left) and run[left[0]] == run[left[-1]]:
+                if run[left[0]] != now:
+                    now, most = run[left[0]], SOON
+            else:
+                most = WAITING
             ok = ((side[left] < 0) | (side[left] != side[right])) & perhaps_alike(tell[left], tell[right])
             left, right = at[left[ok]], at[right[ok]]
             apart = roots[left] != roots[right]  # of a line that is met again, much is known
             left, right = left[apart], right[apart]
-            own = perhaps(counts, sizes, left, right)
-            for i, j in zip(left[own].tolist(), right[own].tolist(), strict=True):
+            own, share = differing(counts, sizes, left, right)
+            own, share = own[share <= 1], share[share <= 1]
+            align = (share < LIKELY) | (np.maximum(sizes[left[own]], sizes[right[own]]) > LONG)
+            for i, j, words_too in zip(left[own].tolist(), right[own].tolist(), align.tolist(), strict=True):
                 pair = (min(i, j), max(i, j))
                 if pair in apart_for_sure or pair in waiting or root(i) == root(j):
                     continue
-                found = compared(text[i], text[j])
+                found = compared(text[i], text[j], align=words_too)
                 if found is True:
                     join(i, j)
                 elif found is False:
                     apart_for_sure.add(pair)
                 else:
                     waiting[pair] = found
-                    if len(waiting) >= most:
-                        measure()
+                    letters += len(found[0]) + len(found[1])
+                    if len(waiting) >= most or letters > LETTERS:
+                        most, letters = measure(), 0
             if len(own):
                 roots = settled()
         measure()
@@ -814,19 +862,20 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     th is the xxhash64 of a document's text.
     """
     src = _source(docs)
-    lines = scratch.keep(src.mapInArrow(_lines, "doc_id long, th long, line int, h1 long, h2 long, tell long, sim long, " + ", ".join(f"{c} long" for c in PARTS)))
+    lines = scratch.keep(src.mapInArrow(_lines, "doc_id long, th long, line int, h1 long, h2 long, keyed int, keys binary"))
+    keyed = lines.where("keys is not null").select("keyed", "keys")
+    every = keyed.select("keys").mapInArrow(keyed_lines, ", ".join(f"{c} long" for c in KEYED))
     # short lines have the same part keys twice
     second = [F.when(F.col(a) != F.col(b), F.col(b)) for a, b in ((PARTS[0], PARTS[2]), (PARTS[1], PARTS[3]))]
     keys = F.array(*block_keys(F.col("sim")), *PARTS[:2], *second, *PARTS[4:])
-    keyed = lines.where("sim is not null")
-    shared = shared_keys(keyed.select(F.explode(keys).alias("key"), F.col("h1").alias("id"), "tell").where("key is not null"), scratch, keyed)
+    shared = shared_keys(every.select(F.explode(keys).alias("key"), F.col("h1").alias("id"), "tell").where("key is not null"), scratch, keyed)
     firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct(*OWN, "line")).alias("first"), F.count("*").alias("n"))
     firsts = scratch.keep(firsts.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "n"))
     # a bucket's 64-bit hashes become the ids of all lines that have them
     members = scratch.keep(firsts.join(shared.select(F.col("id").alias("h1")).distinct(), "h1").select("id", "h1", "first.*"))
     named = shared.select("a", "b", F.col("id").alias("h1"), "tell").join(members.select("id", "h1"), "h1").select("a", "b", "id", "tell")
     wanted = members.groupBy(*(F.col(c).alias(f"_{c}") for c in OWN)).agg(F.collect_list(F.struct("id", "line")).alias("wanted"))
-    texts = src.join(wanted.hint("merge"), (F.col("doc_id") == F.col("_doc_id")) & (F.col("th") == F.col("_th"))).select("text", "wanted").mapInPandas(_pick, "id long, text string")
+    texts = src.join(wanted.hint("shuffle_hash"), (F.col("doc_id") == F.col("_doc_id")) & (F.col("th") == F.col("_th"))).select("text", "wanted").mapInPandas(_pick, "id long, text string")
     texts = scratch.keep(texts.groupBy("id").agg(F.min("text").alias("text")))
     groups = components(candidate_links(named, scratch, texts), scratch)
     scratch.drop(shared, texts)
@@ -855,10 +904,10 @@ def dedup_lines(docs: DataFrame, scratch: Scratch | None = None, count: bool = F
     gone = repeated_lines(docs, scratch).select(F.col("doc_id").alias("of"), F.col("th").alias("of_text"), "dropped")
     rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"))
     rows = rows.withColumn("th", F.xxhash64(F.col("row.text").cast("string")))
-    joined = rows.join(gone.hint("merge"), (F.col("id") == F.col("of")) & (F.col("th") == F.col("of_text")), "left")
+    joined = rows.join(gone.hint("shuffle_hash"), (F.col("id") == F.col("of")) & (F.col("th") == F.col("of_text")), "left")
     cut, old = F.col("dropped").isNotNull(), F.col("row.text").cast("string")
     stay = F.filter(F.split(old, "\n"), lambda _, i: ~F.array_contains("dropped", i))
-    lines = F.coalesce(F.regexp_count(old, F.lit("\n")) + 1, F.lit(0)).cast("long")
+    lines = F.coalesce(F.octet_length(old) - F.octet_length(F.replace(old, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     joined = joined.select("row", cut.alias("cut"), F.when(cut, F.array_join(stay, "\n")).otherwise(old).alias("new"), lines.alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
     own = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("new")}
     if "n_chars" in own:

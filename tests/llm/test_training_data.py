@@ -846,3 +846,46 @@ def test_large_groups_of_near_lines_meet_in_few_distances(monkeypatch):
     assert all(lines.similar(texts[0], y) for y in texts)
     a, b = np.zeros(399, int), np.arange(1, 400)
     assert sum(measured) < 2000 and dict(zip(*local_roots(out.u.to_numpy(), out.v.to_numpy()), strict=True)) == dict(zip(*local_roots(a, b), strict=True))
+
+
+def test_unlike_lines_of_one_bucket_wait_for_each_other(monkeypatch):
+    """Of lines that only distances tell apart, thousands are measured at a time, and hardly any has its words aligned."""
+    measured, aligned, own, words = [], [], lines.within, lines.aligned
+    monkeypatch.setattr(lines, "within", lambda pairs: measured.append(len(pairs)) or own(pairs))
+    monkeypatch.setattr(lines, "aligned", lambda a, b, most: aligned.append(a) or words(a, b, most))
+    rng, parts = np.random.default_rng(9), ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en"]
+    texts = [" ".join("".join(rng.choice(parts, int(rng.integers(1, 4)))) for _ in range(70))[:300] for _ in range(150)]
+    near = texts[7].replace(" ", "", 9)
+    frame = pd.DataFrame({"deal": 0, "a": 0, "b": 0, "part": 0, "side": -1, "id": range(151), "tell": 1 << 15, "text": [*texts, near]})
+    out = pd.concat(lines._verify(iter([frame])))
+    assert out.values.tolist() == [[150, 7]]
+    assert sum(measured) > 8000 and len(measured) < 6 and len(aligned) < 500
+
+
+def test_long_distances_look_back_seldom(monkeypatch):
+    """How far a table's nearest cells are is known for as many columns as they lack to the most edits."""
+    looks, own = [], lines.least_near
+    monkeypatch.setattr(lines, "least_near", lambda *x: looks.append(x[2]) or own(*x))
+    rng = np.random.default_rng(4)
+    a = "".join(rng.choice(list("abcdefgh "), 8000))
+    b = "".join(x if rng.random() > 0.1 else "z" for x in a)
+    other = "".join(rng.choice(list("abcdefgh "), 8000))
+    assert lines.distance(a, b, 1600) == sum(x != y for x, y in zip(a, b, strict=True)) and len(looks) < 15
+    looks.clear()
+    assert lines.distance(a, other, 1600) > 1600 and len(looks) < 15 and looks[-1] < 5000
+
+
+def test_keys_of_lines_move_in_blocks():
+    """Rows of lines have one value of keys a batch, which are those of the lines' tokens."""
+    texts = [prose(5 + k % 30, k) for k in range(50)] + ["short", prose(9, 3)]
+    batch = pa.record_batch([pa.array(range(52)), pa.array([7] * 52), pa.array(texts)], names=["doc_id", "th", "text"])
+    out = list(lines._lines(iter([batch])))
+    assert [b.num_rows for b in out] == [52] and out[0].schema == lines.LINES
+    rows = out[0].to_pylist()
+    assert [r["keyed"] for r in rows] == [51] + [None] * 51 and [r["keys"] is None for r in rows] == [False] + [True] * 51
+    found = next(lines.keyed_lines(iter([out[0].select(["keys"]).slice(0, 1)])))
+    toks = [t for t in texts if t != "short"]
+    want = lines.all_keys(toks, np.array([len(t) for t in toks]), np.ones(51, bool))
+    assert found.schema.names == lines.KEYED and found.column(0).to_pylist() == [r["h1"] for r in rows if texts[r["doc_id"]] != "short"]
+    assert (np.stack([c.to_numpy() for c in found.columns[1:]], axis=1) == want).all()
+    assert list(lines._lines(iter([batch.slice(50, 1)])))[0].column(6).null_count == 1
